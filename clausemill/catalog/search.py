@@ -22,9 +22,9 @@ PART = f"{IDF} * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / avgdl))"
 
 def scored(source: str, name: str, weight: str = "1") -> str:
     return f"""{name}_sum AS (
-  SELECT query_id, doc_id, round(sum({weight} * {PART}), 6) AS score
+  SELECT query_id, doc_id, sum({weight} * {PART}) AS score
   FROM {source} JOIN vocabulary USING (term) JOIN postings USING (term), corpus GROUP BY query_id, doc_id),
-{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {name}_sum WHERE score > 0)"""
+{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM {name}_sum WHERE score > 0)"""
 
 
 BM25 = f"{POSTINGS},\n{QTERMS},\n{scored('qterms', 'bm25')}"
@@ -76,9 +76,9 @@ def index(t: Tables) -> ix.TextIndex:
     return ix.build_index(t.docs())
 
 
-@query("bm25_topk", f"WITH {BM25} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM bm25 WHERE rank <= 3")
+@query("bm25_topk", f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm25 WHERE rank <= 3")
 def bm25_topk(t):
-    return ix.bm25_topk(t.questions(), index(t), 3).select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long"))
+    return ix.bm25_topk(t.questions(), index(t), 3).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
 @query(
@@ -99,14 +99,14 @@ post AS (SELECT doc_id, len(bag)::DOUBLE AS dl, unnest(bag) AS term FROM toks),
 postings AS (SELECT term, doc_id, dl, count(*) AS tf FROM post GROUP BY ALL),
 corpus AS (SELECT count(*) AS n, avg(len(bag)) AS avgdl FROM toks),
 vocabulary AS (SELECT term, count(*) AS df FROM postings GROUP BY term), {QTERMS},
-s AS (SELECT query_id, doc_id, round(sum({IDF} * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+s AS (SELECT query_id, doc_id, sum({IDF} * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
   FROM qterms JOIN vocabulary USING (term) JOIN postings USING (term), corpus GROUP BY query_id, doc_id)
-SELECT * FROM (SELECT query_id, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+SELECT * FROM (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank
   FROM s) WHERE rank <= 3""",
 )
 def bm25_raw_tf(t):
     out = ix.bm25_topk(t.questions(), ix.build_index(t.docs(), tf="raw"), 3)
-    return out.select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long"))
+    return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
 EXPANDED = f"""{POSTINGS}, {QTERMS}, {MIXED},
@@ -115,11 +115,11 @@ extra AS (SELECT e.query_id, e.term AS expansion FROM expansion e JOIN words w U
           WHERE lower(e.term) <> lower(w.query) AND length(e.term) > 1),
 sub AS (SELECT expansion AS query_id, unnest(list_distinct({tok('expansion')})) AS term FROM (SELECT DISTINCT expansion FROM extra)),
 {scored('sub', 'side')},
-total AS (SELECT query_id, doc_id, round(sum(score), 6) AS score FROM (
+total AS (SELECT query_id, doc_id, sum(score) AS score FROM (
    SELECT query_id, doc_id, score FROM base WHERE rank <= 20 UNION ALL
    SELECT e.query_id, s.doc_id, s.score * 0.3 FROM extra e JOIN side s ON s.query_id = e.expansion WHERE s.rank <= 20)
    GROUP BY query_id, doc_id),
-keyword AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM total)"""
+keyword AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM total)"""
 
 
 def expanded(t: Tables):
@@ -127,9 +127,9 @@ def expanded(t: Tables):
     return ix.bm25_expanded(q, tm.expand_mixed(q, synonyms(t)), index(t), 3)
 
 
-@query("bm25_expanded", f"WITH {EXPANDED} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM keyword WHERE rank <= 20")
+@query("bm25_expanded", f"WITH {EXPANDED} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM keyword WHERE rank <= 20")
 def bm25_expanded(t):
-    return expanded(t).select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long"))
+    return expanded(t).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
 @query(
@@ -137,11 +137,11 @@ def bm25_expanded(t):
     f"""WITH {POSTINGS}, {MIXED},
 bag AS (SELECT query_id, unnest(list_distinct({tok('term')})) AS term FROM expansion),
 weighted AS (SELECT query_id, term, count(*) AS w FROM bag GROUP BY ALL),
-{scored('weighted', 'm', 'w')} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM m WHERE rank <= 3""",
+{scored('weighted', 'm', 'w')} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM m WHERE rank <= 3""",
 )
 def bm25_multiterm(t):
     out = ix.bm25_multiterm(tm.expand_mixed(t.questions(), synonyms(t)), index(t), 3)
-    return out.select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long"))
+    return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
 def slots(table: str, id: str, dim: int) -> str:
@@ -163,7 +163,7 @@ centroids AS (SELECT label AS query_id, list(m ORDER BY i) AS q FROM parts GROUP
     "vector_topk",
     f"""WITH {CENTROIDS}, s AS (
   SELECT query_id::BIGINT AS query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, centroids)
-SELECT query_id, vec_id, round(score, 4) AS score, rank FROM (
+SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
 )
 def vector_topk(t):
@@ -174,7 +174,7 @@ def vector_topk(t):
         .select(F.col("label").cast("long").alias("query_id"), F.col("s.m").alias("embedding"))
     )
     out = ix.vector_topk(means, e.select("vec_id", "embedding"), 10)
-    return out.select("query_id", "vec_id", F.round("score", 4).alias("score"), F.col("rank").cast("long"))
+    return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
 VECTOR = f"""{slots('documents', 'doc_id', 256)}, {slots('benchmark', 'item_id', 256)},
@@ -202,18 +202,18 @@ def rank_fusion(t):
 
 def hybrid_sql(order: str) -> str:
     return f"""WITH {EXPANDED}, {VECTOR}, fused AS (
-  SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score, max(v) AS in_vector FROM (
+  SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score, max(v) AS in_vector FROM (
     SELECT query_id, doc_id, rank, 1 AS v FROM vec WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank, 0 FROM keyword WHERE rank <= 20)
   GROUP BY query_id, doc_id)
-SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order} score DESC, doc_id) AS rank FROM fused)
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order} round(score, 6) DESC, doc_id) AS rank FROM fused)
 WHERE rank <= 20"""
 
 
 @query("hybrid_search", hybrid_sql(""))
 def hybrid_search(t):
-    return ix.hybrid(vector_docs(t), expanded(t)).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
+    return ix.hybrid(vector_docs(t), expanded(t)).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
 @query("hybrid_append", hybrid_sql("in_vector DESC,"))
 def hybrid_append(t):
-    return ix.hybrid(vector_docs(t), expanded(t), fusion="append").select("query_id", "doc_id", "score", F.col("rank").cast("long"))
+    return ix.hybrid(vector_docs(t), expanded(t), fusion="append").select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))

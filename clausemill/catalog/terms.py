@@ -186,9 +186,10 @@ occ AS (
     SELECT doc, node_id, unnest(list_filter(['tion', 'ment', 'heit'], lambda w: contains("full", w))) AS term FROM f
     UNION ALL SELECT doc, node_id, 'ation' FROM f WHERE contains("full", 'tion') AND contains("full", 'ation')
     UNION ALL SELECT doc, node_id, 'ement' FROM f WHERE contains("full", 'ment') AND contains("full", 'ement')
-    UNION ALL SELECT doc, node_id, a FROM (SELECT doc, node_id, unnest(regexp_extract_all("full", '\b[A-Z]{{2,6}}\b')) AS a FROM f)
+    UNION ALL SELECT doc, node_id, a FROM (SELECT doc, node_id, unnest(regexp_extract_all("full", '[\p{{L}}\p{{N}}_]+')) AS a FROM f)
       WHERE a IN ('APU', 'OEI', 'ETOPS', 'VMC', 'VNE', 'TC', 'PC', 'FAR', 'CCAR', 'CS')
-    UNION ALL SELECT doc, node_id, lower(unnest(regexp_extract_all("full", '\b[A-Z][A-Za-z]{{3,}}\b'))) FROM f
+    UNION ALL SELECT doc, node_id, lower(a) FROM (SELECT doc, node_id, unnest(regexp_extract_all("full", '[\p{{L}}\p{{N}}_]+')) AS a FROM f)
+      WHERE regexp_full_match(a, '[A-Z][A-Za-z]{{3,}}')
     UNION ALL SELECT doc, node_id, unnest(regexp_extract_all("full", '[A-Z][a-z]+-[A-Z][a-z]+')) FROM f
     UNION ALL SELECT doc, node_id, 'value:' || unnest(regexp_extract_all("full", '([0-9]+(?:\.[0-9]+)?)\s*%', 1)) || '%' FROM f)
   WHERE length(term) >= 2)"""
@@ -230,8 +231,8 @@ def synonym_edges(t):
 
 
 # The given texts hold no bracketed abbreviations, so the patterns name upper-case words before a word and after one.
-LONG_FIRST = r"([a-z]{4,}) ([A-Z]{2,6})\b"
-SHORT_FIRST = r"\b([A-Z]{2,6}) ([a-z]{4,})"
+LONG_FIRST = r"([a-z]{4,}) ([A-Z]{2,6})[ .,]"
+SHORT_FIRST = r" ([A-Z]{2,6}) ([a-z]{4,})"
 
 
 @query(

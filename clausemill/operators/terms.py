@@ -239,13 +239,14 @@ def term_occurrences(sections: DataFrame, known: dict[str, list[str]], compound:
     rules = F.array(*[F.struct(F.lit(t).alias("t"), F.array(*[F.lit(w) for w in s]).cast("array<string>").alias("s")) for t, s in known.items()])
     hit = F.filter(rules, lambda r: F.col("full").contains(r["t"]))
     names = F.flatten(F.transform(hit, lambda r: F.concat(F.array(r["t"]), F.filter(r["s"], lambda w: F.col("full").contains(w)))))
-    abbr = F.filter(tx.matches(F.col("full"), r"\b[A-Z]{2,6}\b"), lambda a: a.isin(ALLOWED_ABBREVIATIONS))
+    spoken = tx.matches(F.col("full"), r"[\p{L}\p{N}_]+")
+    abbr = F.filter(spoken, lambda a: a.isin(ALLOWED_ABBREVIATIONS))
     in_context = tx.contains_any(F.col("full"), TERM_CONTEXTS)
     cjk = F.filter(
         tx.matches(F.col("full"), f"[{tx.CJK}]{{2,8}}"),
         lambda t: in_context | t.rlike("(" + "|".join(TERM_SUFFIXES) + ")$"),
     )
-    words = F.transform(tx.matches(F.col("full"), r"\b[A-Z][A-Za-z]{3,}\b"), F.lower)
+    words = F.transform(F.filter(spoken, lambda w: w.rlike(r"^[A-Z][A-Za-z]{3,}$")), F.lower)
     compounds = tx.matches(F.col("full"), compound)
     percents = F.transform(tx.matches(F.col("full"), r"([0-9]+(?:\.[0-9]+)?)\s*%", 1), lambda p: F.concat(F.lit("value:"), p, F.lit("%")))
     every = F.array_distinct(F.concat(names, abbr, cjk, words, compounds, percents))
@@ -292,7 +293,7 @@ def synonym_edges(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 def detect_abbreviations(
     sections: DataFrame, long_first: str = rf"([{tx.CJK}]{{2,}})\s*[（(]([A-Z]{{2,6}})[)）]",
-    short_first: str = r"\b([A-Z]{2,6})\s*[（(]([^()（）]{3,60})[)）]", text: str = "text",
+    short_first: str = r"(?<![\p{L}\p{N}_])([A-Z]{2,6})\s*[（(]([^()（）]{3,60})[)）]", text: str = "text",
 ) -> DataFrame:
     """(abbreviation, full form, count) from `long (ABC)` and `ABC (long)` forms; both patterns are parameters."""
     def pairs(pattern: str, short: int, long: int) -> DataFrame:

@@ -34,11 +34,22 @@ def kind(dtype, series) -> str:
     return "object"
 
 
+def cell(v) -> str:
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
+        return ""
+    if isinstance(v, bool) or type(v).__name__ == "bool_":
+        return str(bool(v))
+    try:
+        return f"{float(v):.6f}" if not isinstance(v, str) else v
+    except (TypeError, ValueError):
+        return str(v)
+
+
 def canon(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
     rows = []
     for r in df.itertuples(index=False):
-        rows.append(tuple(f"{v:.6f}" if isinstance(v, float) else ("" if v is None else str(v)) for v in r))
+        rows.append(tuple(cell(v) for v in r))
     return sorted(rows)
 
 
