@@ -42,10 +42,12 @@ NODE_FAMILIES = {
 ENRICH_REQUIREMENTS = ["必须", "应当", "应该", "要求", "不得", "需", "shall", "must", "should", "require", "need"]
 
 
-def intent_array(query: Column, patterns: dict[str, list[str]]) -> Column:
-    """array<struct<ord, intent, score>>, one entry per class in table order."""
-    low = F.lower(query)
-    toks = tx.tokens(low)
+def with_intents(df: DataFrame, query: str = "query", patterns: dict[str, list[str]] = INTENT_PATTERNS) -> DataFrame:
+    """Adds `intents`: array<struct<ord, intent, score>>, one entry per class in table order.
+
+    The steps are separate columns so that each is computed once per row.
+    """
+    low, toks = F.col("_low"), F.col("_toks")
 
     def class_score(words: list[str]) -> Column:
         rules = F.array(*[F.struct(F.lit(w).alias("w"), tx.tokens(F.lit(w)).alias("t")) for w in words])
@@ -56,27 +58,32 @@ def intent_array(query: Column, patterns: dict[str, list[str]]) -> Column:
         )
         return F.aggregate(rules, F.lit(0.0), lambda a, r: a + points(r))
 
-    raw = [class_score(words) for words in patterns.values()]
-    total = sum(raw[1:], raw[0])
-    share = [F.when(total > 0, r / total).otherwise(0.0) for r in raw]
     names = list(patterns)
+    out = df.withColumn("_low", F.lower(query)).withColumn("_toks", tx.tokens(low))
+    out = out.withColumn("_raw", F.array(*[class_score(words) for words in patterns.values()]))
+    out = out.withColumn("_total", F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x))
+    out = out.withColumn("_share", F.transform("_raw", lambda x: F.when(F.col("_total") > 0, x / F.col("_total")).otherwise(0.0)))
+    share = F.col("_share")
     if "regulatory" in names and "method" in names:
         i, j = names.index("regulatory"), names.index("method")
         both = (share[i] > 0.3) & (share[j] > 0.2)
         mid = (share[i] + share[j]) / 2 * 0.6
-        share[i], share[j] = F.when(both, mid).otherwise(share[i]), F.when(both, mid).otherwise(share[j])
-    return F.array(*[F.struct(F.lit(n).alias("ord"), F.lit(c).alias("intent"), s.alias("score")) for n, (c, s) in enumerate(zip(names, share))])
+        share = F.transform("_share", lambda x, n: F.when(both & n.isin(i, j), mid).otherwise(x))
+    labels = F.array(*[F.lit(n) for n in names])
+    entry = lambda x, n: F.struct(n.alias("ord"), F.element_at(labels, n + 1).alias("intent"), x.alias("score"))
+    return out.withColumn("intents", F.transform(share, entry)).drop("_low", "_toks", "_raw", "_total", "_share")
 
 
 def intent_scores(queries: DataFrame, patterns: dict[str, list[str]] = INTENT_PATTERNS) -> DataFrame:
     """L1: share of every intent class per query."""
-    return queries.select("query_id", F.inline(intent_array(F.col("query"), patterns)))
+    return with_intents(queries, patterns=patterns).select("query_id", F.inline("intents"))
 
 
 def primary_intent(queries: DataFrame, patterns: dict[str, list[str]] = INTENT_PATTERNS) -> DataFrame:
     """L2: best class per query, first in table order on ties; keeps the query columns."""
-    best = F.array_max(F.transform(intent_array(F.col("query"), patterns), lambda s: F.struct(s["score"], -s["ord"], s["intent"])))
-    return queries.withColumn("_b", best).withColumns({"intent": F.col("_b.intent"), "confidence": F.col("_b.score")}).drop("_b")
+    best = F.array_max(F.transform("intents", lambda s: F.struct(s["score"], -s["ord"], s["intent"])))
+    out = with_intents(queries, patterns=patterns).withColumn("_b", best)
+    return out.withColumns({"intent": F.col("_b.intent"), "confidence": F.col("_b.score")}).drop("_b", "intents")
 
 
 def query_type(query: Column, rules: list[tuple[str, str]] = QUERY_TYPES) -> Column:
