@@ -121,3 +121,37 @@ def exact_percentile(df: DataFrame, keys: list[str], value: str, bucket: Column,
         .filter((F.col("_pos") < F.col("_cum")) & (F.col("_pos") >= F.col("_cum") - F.col("_n")))
         .select(*keys, "p", value)
     )
+
+
+def containment_join(texts: DataFrame, text: str, words: DataFrame, word: str, prefix: int = 4) -> DataFrame:
+    """Rows of `texts` joined to rows of `words` whose word occurs in the text, without comparing all pairs.
+
+    Texts are short (labels, titles, ids). The join key is the word's first `prefix` characters against the
+    text's character n-grams of up to that length; the rest of the word is then verified.
+    """
+    from clausemill.functions import text as tx
+
+    grams = F.array_distinct(tx.ngrams_between(F.col(text), 1, prefix))
+    left = texts.withColumn("_key", F.explode(grams))
+    right = words.filter(F.length(word) > 0).withColumn("_key", F.substring(word, 1, prefix))
+    return left.join(right, "_key").filter(F.col(text).contains(F.col(word))).drop("_key")
+
+
+def star_edges(members: DataFrame, group: list[str], node: str, doc: str | None = None) -> DataFrame:
+    """(group, src, dst): links every member of a group to the group's first member instead of to all others.
+
+    The linked components are those of the all-pairs form with a linear number of edges. With `doc`, links stay
+    between different documents: members of the first member's document go to the first member of another one.
+    """
+    if doc is None:
+        first = members.groupBy(*group).agg(F.min(node).alias("src"))
+        pairs = salted_join(members, first, group, spread=node)
+        return pairs.filter(F.col("src") != F.col(node)).select(*group, "src", F.col(node).alias("dst"))
+    per_doc = members.groupBy(*group, doc).agg(F.min(node).alias("_n"))
+    first = per_doc.groupBy(*group).agg(F.min(F.struct("_n", doc)).alias("_f"))
+    second = per_doc.join(first, group).filter(F.col(doc) != F.col("_f")[doc]).groupBy(*group).agg(F.min("_n").alias("_s"))
+    both = first.join(second, group)
+    pairs = salted_join(members, both, group, spread=node)
+    src = F.when(F.col(doc) == F.col("_f")[doc], F.col("_s")).otherwise(F.col("_f")["_n"])
+    return pairs.select(*group, src.alias("src"), F.col(node).alias("dst")).select(
+        *group, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()

@@ -36,8 +36,8 @@ INJECTION_PATTERNS = [
 ]
 INJECTION_NOTE = "[内容已审查 - 原句]: "
 NODE_FAMILIES = {
-    "regulation": ["Section", "Chapter", "Document", "Regulation", "Requirement"],
-    "component": ["RotorPart", "Component", "System", "Material"],
+    "regulation": ["chapter", "section", "regulation", "requirement", "clause"],
+    "component": ["component", "rotorpart", "statorpart", "accessory", "module", "system"],
 }
 ENRICH_REQUIREMENTS = ["必须", "应当", "应该", "要求", "不得", "需", "shall", "must", "should", "require", "need"]
 
@@ -267,7 +267,7 @@ def node_family(type_: Column, families: dict[str, list[str]] = NODE_FAMILIES, o
     """Raw node type -> regulation, component or support."""
     out = F
     for family, types in families.items():
-        out = out.when(type_.isin(types), family)
+        out = out.when(F.lower(type_).isin(types), family)
     return out.otherwise(other)
 
 
