@@ -103,7 +103,7 @@ def catalog_by_layer(catalog: DataFrame, layers: DataFrame) -> DataFrame:
     return layers.join(counts, "layer", "left").fillna(0, ["entries"])
 
 
-def corpus_totals(sections: DataFrame, mapped: DataFrame, issues: int | None = None) -> DataFrame:
+def corpus_totals(sections: DataFrame, mapped: DataFrame) -> DataFrame:
     """Documents, clauses, mapped clauses and the share mapped; `issue_count` gives the health label."""
     m = mapped.select("node_id").distinct().withColumn("m", F.lit(1))
     rows = sections.join(m, "node_id", "left")
