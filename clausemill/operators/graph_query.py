@@ -82,14 +82,15 @@ def score_nodes(queries: DataFrame, nodes: DataFrame, k: int = 10, bonus_types:
     return top_per(every, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
-def khop(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """Q4: nodes within `depth` undirected steps of every seed, with their distance; the seed itself is left out.
+def khop(seeds: DataFrame, edges: DataFrame, depth: int, with_seed: bool = False) -> DataFrame:
+    """Q4: nodes within `depth` undirected steps of every seed, with their distance; without the seed itself by default.
 
     One join per level from the frontier only; visited pairs leave by anti join; edges of a hub are sliced.
     seeds(seed).
     """
     around = both_ways(edges)
-    frontier = seeds.select("seed", F.col("seed").alias("id")).distinct()
+    # Seeds are a short list; stored rows also keep constant seeds from being folded through the level joins.
+    frontier = cut_lineage(seeds.select("seed").distinct()).select("seed", F.col("seed").alias("id"))
     seen = frontier.withColumn("distance", F.lit(0))
     for level in range(1, depth + 1):
         step = salted_join(around, frontier.withColumnRenamed("id", "src"), ["src"], spread="dst").select("seed", F.col("dst").alias("id")).distinct()
@@ -99,7 +100,7 @@ def khop(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
         seen = seen.unionByName(frontier.withColumn("distance", F.lit(level)))
         if level % 2 == 0 and level < depth:
             seen = cut_lineage(seen)
-    return seen.filter("distance > 0")
+    return seen if with_seed else seen.filter("distance > 0")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -196,10 +197,9 @@ def paths(pairs: DataFrame, edges: DataFrame, max_len: int = 4, limit: int | Non
     hub are dropped before they multiply. pairs(source, target).
     """
     around = both_ways(edges)
-    near = khop(pairs.select(F.col("target").alias("seed")).distinct(), edges, max_len - 1).select(
+    pairs = cut_lineage(pairs)
+    reach = cut_lineage(khop(pairs.select(F.col("target").alias("seed")).distinct(), edges, max_len - 1, with_seed=True)).select(
         F.col("seed").alias("target"), F.col("id").alias("dst"), "distance")
-    ends = pairs.select("target").distinct().select("target", F.col("target").alias("dst"), F.lit(0).alias("distance"))
-    reach = near.unionByName(ends)
     live = pairs.filter("source <> target").select("source", "target", F.array("source").alias("path"), F.col("source").alias("src"))
     done = None
     for steps in range(1, max_len):
