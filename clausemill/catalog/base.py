@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
-from clausemill.functions.scale import tune
+from clausemill.functions.scale import spread_out, tune
 
+TEXT_TABLES = ("documents", "pages", "conversations")
 QUERIES: dict[str, Callable[["Tables"], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -34,7 +35,8 @@ class Tables:
         self.dir = sf_dir
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return spread_out(df) if name in TEXT_TABLES else df
 
     def rows(self, schema: str, values: list[tuple]) -> DataFrame:
         """A small literal rule table."""

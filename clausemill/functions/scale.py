@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,26 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: str, ho
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+# A broadcast side of at most this many narrow rows (a key, a term, two numbers) stays near 50 MB.
+BROADCAST_ROWS = 500_000
+
+
+def checked_join(big: DataFrame, small: DataFrame, on: list[str], spread: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join that broadcasts `small` only after counting it; above the bound both sides are shuffled and salted.
+
+    `small` should be stored (see `stored`), so that counting reads file footers only.
+    """
+    if small.limit(max_rows + 1).count() <= max_rows:
+        return big.join(F.broadcast(small), on)
+    return salted_join(big, small, on, spread)
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """Shares a scan of few splits over all cores before heavy text work; large inputs have many splits and pass as is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 32) else df
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder named by the cluster; a private one only where none is set (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -65,6 +86,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes an intermediate result that several steps read to the shared folder, and reads it back.
+
+    It is computed once, later readers prune its columns, and a lost executor costs a re-read, not a re-computation.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/stored/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First k rows per key. Spark prunes each partition to k rows per key before the shuffle."""
     from pyspark.sql import Window
