@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FAMILIES = [
-    "search", "terms", "structure", "rules", "rerank", "quality", "graph", "mapping", "evaluation", "telemetry", "streams", "io",
+    "search", "terms", "structure", "rules", "rerank", "quality", "graph", "mapping", "evaluation", "telemetry", "streams", "io", "jobs",
 ]
 
 

@@ -158,14 +158,15 @@ def containment_join(texts: DataFrame, text: str, words: DataFrame, word: str, p
     """Rows of `texts` joined to rows of `words` whose word occurs in the text, without comparing all pairs.
 
     Texts are short (labels, titles, ids). The join key is the word's first `prefix` characters against the
-    text's character n-grams of up to that length; the rest of the word is then verified.
+    text's character n-grams of up to that length; the rest of the word is then verified. Frequent n-grams are sliced
+    by text.
     """
     from clausemill.functions import text as tx
 
     grams = F.array_distinct(tx.ngrams_between(F.col(text), 1, prefix))
     left = texts.withColumn("_key", F.explode(grams))
     right = words.filter(F.length(word) > 0).withColumn("_key", F.substring(word, 1, prefix))
-    return left.join(right, "_key").filter(F.col(text).contains(F.col(word))).drop("_key")
+    return salted_join(left, right, ["_key"], spread=text).filter(F.col(text).contains(F.col(word))).drop("_key")
 
 
 def star_edges(members: DataFrame, group: list[str], node: str, doc: str | None = None) -> DataFrame:

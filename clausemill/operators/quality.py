@@ -174,7 +174,8 @@ def found_in_evidence(answers: DataFrame, evidence: DataFrame, items: Column, wi
     rows = answers.select("answer_id", items.alias("_i")).filter(F.size("_i") > 0)
     text = F.concat_ws("\n", "text", "title") if with_title else F.col("text")
     hits = salted_join(evidence.select("answer_id", "rank", text.alias("_x")), rows, ["answer_id"], spread="rank").select(
-        "answer_id", F.posexplode("_i").alias("pos", "item"), "_x").filter(F.col("_x").contains(F.col("item")))
+        "answer_id", F.explode(F.filter(F.transform("_i", lambda v, i: F.struct(i.alias("pos"), v.alias("item"))), lambda x: F.col("_x").contains(x["item"]))).alias("h")
+    ).select("answer_id", "h.pos")
     found = hits.groupBy("answer_id", "pos").agg(F.lit(1).alias("one")).groupBy("answer_id").agg(F.count("*").alias("found"))
     return rows.select("answer_id", F.size("_i").alias("items")).join(found, "answer_id", "left").fillna(0, ["found"])
 
