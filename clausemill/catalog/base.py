@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
 from clausemill.functions.scale import spread_out, tune
+from clausemill.session import ship
 
 TEXT_TABLES = ("documents", "pages", "conversations")
 QUERIES: dict[str, Callable[["Tables"], DataFrame]] = {}
@@ -31,7 +32,7 @@ class Tables:
     """Lazy access to one data directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = tune(spark)
+        self.spark = ship(tune(spark))
         self.dir = sf_dir
 
     def __call__(self, name: str) -> DataFrame:
