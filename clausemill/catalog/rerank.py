@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clausemill.catalog.base import SECTIONS, Tables, query, tok
 from clausemill.catalog.rules import INTENT, PATTERNS, SUBS, any_sql, user_turns
-from clausemill.catalog.search import BM25, DICT, MIXED, POSTINGS, index, phr, scored, synonyms
+from clausemill.catalog.search import BM25, DICT, MIXED, POSTINGS, index, scored, synonyms
 from clausemill.functions import text as tx
 from clausemill.operators import index as ix
 from clausemill.operators import rerank as rr

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clausemill.catalog.base import GRAPH, SECTIONS, Tables, query, tok
-from clausemill.functions import text as tx
 from clausemill.operators import rules as ru
 
 # Rule words that occur in the given texts.
