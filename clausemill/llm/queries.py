@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clausemill.llm import packing, secrets, tokens, urls
+from clausemill.llm import decontamination, near_dups, packing, secrets, tokens, urls
 from clausemill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,13 @@ FROM parts p LEFT JOIN (
 @query
 def op9_secrets(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_near_dups(spark, sf_dir):
+    return near_dups.near_dup_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_decontamination(spark, sf_dir):
+    return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
