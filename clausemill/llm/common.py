@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clausemill.session import ship
 
@@ -32,13 +33,33 @@ def by_bytes(texts: Iterable[str], most: int) -> Iterator[list[str]]:
         yield run
 
 
-class Memo(dict):
-    """A dict that forgets everything once it holds `most` entries, so a worker's memory stays bounded."""
+def trim(memo: dict, most: int) -> None:
+    """Forgets everything once a memo holds more than `most` entries, so a worker's memory stays bounded."""
+    if len(memo) > most:
+        memo.clear()
 
-    def __init__(self, most: int):
-        super().__init__()
-        self.most = most
 
-    def trim(self) -> None:
-        if len(self) > self.most:
-            self.clear()
+def held_out(doc_id: Column, modulus: int, held: int) -> Column:
+    """Whether crc32 of the id's decimal text leaves remainder `held`; false for a null id."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == held, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: dict[int, int],
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text, label, weight of labelled documents outside the held-out rows, about `most[label]` per label.
+
+    Rows are chosen by a hash of the id; weight restores the labels' shares. The chosen ids are so few that they are broadcast.
+    """
+    own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("label")).dropna()
+    own = own.filter(~held_out(F.col("id"), modulus, held)).groupBy("id").agg(F.max("label").alias("label"))
+    shares = {r.label: r.n for r in own.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    scale = 1 << 30
+    keep, weight = F.lit(False), F.lit(1.0)
+    for value, n in shares.items():
+        part = min(1.0, most.get(value, 0) / n)
+        if part:
+            keep = keep | ((F.col("label") == value) & (F.pmod(F.xxhash64("id"), F.lit(scale)) < int(part * scale)))
+            weight = F.when(F.col("label") == value, 1 / part).otherwise(weight)
+    ids = own.filter(keep).withColumn("weight", weight)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(ids), "id")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import Memo, texts_of
+from clausemill.llm.common import texts_of, trim
 
 WORD = re.compile(r"\w+")
 ERROR_SHARE = 0.05
@@ -82,7 +82,7 @@ class Searcher:
         for piece, at in pieces.items():
             self.tree.add_word(piece, (len(piece), at))
         self.tree.make_automaton()
-        self.tried = Memo(20_000)
+        self.tried: dict[tuple[int, str], tuple[int, int]] = {}
 
     def search(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item number, distance, start of the searched window, end) of every item found, its closest place."""
@@ -104,7 +104,7 @@ class Searcher:
                 hit = self.tried.get(key)
                 if hit is None:
                     hit = self.tried[key] = self.patterns[n].best(key[1])
-                    self.tried.trim()
+                    trim(self.tried, 20_000)
                 if hit[0] <= k and (best is None or hit[0] < best[1]):
                     best = n, hit[0], a, a + hit[1]
             if best:

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import Memo, texts_of
+from clausemill.llm.common import texts_of, trim
 
 # One run of letters with fixed composition and case mapping, then marks that the tokenizer keeps together.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
@@ -37,8 +37,7 @@ class Encoder:
         letters = [chr(c) for c in range(0x41, 0x100) if SIMPLE.fullmatch(chr(c))]
         mapped = {c: "".join(s for s, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in letters}
         self.letters = str.maketrans(mapped)
-        self.parts, self.words, self.marks = Memo(MEMO_ENTRIES), Memo(MEMO_ENTRIES), {"": b""}
-        self.parts[""] = b""
+        self.parts, self.words, self.marks = {"": b""}, {}, {"": b""}
 
     def full(self, part: str) -> bytes:
         return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
@@ -71,10 +70,8 @@ class Encoder:
                     if len(p) <= 64:
                         seen[p] = ids
                 out.append(ids)
-            if len(seen) > seen.most:
-                seen.clear()
-                seen[""] = b""
-            self.words.trim()
+            trim(seen, MEMO_ENTRIES)
+            trim(self.words, MEMO_ENTRIES)
             return b"".join(out)
 
 

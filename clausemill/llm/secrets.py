@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import Memo, texts_of
+from clausemill.llm.common import texts_of, trim
 
+MEMO_ENTRIES = 50_000
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+", re.A)
@@ -157,12 +158,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost, seen = GuessCost(words), Memo(50_000)
+        cost, seen = GuessCost(words), {}
         for batch in batches:
             rows = []
             for text in texts_of(batch.column(1)):
                 base, spans = all_spans(text, least, cost, seen)
-                seen.trim()
+                trim(seen, MEMO_ENTRIES)
                 kinds = [k for _, k, _ in spans]
                 rows.append((kinds.count(0), kinds.count(1), kinds.count(2), kinds.count(3), hashlib.sha256(told(base).encode()).hexdigest(), told(spans)))
             columns = list(zip(*rows)) if rows else [[]] * 6
@@ -188,7 +189,12 @@ def redacted(text: Column, least: float = 9.0, words: tuple[str, ...] = tuple(CO
 
     @F.pandas_udf("string")
     def clean(series: pd.Series) -> pd.Series:
-        cost, seen = GuessCost(cost_words), Memo(50_000)
-        return series.map(lambda t: None if t is None else redact(t, all_spans(t, least, cost, seen)[1], mark))
+        cost, seen = GuessCost(cost_words), {}
+
+        def one(text: str | None) -> str | None:
+            trim(seen, MEMO_ENTRIES)
+            return None if text is None else redact(text, all_spans(text, least, cost, seen)[1], mark)
+
+        return series.map(one)
 
     return clean(text)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import Memo, by_bytes, texts_of
+from clausemill.llm.common import by_bytes, texts_of, trim
 
 SPACE = "▁"  # the model's own sign for a space
 SAFE = re.compile(f"(?<=[^ {SPACE}]) (?=[^ {SPACE}])")
@@ -38,13 +38,13 @@ class Counter:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         vocabulary = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in vocabulary)
-        self.seen = Memo(MEMO_ENTRIES)
+        self.seen: dict[str, int] = {}
 
     def lengths(self, texts: list[str]) -> list[int]:
         if not self.splits:
             return [len(x) for run in by_bytes(texts, BATCH_CHARS) for x in self.model.encode(run, num_threads=1)]
         pieces = [safe_pieces(t) for t in texts]
-        self.seen.trim()
+        trim(self.seen, MEMO_ENTRIES)
         seen, long = self.seen, {}
         for run in by_bytes(set(chain.from_iterable(pieces)).difference(seen), BATCH_CHARS):
             for p, ids in zip(run, self.model.encode(run, num_threads=1)):
