@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clausemill.llm import decontamination, near_dups, packing, quality, secrets, tokens, toxicity, urls
+from clausemill.llm import decontamination, fingerprints, near_dups, packing, quality, secrets, tokens, toxicity, urls
 from clausemill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,8 @@ def op1_toxicity(spark, sf_dir):
 def op2_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op4_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
