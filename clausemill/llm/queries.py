@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clausemill.llm import decontamination, fingerprints, near_dups, packing, quality, secrets, tokens, toxicity, urls
+from clausemill.llm import chat, decontamination, fingerprints, near_dups, packing, quality, secrets, tokens, toxicity, urls
 from clausemill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +82,12 @@ def op2_quality(spark, sf_dir):
 @query
 def op4_fingerprints(spark, sf_dir):
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_chat_format(spark, sf_dir):
+    raw = chat.as_transcript(table(spark, sf_dir, "conversations"))
+    return chat.recover(raw, chat.learn(raw.withColumnRenamed("part", "turn")))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
