@@ -29,13 +29,13 @@ def recall_at_k(t):
 
 @query(
     "keyword_recall_at_k",
-    f"""WITH {BM25}, kw AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z]{{6,}}')[1:4]) AS keyword FROM benchmark),
+    f"""WITH {BM25}, kw AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z]{{6,}}')) AS keyword FROM benchmark),
 f AS (SELECT query_id, keyword, EXISTS (SELECT 1 FROM bm25 b JOIN documents d USING (doc_id) WHERE b.query_id = kw.query_id AND b.rank <= 3 AND contains(lower(d.text), keyword)) AS f FROM kw)
 SELECT query_id, max(f::INT)::BIGINT AS hit, round(avg(f::INT), 6) AS share FROM f GROUP BY query_id""",
 )
 def keyword_recall_at_k(t):
     res = ix.bm25_topk(t.questions(), index(t), 3).join(t.docs(), "doc_id").select("query_id", "rank", "text")
-    kw = t.questions().select("query_id", F.explode(F.array_distinct(F.slice(tx.matches(F.lower("query"), "[a-z]{6,}"), 1, 4))).alias("keyword"))
+    kw = t.questions().select("query_id", F.explode(F.array_distinct(tx.matches(F.lower("query"), "[a-z]{6,}"))).alias("keyword"))
     return ev.keyword_recall_at_k(res, kw, 3).select("query_id", F.col("hit").cast("long"), F.round("share", 6).alias("share"))
 
 
@@ -61,14 +61,14 @@ def intent_accuracy(t):
     return ev.intent_accuracy(pred, gold).withColumn("accuracy", F.round("accuracy", 6))
 
 
-GOLDEN = """golden AS (SELECT doc_id AS id, source AS regulation, lang AS language, string_split(text, chr(10))[1] AS query, regexp_extract_all(text, '[A-Z][a-z]{3,}')[1:2] AS sections,
-  regexp_extract_all(text, '[a-z]{5,}')[1:3] AS keywords, CASE WHEN toxic = 1 THEN 'flag' WHEN quality = 1 THEN 'fact' END AS answer_type FROM labels JOIN documents USING (doc_id))"""
+GOLDEN = """golden AS (SELECT doc_id AS id, source AS regulation, lang AS language, string_split(text, chr(10))[1] AS query, regexp_extract_all(text, '[A-Z][a-z]{3,}') AS sections,
+  regexp_extract_all(text, '[a-z]{5,}') AS keywords, CASE WHEN toxic = 1 THEN 'flag' WHEN quality = 1 THEN 'fact' END AS answer_type FROM labels JOIN documents USING (doc_id))"""
 
 
 def golden(t: Tables):
     return t("labels").join(t("documents"), "doc_id").select(
         F.col("doc_id").alias("id"), F.col("source").alias("regulation"), F.col("lang").alias("language"), F.split("text", "\n")[0].alias("query"),
-        F.slice(tx.matches(F.col("text"), "[A-Z][a-z]{3,}"), 1, 2).alias("sections"), F.slice(tx.matches(F.col("text"), "[a-z]{5,}"), 1, 3).alias("keywords"),
+        tx.matches(F.col("text"), "[A-Z][a-z]{3,}").alias("sections"), tx.matches(F.col("text"), "[a-z]{5,}").alias("keywords"),
         F.when(F.col("toxic") == 1, "flag").when(F.col("quality") == 1, "fact").alias("answer_type"))
 
 
@@ -122,12 +122,12 @@ def retrieval_scorecard(t):
 
 @query(
     "keyword_pass_rate",
-    f"""WITH {ANSWERS}, e AS (SELECT answer_id, answer, CASE WHEN length(query) > 150 THEN 'long' ELSE 'short' END AS category, list_distinct(regexp_extract_all(query, '[a-z]{{4,}}')[1:4]) AS k FROM answers),
+    f"""WITH {ANSWERS}, e AS (SELECT answer_id, answer, CASE WHEN length(query) > 150 THEN 'long' ELSE 'short' END AS category, list_distinct(regexp_extract_all(query, '[a-z]{{4,}}')) AS k FROM answers),
 o AS (SELECT category, len(k) > 0 AND len(list_filter(k, lambda w: contains(answer, w))) >= len(k) * 0.5 AS ok FROM e) SELECT category, count(*) AS n, count(*) FILTER (ok) AS passed, round(avg(ok::INT), 6) AS rate FROM o GROUP BY category""",
 )
 def keyword_pass_rate(t):
     a = t.answers()
-    e = a.select("answer_id", F.when(F.length("query") > 150, "long").otherwise("short").alias("category"), F.array_distinct(F.slice(tx.matches(F.col("query"), "[a-z]{4,}"), 1, 4)).alias("keywords"))
+    e = a.select("answer_id", F.when(F.length("query") > 150, "long").otherwise("short").alias("category"), F.array_distinct(tx.matches(F.col("query"), "[a-z]{4,}")).alias("keywords"))
     return ev.keyword_pass_rate(a, e).withColumn("rate", F.round("rate", 6))
 
 

@@ -82,8 +82,8 @@ COMP = {"engine": "gine|tion", "gear": "keit|ger", "fire": "feu|fire"}
 _F = " UNION ALL ".join(
     ["SELECT node_id, 'requirement' AS kind, 'yes' AS value FROM sections WHERE regexp_matches(text, 'shall|that')"]
     + [f"SELECT node_id, 'component', '{k}' FROM sections WHERE regexp_matches(text, '{p}')" for k, p in COMP.items()]
-    + [r"SELECT node_id, 'percent', unnest(regexp_extract_all(text, '\d+[%#$]')[1:3]) FROM sections", r"SELECT node_id, 'duration', unnest(regexp_extract_all(text, '\d{2,}\.\d+')[1:2]) FROM sections",
-       "SELECT node_id, 'condition', 'yes' FROM sections WHERE regexp_matches(text, ' if | que ')", "SELECT node_id, 'reference', unnest(regexp_extract_all(text, '[A-Z][a-z]+ion')[1:3]) FROM sections"])
+    + [r"SELECT node_id, 'percent', unnest(regexp_extract_all(text, '\d+[%#$]')) FROM sections", r"SELECT node_id, 'duration', unnest(regexp_extract_all(text, '\d{2,}\.\d+')) FROM sections",
+       "SELECT node_id, 'condition', 'yes' FROM sections WHERE regexp_matches(text, ' if | que ')", "SELECT node_id, 'reference', unnest(regexp_extract_all(text, '[A-Z][a-z]+ion')) FROM sections"])
 
 
 @query("section_facets", f"WITH {SECTIONS} {_F}")
@@ -327,15 +327,15 @@ SELECT keyword, src, dst, type FROM (SELECT *, row_number() OVER (PARTITION BY k
 )
 def keyword_edges(t):
     nodes, edges = t.graph()
-    return gq.keyword_edges(KEYWORDS, nodes, edges).drop("rank")
+    return gq.keyword_edges(KEYWORDS, nodes, edges, limit=20).drop("rank")
 
 
 FAM = "CASE WHEN lower({0}) IN ('chapter', 'section', 'regulation', 'requirement', 'clause') THEN 'regulation' WHEN lower({0}) IN ('component', 'rotorpart', 'statorpart', 'accessory', 'module', 'system') THEN 'component' ELSE 'support' END"
-NQ = "nq AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS query FROM benchmark)"
+NQ = "nq AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 
 
 def node_queries(t: Tables):
-    return t("benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("query"))
+    return t.questions()
 
 
 @query(
@@ -458,7 +458,7 @@ SELECT source, target, length, path, rank FROM (SELECT *, row_number() OVER (PAR
 )
 def paths(t):
     pairs = t("region").select(F.concat(F.lit("page:"), "r_regionkey").alias("source"), F.lit("word:the").alias("target"))
-    out = gq.paths(pairs, t.graph()[1], 4)
+    out = gq.paths(pairs, t.graph()[1], 4, limit=10)
     return out.withColumns({"length": F.col("length").cast("long"), "rank": F.col("rank").cast("long")})
 
 
@@ -468,7 +468,7 @@ def paths(t):
 SELECT query_id, src, dst, type, node_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY node_rank, src, dst, type) AS rank FROM e) WHERE rank <= 20""",
 )
 def semantic_relations(t):
-    out = gq.semantic_relations(node_queries(t), *t.graph())
+    out = gq.semantic_relations(node_queries(t), *t.graph(), limit=20)
     return out.withColumns({"node_rank": F.col("node_rank").cast("long"), "rank": F.col("rank").cast("long")})
 
 

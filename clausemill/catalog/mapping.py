@@ -57,25 +57,35 @@ def similarity_to_first(t):
     return mp.similarity_to_first(members(t), "[a-z]{3,}").withColumn("similarity", F.round("similarity", 6))
 
 
+@query(
+    "similar_pairs",
+    f"""WITH {MEMBERS}, w AS (SELECT "group", number, node_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS words FROM members),
+p AS (SELECT a."group", a.number, a.node_id, b.node_id AS other, len(list_intersect(a.words, b.words)) AS i, len(a.words) + len(b.words) AS u FROM w a JOIN w b ON a."group" = b."group" AND a.number = b.number AND a.node_id < b.node_id),
+s AS (SELECT *, CASE WHEN u - i > 0 THEN i::DOUBLE / (u - i) ELSE 0 END * 100 AS sim FROM p)
+SELECT "group", number, node_id, other, round(sim, 6) AS similarity, {LEVEL.format('sim')} AS level FROM s WHERE sim >= 40""",
+)
+def similar_pairs(t):
+    return mp.similar_pairs(members(t), "[a-z]{3,}").withColumn("similarity", F.round("similarity", 6))
+
+
 @query(
     "equivalents",
-    f"""WITH {MEMBERS}, w AS (SELECT number, min(doc) AS w_doc FROM members GROUP BY number)
-SELECT w_doc, number, doc AS other_doc, node_id AS other FROM members JOIN w USING (number) WHERE doc <> w_doc""",
+    f"""WITH {MEMBERS}, w AS (SELECT "group", number, min(doc) AS w_doc FROM members GROUP BY "group", number)
+SELECT m."group", w_doc, m.number, doc AS other_doc, node_id AS other FROM members m JOIN w ON m."group" = w."group" AND m.number = w.number WHERE doc <> w_doc""",
 )
 def equivalents(t):
     m = members(t)
-    return mp.equivalents(m, m.groupBy("number").agg(F.min("doc").alias("doc")))
-
-
-DOCS = ["src0", "src1", "src2", "src3"]
+    return mp.equivalents(m, m.groupBy("group", "number").agg(F.min("doc").alias("doc")))
 
 
 @query(
     "mapping_table",
-    f"WITH {MEMBERS} SELECT number, " + ", ".join(f"coalesce(min(node_id) FILTER (doc = '{d}'), '') AS {d}" for d in DOCS) + f" FROM members WHERE doc IN ({', '.join(repr(d) for d in DOCS)}) GROUP BY number",
+    f"""WITH {MEMBERS}, f AS (SELECT "group", number, doc, min(node_id) AS node_id FROM members GROUP BY ALL)
+SELECT "group", number, string_agg(doc || '=' || node_id, ',' ORDER BY doc) AS sections FROM f GROUP BY "group", number""",
 )
 def mapping_table(t):
-    return mp.mapping_table(members(t), DOCS).fillna("", DOCS)
+    told = F.array_join(F.transform(F.map_entries("sections"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return mp.mapping_table(members(t)).select("group", "number", told.alias("sections"))
 
 
 EXPECTED = "ex AS (SELECT DISTINCT 'src' || (n_nationkey) AS doc, 'g' || (n_nationkey % 4) AS \"group\" FROM nation)"
@@ -146,7 +156,8 @@ def mapping_report(t):
 @query(
     "shared_term_links",
     f"""WITH {SECTIONS}, m AS (SELECT DISTINCT doc, node_id, unnest(regexp_extract_all(lower(title), '[a-z]{{5,}}')) AS term FROM sections), {star_doc_sql('m', 'term', 'node_id', 'doc')}
-SELECT src, dst, count(*) AS shared, min(term) AS first_term, round(least(count(*) * 0.3::DOUBLE, 1), 6) AS confidence FROM star GROUP BY src, dst ORDER BY shared DESC, src, dst LIMIT 50""",
+SELECT l.src, l.dst, count(*) AS shared, min(a.term) AS first_term, round(count(*) * 0.3::DOUBLE, 6) AS confidence
+FROM (SELECT DISTINCT src, dst FROM star) l JOIN m a ON a.node_id = l.src JOIN m b ON b.node_id = l.dst AND b.term = a.term GROUP BY l.src, l.dst""",
 )
 def shared_term_links(t):
     return mp.shared_term_links(t.sections(), "[a-z]{5,}").withColumn("confidence", F.round("confidence", 6))
@@ -154,12 +165,12 @@ def shared_term_links(t):
 
 @query(
     "equivalence_lookup",
-    """WITH l AS (SELECT l_orderkey AS link, 'p' || l_partkey AS clause FROM lineitem), w AS (SELECT 'p' || p_partkey AS clause FROM part WHERE p_name LIKE 'small%')
+    """WITH l AS (SELECT l_orderkey AS link, 'p' || l_partkey AS clause FROM lineitem), w AS (SELECT 'p' || p_partkey AS clause FROM part)
 SELECT DISTINCT a.clause AS wanted, b.clause AS other FROM l a JOIN l b USING (link) WHERE a.clause <> b.clause AND a.clause IN (SELECT clause FROM w)""",
 )
 def equivalence_lookup(t):
     links = t("lineitem").select(F.col("l_orderkey").alias("link"), F.concat(F.lit("p"), "l_partkey").alias("clause"))
-    return mp.equivalence_lookup(links, t("part").filter("p_name like 'small%'").select(F.concat(F.lit("p"), "p_partkey").alias("clause")))
+    return mp.equivalence_lookup(links, t("part").select(F.concat(F.lit("p"), "p_partkey").alias("clause")))
 
 
 @query(

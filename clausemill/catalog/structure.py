@@ -211,7 +211,7 @@ p AS (SELECT id, id AS path, 1 AS depth FROM n WHERE parent IS NULL UNION ALL SE
 SELECT id, path, depth::BIGINT AS depth FROM p""",
 )
 def tree_paths(t):
-    return st.tree_paths(star_tree(t), 4).select("id", F.array_join("path", ">").alias("path"), F.col("depth").cast("long"))
+    return st.tree_paths(star_tree(t)).select("id", F.array_join("path", ">").alias("path"), F.col("depth").cast("long"))
 
 
 def star_tree(t: Tables):

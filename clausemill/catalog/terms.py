@@ -89,14 +89,13 @@ def expand_mixed(t):
 
 @query(
     "expand_by_containment",
-    f"""WITH {DICT}, d AS (SELECT DISTINCT term, synonym FROM dict WHERE length(term) BETWEEN 3 AND 8 AND length(synonym) BETWEEN 3 AND 8)
+    f"""WITH {DICT}, d AS (SELECT DISTINCT term, synonym FROM dict)
 SELECT DISTINCT query_id, term FROM (
   SELECT item_id AS query_id, synonym AS term FROM benchmark, d WHERE contains(lower(text), d.term)
   UNION ALL SELECT item_id, d.term FROM benchmark, d WHERE contains(lower(text), d.synonym))""",
 )
 def expand_by_containment(t):
-    pairs = synonyms(t).filter("length(term) between 3 and 8 and length(synonym) between 3 and 8")
-    return tm.expand_by_containment(t.questions().withColumn("query", F.lower("query")), pairs, 3, 8)
+    return tm.expand_by_containment(t.questions().withColumn("query", F.lower("query")), synonyms(t))
 
 
 @query(
@@ -131,23 +130,17 @@ def tag_terms(t):
     f"""WITH {DICT}, names AS (SELECT term AS name FROM dict UNION SELECT synonym FROM dict),
 mine AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS term FROM part UNION
   SELECT DISTINCT unnest({tok('text')}) FROM benchmark),
-m AS (SELECT term FROM mine WHERE length(term) BETWEEN 3 AND 10), n AS (SELECT name FROM names WHERE length(name) BETWEEN 3 AND 10)
-SELECT DISTINCT term, name FROM m, n WHERE term <> name AND (contains(term, name) OR contains(name, term))""",
+m AS (SELECT term FROM mine WHERE length(term) > 0)
+SELECT DISTINCT term, name FROM m, names WHERE term <> name AND (contains(term, name) OR contains(name, term))""",
 )
 def related_terms(t):
-    return tm.related_terms(words_table(t).filter("length(term) between 3 and 10"), short_dict(t), 3, 10)
+    return tm.related_terms(words_table(t), synonyms(t))
 
 
 def words_table(t: Tables):
     a = t("part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("term"))
     b = t("benchmark").select(F.explode(tx.search_tokens(F.col("text"))).alias("term"))
-    return a.union(b).distinct()
-
-
-def short_dict(t: Tables):
-    d = synonyms(t)
-    names = d.select(F.col("term").alias("synonym")).union(d.select("synonym")).filter("length(synonym) between 3 and 10").distinct()
-    return names.select(F.col("synonym").alias("term"), "synonym")
+    return a.union(b).filter("length(term) > 0").distinct()
 
 
 @query(
@@ -213,12 +206,13 @@ def extract_terms(t):
 
 @query(
     "cooccurrence",
-    f"""WITH occ AS (SELECT doc_id, unnest(list_filter({KEYS + REQ}, lambda w: contains(text, w))) AS term FROM documents),
-p AS (SELECT a.term AS t1, b.term AS t2, count(*) AS n FROM occ a JOIN occ b USING (doc_id) WHERE a.term <> b.term GROUP BY ALL)
+    f"""WITH {TERMS_SQL}, o AS (SELECT DISTINCT node_id, term FROM occ WHERE term IN (SELECT term FROM terms)),
+p AS (SELECT a.term AS t1, b.term AS t2, count(*) AS n FROM o a JOIN o b USING (node_id) WHERE a.term <> b.term GROUP BY ALL)
 SELECT * FROM p WHERE n >= 2""",
 )
 def cooccurrence(t):
-    return tm.cooccurrence(t.sections(), KEYS + REQ, 2)
+    o = occurrences(t)
+    return tm.cooccurrence(o, tm.extract_terms(o), 2)
 
 
 @query(
@@ -259,26 +253,25 @@ def ontology_by_category(t):
 
 @query(
     "find_synonyms",
-    f"""WITH {DICT}, n AS (SELECT name FROM (SELECT term AS name FROM dict UNION SELECT synonym FROM dict) WHERE length(name) BETWEEN 3 AND 10),
-m AS (SELECT DISTINCT term FROM (SELECT unnest({tok('text')}) AS term FROM benchmark UNION SELECT unnest(string_split(lower(p_name), ' ')) FROM part)
-  WHERE length(term) BETWEEN 3 AND 10)
+    f"""WITH {DICT}, n AS (SELECT term AS name FROM dict UNION SELECT synonym FROM dict),
+m AS (SELECT DISTINCT term FROM (SELECT unnest({tok('text')}) AS term FROM benchmark UNION SELECT unnest(string_split(lower(p_name), ' ')) FROM part) WHERE length(term) > 0)
 SELECT DISTINCT term, name FROM m, n WHERE term <> name AND (contains(term, name) OR contains(name, term))
 UNION SELECT term, name FROM (SELECT term, synonym AS name FROM dict UNION SELECT synonym, term FROM dict) WHERE term IN (SELECT term FROM m)""",
 )
 def find_synonyms(t):
-    return tm.find_synonyms(words_table(t).filter("length(term) between 3 and 10"), short_dict(t), synonyms(t), 3, 10)
+    return tm.find_synonyms(words_table(t), synonyms(t), synonyms(t))
 
 
 @query(
     "discover_new_terms",
-    f"""WITH f AS (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{3,4}}')) AS term FROM conversations WHERE role = 'user') GROUP BY term),
+    f"""WITH f AS (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{3,6}}')) AS term FROM conversations WHERE role = 'user') GROUP BY term),
 k AS (SELECT DISTINCT unnest({tok('text')}) AS w FROM benchmark),
-parts AS (SELECT w AS term FROM k UNION SELECT substr(w, i, s) FROM k, range(1, length(w) + 1) r(i), (VALUES (2), (3), (4)) v(s) WHERE i + s - 1 <= length(w))
+parts AS (SELECT DISTINCT term FROM f, k WHERE contains(w, term))
 SELECT term, n FROM f WHERE term NOT IN (SELECT term FROM parts) ORDER BY n DESC, term LIMIT 20""",
 )
 def discover_new_terms(t):
     known = t("benchmark").select(F.explode(tx.search_tokens(F.col("text"))).alias("term"))
-    return tm.discover_new_terms(t("conversations").filter("role = 'user'"), known, "[a-z]{3,4}", "text")
+    return tm.discover_new_terms(t("conversations").filter("role = 'user'"), known, "[a-z]{3,6}", "text")
 
 
 @query("validate_terms", r"SELECT p_partkey, p_name AS term, regexp_full_match(p_name, '[A-Za-z0-9\-\s]{2,15}') AS valid FROM part")

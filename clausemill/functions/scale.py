@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import sys
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 8
+DEFAULT_SALTS = 1
 
 
 # Adds size(array) > 0 below every explode. Here the arrays are regex results, so each text would be tokenised twice.
@@ -32,18 +34,21 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def salts(spark: SparkSession) -> int:
-    """How many slices a hot key is spread over; raise it with the cluster size."""
+    """Slices every key is cut into. 1 leaves hot keys to the adaptive split, which acts on measured sizes."""
     return int(spark.conf.get("clausemill.salts", str(DEFAULT_SALTS)))
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: str, how: str = "inner") -> DataFrame:
-    """Equi-join that cuts every key of `big` into slices by the hash of its `spread` column.
+    """Equi-join whose hot keys are split: by the adaptive skew join where a shuffled key turns out large, so nothing is copied otherwise.
 
-    The small side is repeated once per slice, so one hot key is worked on by many tasks.
+    With `clausemill.salts` above 1 every key of `big` is cut into so many slices by the hash of its `spread` column instead, and
+    `small` is repeated once per slice: for plans in which adaptive splitting does not apply (below a window on the join key).
     No broadcast is forced: Spark picks it by measured size, otherwise both sides shuffle.
     `how` may be inner, left or left_semi (big on the left).
     """
     n = salts(big.sparkSession)
+    if n <= 1:
+        return big.join(small, on, how)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(n)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
@@ -70,14 +75,39 @@ def spread_out(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a private one only where none is set (tests)."""
+    """Shared folder named by the cluster. Only a session on one machine may do without; it gets a private one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="clausemill-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+_owned: dict[str, SparkSession] = {}
+
+
+def stored_root(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is removed when the application ends."""
+    path = f"{checkpoint_root(spark)}/stored-{spark.sparkContext.applicationId}"
+    if path not in _owned:
+        _owned[path] = spark
+        atexit.register(drop_stored, spark, path)
+    return path
+
+
+def drop_stored(spark: SparkSession, path: str | None = None) -> None:
+    """Removes what `stored` wrote for this application. Call it when a job is done and its result is written."""
+    path = path or stored_root(spark)
+    try:
+        jvm = spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+    except Exception as gone:  # at exit the gateway may have ended; the cluster's clean-up of the folder then applies
+        print(f"left behind: {path} ({type(gone).__name__})", file=sys.stderr)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an iteration's state to reliable storage and read on from there."""
     sc = df.sparkSession.sparkContext
@@ -91,7 +121,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     It is computed once, later readers prune its columns, and a lost executor costs a re-read, not a re-computation.
     """
-    path = f"{checkpoint_root(df.sparkSession)}/stored/{name}-{uuid.uuid4().hex}"
+    path = f"{stored_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -146,7 +176,8 @@ def exact_percentile(df: DataFrame, keys: list[str], value: str, bucket: Column,
         .select(*keys, "_b", "p", "_pos")
     )
     inner = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("_cum", F.sum("_n").over(inner))
+    # Only buckets that hold a wanted position are sorted.
+    ranked = counts.join(wanted.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi").withColumn("_cum", F.sum("_n").over(inner))
     return (
         ranked.join(wanted, [*keys, "_b"])
         .filter((F.col("_pos") < F.col("_cum")) & (F.col("_pos") >= F.col("_cum") - F.col("_n")))

@@ -97,23 +97,28 @@ def section_graph(sections: DataFrame, chapters: DataFrame) -> tuple[DataFrame,
     return nodes, edges
 
 
-def section_facets(sections: DataFrame, requirement: str, components: dict[str, str], percent: str, duration: str, condition: str, reference: str, text: str = "text") -> DataFrame:
-    """(node_id, kind, value): requirement, component hits, first 3 percentages, first 2 durations, condition,
-    first 3 references."""
+def section_facets(sections: DataFrame, requirement: str, components: dict[str, str], percent: str, duration: str, condition: str, reference: str, text: str = "text",
+                   first: dict[str, int] | None = None) -> DataFrame:
+    """(node_id, kind, value): requirement, component hits, percentages, durations, condition, references.
+
+    `first` may keep only the first n of a kind (percent, duration, reference).
+    """
     t = F.col(text)
 
     def flag(kind: str, cond: Column) -> Column:
         one = F.array(F.struct(F.lit(kind).alias("kind"), F.lit("yes").alias("value")))
         return F.when(cond, one).otherwise(F.slice(one, 1, 0))
 
-    def some(kind: str, pattern: str, n: int) -> Column:
-        return F.transform(F.slice(tx.matches(t, pattern), 1, n), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    def some(kind: str, pattern: str) -> Column:
+        hits = tx.matches(t, pattern)
+        hits = F.slice(hits, 1, first[kind]) if first and kind in first else hits
+        return F.transform(hits, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
     comp = F.transform(
         F.filter(F.array(*[F.struct(F.lit(k).alias("k"), t.rlike(p).alias("h")) for k, p in components.items()]), lambda c: c["h"]),
         lambda c: F.struct(F.lit("component").alias("kind"), c["k"].alias("value")))
-    packed = F.concat(flag("requirement", t.rlike(requirement)), comp, some("percent", percent, 3), some("duration", duration, 2),
-                      flag("condition", t.rlike(condition)), some("reference", reference, 3))
+    packed = F.concat(flag("requirement", t.rlike(requirement)), comp, some("percent", percent), some("duration", duration),
+                      flag("condition", t.rlike(condition)), some("reference", reference))
     return sections.select("node_id", F.inline(packed))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
-from clausemill.functions.scale import containment_join, cut_lineage, salted_join, top_per
+from clausemill.functions.scale import containment_join, cut_lineage, salted_join, stored, top_per
 from clausemill.operators.rules import node_family
 
 # Order of the node families.
@@ -23,8 +23,8 @@ def family_rank(type_: Column) -> Column:
     return F.element_at(table, node_family(type_))
 
 
-def keyword_edges(keywords: list[str], nodes: DataFrame, edges: DataFrame, limit: int | None = 20) -> DataFrame:
-    """Q1: edges whose ends or description hold a keyword; the first `limit` per keyword are the report.
+def keyword_edges(keywords: list[str], nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """Q1: edges whose ends or description hold a keyword; only the first `limit` per keyword on request.
 
     Keywords are matched where the labels are, before the join: an edge qualifies by either end.
     """
@@ -88,7 +88,7 @@ def khop(seeds: DataFrame, edges: DataFrame, depth: int, with_seed: bool = False
     One join per level from the frontier only; visited pairs leave by anti join; edges of a hub are sliced.
     seeds(seed).
     """
-    around = both_ways(edges)
+    around = stored(both_ways(edges), "around")  # once, not once per level
     # Seeds are a short list; stored rows also keep constant seeds from being folded through the level joins.
     frontier = cut_lineage(seeds.select("seed").distinct()).select("seed", F.col("seed").alias("id"))
     seen = frontier.withColumn("distance", F.lit(0))
@@ -116,7 +116,7 @@ def expand_subgraph(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, limit:
     """
     info = nodes.join(degrees(edges), "id", "left").filter(F.lower("type") != skip_type).select(
         "id", F.struct(family_rank(F.col("type")).alias("f"), (-F.coalesce("degree", F.lit(0))).alias("d"), F.col("label").alias("l"), F.col("id").alias("i")).alias("prio"))
-    around = both_ways(edges)
+    around = stored(both_ways(edges), "around")  # once, not once per level
     start = seeds.join(info.select("id"), "id", "left_semi")
     level = top_per(start, ["query_id"], [F.col("position")], limit, "pos").select("query_id", "id", F.col("pos").cast("long"))
     seen = level.withColumn("level", F.lit(0))
@@ -190,13 +190,13 @@ def resolve_node(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
     return exact.select("name", "stage", "id").union(rest).groupBy("name").agg(F.min(F.struct("stage", "id")).alias("m")).select("name", "m.*")
 
 
-def paths(pairs: DataFrame, edges: DataFrame, max_len: int = 4, limit: int | None = 10) -> DataFrame:
+def paths(pairs: DataFrame, edges: DataFrame, max_len: int = 4, limit: int | None = None) -> DataFrame:
     """Q11: simple undirected paths of at most `max_len` nodes per (source, target) pair; the shortest first.
 
     A path is only extended to nodes from which the target is still within the remaining steps, so dead ends of a
     hub are dropped before they multiply. pairs(source, target).
     """
-    around = both_ways(edges)
+    around = stored(both_ways(edges), "around")  # once, not once per level
     pairs = cut_lineage(pairs)
     reach = cut_lineage(khop(pairs.select(F.col("target").alias("seed")).distinct(), edges, max_len - 1, with_seed=True)).select(
         F.col("seed").alias("target"), F.col("id").alias("dst"), "distance")
@@ -213,14 +213,15 @@ def paths(pairs: DataFrame, edges: DataFrame, max_len: int = 4, limit: int | Non
     return out if limit is None else top_per(out, ["source", "target"], [F.col("length"), F.col("path")], limit)
 
 
-def semantic_relations(queries: DataFrame, nodes: DataFrame, edges: DataFrame, best: int = 5, limit: int = 20) -> DataFrame:
-    """Q12: edges that touch the best nodes of a query, first `limit` by node rank."""
+def semantic_relations(queries: DataFrame, nodes: DataFrame, edges: DataFrame, best: int = 5, limit: int | None = None) -> DataFrame:
+    """Q12: edges that touch the best nodes of a query by node rank; only the first `limit` on request."""
     top = score_nodes(queries, nodes, best).select("query_id", "id", "score", F.col("rank").alias("node_rank"))
     a = salted_join(edges, top.withColumnRenamed("id", "src"), ["src"], spread="dst")
     b = salted_join(edges, top.withColumnRenamed("id", "dst"), ["dst"], spread="src")
     cols = ["query_id", "src", "dst", "type", "node_rank"]
     every = a.select(*cols).union(b.select(*cols)).groupBy("query_id", "src", "dst", "type").agg(F.min("node_rank").alias("node_rank"))
-    return top_per(every, ["query_id"], [F.col("node_rank"), F.col("src"), F.col("dst"), F.col("type")], limit)
+    order = [F.col("node_rank"), F.col("src"), F.col("dst"), F.col("type")]
+    return every if limit is None else top_per(every, ["query_id"], order, limit)
 
 
 def degree_stats(edges: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Mappings between documents.
 
 sections(doc, node_id, number, title, text), groups(group, doc). A mapping is a (group, number) found in two or
-more records; its members stay rows and are compared with the mapping's first member, never pairwise.
+more records; its members stay rows.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
-from clausemill.functions.scale import salted_join, star_edges, top_per
+from clausemill.functions.scale import salted_join, star_edges, stored, top_per
 
 KEY = ["group", "number"]
 
@@ -55,16 +55,36 @@ def similarity_to_first(members: DataFrame, word: str = r"\S{3,}") -> DataFrame:
     return pairs.select(*KEY, F.col("f.node_id").alias("first"), "node_id", sim.alias("similarity"), level_of(sim).alias("level"))
 
 
+def similar_pairs(members: DataFrame, word: str = r"\S{3,}", least: float = 40) -> DataFrame:
+    """M3: all pairs of a mapping whose word sets have a Jaccard similarity (x 100) of `least` or more, with their level.
+
+    Prefix filter: with words in one order, rarest first, a pair that reaches the level shares a word among the first
+    n - ceil(least n) + 1 of both sets. Only pairs that share such a word are compared, and none is missed.
+    """
+    words = members.select(*KEY, "node_id", F.explode(F.array_distinct(tx.matches(F.lower("text"), word))).alias("w"))
+    spread = words.groupBy("w").agg(F.count("*").alias("df"))
+    sets = words.join(spread, "w").groupBy(*KEY, "node_id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    sets = stored(sets.select(*KEY, "node_id", F.transform("ws", lambda x: x["w"]).alias("words")), "mapping-sets")
+    head = F.slice("words", F.lit(1), (F.size("words") - F.ceil(F.size("words") * (least / 100)) + 1).cast("int"))
+    heads = sets.select(*KEY, "node_id", F.explode(head).alias("w"))
+    near = heads.join(heads.withColumnRenamed("node_id", "other"), [*KEY, "w"]).filter("node_id < other").select(*KEY, "node_id", "other").distinct()
+    both = near.join(sets, [*KEY, "node_id"]).join(sets.select(*KEY, F.col("node_id").alias("other"), F.col("words").alias("o_words")), [*KEY, "other"])
+    common = F.size(F.array_intersect("words", "o_words"))
+    sim = tx.ratio(common, F.size("words") + F.size("o_words") - common) * 100
+    return both.select(*KEY, "node_id", "other", sim.alias("similarity")).filter(F.col("similarity") >= least).withColumn("level", level_of(F.col("similarity")))
+
+
 def equivalents(members: DataFrame, wanted: DataFrame) -> DataFrame:
-    """M4: members of other documents for the wanted (doc, number) pairs."""
-    asked = wanted.select(F.col("doc").alias("w_doc"), "number")
-    return salted_join(members, asked, ["number"], spread="node_id").filter(F.col("doc") != F.col("w_doc")).select(
-        "w_doc", "number", F.col("doc").alias("other_doc"), F.col("node_id").alias("other"))
+    """M4: members of the same mapping in other documents for the wanted (group, number, doc) rows."""
+    asked = wanted.select(*KEY, F.col("doc").alias("w_doc")).distinct()
+    return salted_join(members, asked, KEY, spread="node_id").filter(F.col("doc") != F.col("w_doc")).select(
+        "group", "w_doc", "number", F.col("doc").alias("other_doc"), F.col("node_id").alias("other"))
 
 
-def mapping_table(members: DataFrame, docs: list[str]) -> DataFrame:
-    """M5: one row per number, one column per listed document with its first section."""
-    return members.filter(F.col("doc").isin(docs)).groupBy("number").pivot("doc", docs).agg(F.min("node_id"))
+def mapping_table(members: DataFrame) -> DataFrame:
+    """M5: one row per mapping, with the first section of every document in it (a map from document to section)."""
+    first = members.groupBy(*KEY, "doc").agg(F.min("node_id").alias("node_id"))
+    return first.groupBy(*KEY).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("doc", "node_id")))).alias("sections"))
 
 
 def mapping_coverage(sections: DataFrame, members: DataFrame, expected: DataFrame) -> DataFrame:
@@ -118,15 +138,18 @@ def mapping_report(scored: DataFrame, k: int = 5, good: float = 70, bad: float =
     return best.select(*cols, F.lit("best").alias("list")).union(worst.select(*cols, F.lit("worst").alias("list")))
 
 
-def shared_term_links(sections: DataFrame, word: str, k: int | None = 50) -> DataFrame:
-    """Links between sections of different documents that share title terms, confidence .3 per term (at most 1).
+def shared_term_links(sections: DataFrame, word: str, k: int | None = None) -> DataFrame:
+    """Links between sections of different documents that share title terms, confidence .3 per shared term.
 
-    Per term, sections are linked to the term's first section; a link collects the terms that made it. The k
-    strongest links are the report.
+    Per term, sections are linked to the term's first section of another document; the terms that both ends of a link
+    share are then counted in full. Only the k strongest links on request.
     """
-    terms = sections.select("doc", "node_id", F.explode(F.array_distinct(tx.matches(F.lower("title"), word))).alias("term"))
-    links = star_edges(terms, ["term"], "node_id", "doc").groupBy("src", "dst").agg(F.count("*").alias("shared"), F.min("term").alias("first_term"))
-    rows = links.withColumn("confidence", F.least(F.col("shared") * 0.3, F.lit(1.0)))
+    titles = sections.select("doc", "node_id", F.array_distinct(tx.matches(F.lower("title"), word)).alias("terms"))
+    links = star_edges(titles.select("doc", "node_id", F.explode("terms").alias("term")), ["term"], "node_id", "doc").select("src", "dst").distinct()
+    ends = titles.select("node_id", "terms")
+    both = links.join(ends.select(F.col("node_id").alias("src"), F.col("terms").alias("a")), "src").join(ends.select(F.col("node_id").alias("dst"), F.col("terms").alias("b")), "dst")
+    common = F.array_intersect("a", "b")
+    rows = both.select("src", "dst", F.size(common).cast("long").alias("shared"), F.array_min(common).alias("first_term")).withColumn("confidence", F.col("shared") * 0.3)
     return rows if k is None else rows.orderBy(F.desc("shared"), "src", "dst").limit(k)
 
 

@@ -180,10 +180,15 @@ def found_in_evidence(answers: DataFrame, evidence: DataFrame, items: Column, wi
     return rows.select("answer_id", F.size("_i").alias("items")).join(found, "answer_id", "left").fillna(0, ["found"])
 
 
-def known_terms(answers: DataFrame, terminology: DataFrame, pattern: str = TERM, low: int = 2, high: int = 6) -> DataFrame:
-    """Per answer: terms matched by the pattern, how many are known (contained in a terminology text), distinct unknown."""
+def known_terms(answers: DataFrame, terminology: DataFrame, pattern: str = TERM) -> DataFrame:
+    """Per answer: terms matched by the pattern, how many are known (contained in a terminology text), distinct unknown.
+
+    Terminology texts are cut into n-grams of the lengths that occur among the terms, a short list of numbers.
+    """
     terms = answers.select("answer_id", F.posexplode(tx.matches(F.col("answer"), pattern)).alias("pos", "term")).withColumn("key", F.lower("term"))
-    known = terminology.select(F.explode(F.array_distinct(tx.ngrams_between(F.lower("text"), low, high))).alias("key")).distinct().withColumn("known", F.lit(True))
+    lengths = sorted(r[0] for r in terms.select(F.length("key")).distinct().collect() if r[0])
+    grams = F.array_distinct(F.concat(*[tx.char_ngrams(F.lower("text"), n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    known = terminology.select(F.explode(grams).alias("key")).distinct().withColumn("known", F.lit(True))
     rows = salted_join(terms, known, ["key"], spread="answer_id", how="left")
     per = rows.groupBy("answer_id", "term").agg(F.count("*").alias("n"), F.max("known").alias("known"))
     return per.groupBy("answer_id").agg(

@@ -195,21 +195,23 @@ def list_sections(sections: DataFrame, markers: list[str], doc: str | None = Non
     return out.select("doc", "number", "title", "page").orderBy("page", "doc", "number")
 
 
-def tree_paths(nodes: DataFrame, max_depth: int) -> DataFrame:
+def tree_paths(nodes: DataFrame) -> DataFrame:
     """Root-to-node path of every node. nodes(id, parent); roots have a null parent.
 
-    One join per level, children sliced by id so that a parent with very many children is spread out.
+    One join per level until a level is empty; a node that comes up again on its own path is an error.
     """
-    frontier = nodes.filter("parent is null").select("id", F.array("id").alias("path"))
+    frontier = cut_lineage(nodes.filter("parent is null").select("id", F.array("id").alias("path")))
     children = nodes.filter("parent is not null")
     levels = frontier
-    for depth in range(1, max_depth):
+    while True:
         known = frontier.select(F.col("id").alias("parent"), "path")
-        frontier = salted_join(children, known, ["parent"], spread="id").select("id", F.array_append("path", F.col("id")).alias("path"))
-        if depth % 4 == 0:
-            frontier = cut_lineage(frontier)
+        step = salted_join(children, known, ["parent"], spread="id")
+        cycle = F.raise_error(F.concat(F.lit("cycle at node "), F.col("id").cast("string")))
+        grown = F.when(F.array_contains("path", F.col("id")), cycle.cast("array<string>")).otherwise(F.array_append("path", F.col("id")))
+        frontier = cut_lineage(step.select("id", grown.alias("path")))
+        if frontier.isEmpty():
+            return levels.withColumn("depth", F.size("path"))
         levels = levels.unionByName(frontier)
-    return levels.withColumn("depth", F.size("path"))
 
 
 def parse_issues(headers: DataFrame) -> DataFrame:

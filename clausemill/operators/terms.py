@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
-from clausemill.functions.scale import salted_join
+from clausemill.functions.scale import containment_join
 
 # Word lists of the term rules.
 ALLOWED_ABBREVIATIONS = ["APU", "OEI", "ETOPS", "VMC", "VNE", "TC", "PC", "FAR", "CCAR", "CS"]
@@ -122,20 +122,16 @@ def expand_mixed(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     return out.filter(F.length(F.trim("term")) > 0).distinct()
 
 
-def contained_terms(texts: DataFrame, id: str, text: str, terms: DataFrame, low: int, high: int) -> DataFrame:
-    """(id, term) for every dictionary term inside the text, as an equi-join on character n-grams.
-
-    Only n-grams of the dictionary's length range are made; `low` and `high` bound that range.
-    """
-    grams = texts.select(id, F.explode(F.array_distinct(tx.ngrams_between(F.col(text), low, high))).alias("term"))
-    return salted_join(grams, terms.select("term").distinct(), ["term"], spread=id)
+def contained_terms(texts: DataFrame, id: str, text: str, terms: DataFrame) -> DataFrame:
+    """(id, term) for every dictionary term inside the text, whatever its length: joined on first characters, then verified."""
+    return containment_join(texts.select(id, text), text, terms.select("term").distinct(), "term").select(id, "term").distinct()
 
 
-def expand_by_containment(queries: DataFrame, synonyms: DataFrame, low: int, high: int) -> DataFrame:
+def expand_by_containment(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """K9: a contained standard term gives all its synonyms, a contained synonym gives the standard term."""
     pairs = synonyms.select("term", "synonym").distinct()
     names = pairs.select("term").union(pairs.select("synonym"))
-    hits = contained_terms(queries, "query_id", "query", names, low, high)
+    hits = contained_terms(queries, "query_id", "query", names)
     down = hits.join(pairs, "term").select("query_id", F.col("synonym").alias("term"))
     up = hits.withColumnRenamed("term", "synonym").join(pairs, "synonym").select("query_id", "term")
     return down.union(up).distinct()
@@ -167,20 +163,12 @@ def df_explode(texts: DataFrame, id: str, hits: Column) -> DataFrame:
     return texts.select(id, F.explode(hits).alias("h")).select(id, "h.category", "h.term")
 
 
-def related_terms(terms: DataFrame, synonyms: DataFrame, low: int, high: int) -> DataFrame:
-    """Dictionary names that contain a term or are contained in it (either way), by n-gram equi-joins."""
+def related_terms(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """Dictionary names that contain a term or are contained in it (either way), of any length."""
     names = synonyms.select(F.col("term").alias("name")).union(synonyms.select("synonym")).distinct()
     mine = terms.select("term").distinct()
-    inside = (
-        mine.select("term", F.explode(F.array_distinct(tx.ngrams_between(F.col("term"), low, high))).alias("name"))
-        .join(names, "name", "left_semi")
-        .select("term", "name")
-    )
-    around = (
-        names.select("name", F.explode(F.array_distinct(tx.ngrams_between(F.col("name"), low, high))).alias("term"))
-        .join(mine, "term", "left_semi")
-        .select("term", "name")
-    )
+    inside = containment_join(mine, "term", names, "name").select("term", "name")
+    around = containment_join(names, "name", mine, "term").select("term", "name")
     return inside.union(around).filter("term <> name").distinct()
 
 
@@ -264,22 +252,17 @@ def extract_terms(occurrences: DataFrame, min_freq: int = 2) -> DataFrame:
     )
 
 
-def cooccurrence(sections: DataFrame, vocabulary: list[str], min_count: int = 2, text: str = "text") -> DataFrame:
-    """How many sections hold two vocabulary terms together, both directions.
+def cooccurrence(occurrences: DataFrame, terms: DataFrame, min_count: int = 2) -> DataFrame:
+    """How many sections hold two terms of the term table together, both directions. occurrences(node_id, term), terms(term).
 
-    The vocabulary is a list of at most 200 words, so a section yields a bounded number of pairs and every
-    task combines them to at most |vocabulary|^2 counters before the shuffle.
+    A section gives its own pairs only; they are counted on both sides of one shuffle.
     """
-    if len(vocabulary) > 200:
-        raise ValueError("co-occurrence takes a vocabulary of at most 200 terms")
-    present = F.array_sort(tx.contained(F.col(text), vocabulary))
-    pairs = F.flatten(
-        F.transform(present, lambda a: F.transform(F.filter(present, lambda b: b > a), lambda b: F.struct(a.alias("t1"), b.alias("t2"))))
-    )
-    counted = (
-        sections.select(F.explode(pairs).alias("p")).groupBy("p.t1", "p.t2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
-    )
-    return counted.union(counted.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "n"))
+    held = occurrences.join(terms.select("term").distinct(), "term", "left_semi").groupBy("node_id").agg(F.array_sort(F.collect_set("term")).alias("ts"))
+    first = held.select("ts", F.posexplode("ts").alias("i", "t1"))
+    pairs = first.select("t1", F.explode(F.slice("ts", F.col("i") + 2, F.size("ts"))).alias("t2"))
+    counted = pairs.groupBy("t1", "t2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
+    both = F.array(F.struct("t1", "t2"), F.struct(F.col("t2").alias("t1"), F.col("t1").alias("t2")))
+    return counted.select(F.explode(both).alias("p"), "n").select("p.t1", "p.t2", "n")
 
 
 def synonym_edges(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -313,9 +296,9 @@ def ontology_by_category(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
     )
 
 
-def find_synonyms(terms: DataFrame, synonyms: DataFrame, network: DataFrame, low: int, high: int) -> DataFrame:
+def find_synonyms(terms: DataFrame, synonyms: DataFrame, network: DataFrame) -> DataFrame:
     """Containment neighbours plus dictionary edges of the network, either direction."""
-    contain = related_terms(terms, synonyms, low, high)
+    contain = related_terms(terms, synonyms)
     net = network.select("term", F.col("synonym").alias("name"))
     back = net.select(F.col("name").alias("term"), F.col("term").alias("name"))
     edges = net.union(back).join(terms.select("term").distinct(), "term", "left_semi").select("term", "name")
@@ -326,9 +309,8 @@ def discover_new_terms(log: DataFrame, known: DataFrame, pattern: str, text: str
     """Frequent query terms that are neither known terms nor parts of one; the top k is the report."""
     found = log.select(F.explode(tx.matches(F.lower(F.col(text)), pattern)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     word = F.lower("term")
-    parts = known.select(word.alias("w")).distinct().select(F.explode(F.array_distinct(tx.ngrams_between(F.col("w"), 2, 4))).alias("term"))
-    whole = known.select(word.alias("term"))
-    return found.join(parts.union(whole), "term", "left_anti").orderBy(F.desc("n"), "term").limit(k)
+    parts = containment_join(known.select(word.alias("w")).distinct(), "w", found.select("term"), "term").select("term").distinct()
+    return found.join(parts, "term", "left_anti").orderBy(F.desc("n"), "term").limit(k)
 
 
 def validate_terms(terms: DataFrame, column: str = "term") -> DataFrame:

@@ -33,6 +33,7 @@ def local_session(cpus: int = 8) -> SparkSession:
         .appName("clausemill")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="clausemill-ckpt-"))  # one machine: shared by nature
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
