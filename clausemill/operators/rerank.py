@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
-from clausemill.functions.scale import salted_join, top_per
+from clausemill.functions.scale import containment_join, salted_join, top_per
 from clausemill.operators import rules as ru
 
 # Words that earn an intent bonus, and the requirement words of the result scores.
@@ -82,6 +82,9 @@ def rerank(features: DataFrame, candidates: DataFrame, k: int, weights: dict[str
     return top_per(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], k).select("query_id", "doc_id", "score", "rank")
 
 
+# How queries name documents, by digits or by any word.
+DOCUMENT_REFERENCES = [r"(?i)CCAR[-\s]*(\d+)", r"(?i)FAR[-\s]*(\d+)", r"(?i)CS[-\s]*(\w+)", r"(?i)EASA[-\s]*(\w+)"]
+
 # Searches over sections. A query and a section are compared through units (kind, unit): an equi-join on the
 # unit replaces testing every section against every query.
 
@@ -122,56 +125,78 @@ def section_units(sections: DataFrame, term: str, body: Column, chapter: str = r
     return prepared.select("node_id", F.inline(packed))
 
 
-def tree_search(queries: DataFrame, sections: DataFrame, k: int, term: str = rf"[{tx.CJK}]{{2,4}}") -> DataFrame:
-    """Chapter letter 20, number 30, term 10 in the title else 5, whole query contained 15; top k per query.
+def whole_query_hits(queries: DataFrame, sections: DataFrame, parts: dict[str, tuple[Column, float]], query: str = "query") -> DataFrame:
+    """(query_id, node_id, score): points of the first part of a section that holds the whole query, upper and lower case alike.
 
-    Whole-query containment is tested only where every unit of the query was found, which containment implies.
+    A query of three or more runs of characters can only be inside a text that holds its longest inner run as a run of its
+    own; that run is the join key. Shorter queries meet texts on their first characters. Either way the text is then tested.
     """
+    asked = queries.select("query_id", F.lower(query).alias("_q")).filter("length(_q) > 0")
+    runs = F.split("_q", r"\s+")
+    inner = F.slice(runs, F.lit(2), F.greatest(F.size(runs) - 2, F.lit(0)))
+    keyed = asked.withColumn("_key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    texts = sections.select("node_id", *[F.lower(c).alias(f"_p{i}") for i, (c, _) in enumerate(parts.values())])
+    names = [f"_p{i}" for i in range(len(parts))]
+    posts = texts.select("node_id", F.explode(F.array_distinct(F.flatten(F.array(*[F.split(c, r"\s+") for c in names])))).alias("_key"))
+    long = salted_join(posts, keyed.filter("_key is not null"), ["_key"], spread="node_id").select("query_id", "node_id", "_q").join(texts, "node_id")
+    short = keyed.filter("_key is null").select("query_id", "_q")
+    found = long.select("query_id", "node_id", "_q", *names)
+    for c in names:
+        found = found.unionByName(containment_join(texts, c, short, "_q").select("query_id", "node_id", "_q", *names))
+    points = F.coalesce(*[F.when(F.col(c).contains(F.col("_q")), p) for c, (_, p) in zip(names, parts.values())])
+    return found.select("query_id", "node_id", points.alias("score")).filter("score is not null").distinct()
+
+
+def _best(scored: list[DataFrame], k: int) -> DataFrame:
+    every = scored[0].select("query_id", "node_id", "score")
+    for s in scored[1:]:
+        every = every.unionByName(s.select("query_id", "node_id", "score"))
+    total = every.groupBy("query_id", "node_id").agg(F.sum("score").alias("score"))
+    return top_per(total, ["query_id"], [F.desc("score"), F.col("node_id")], k).select("query_id", "node_id", "score", "rank")
+
+
+def tree_search(queries: DataFrame, sections: DataFrame, k: int, term: str = rf"[{tx.CJK}]{{2,4}}") -> DataFrame:
+    """Chapter letter 20, number 30, term 10 in the title else 5, whole query contained 15; top k per query."""
     q = query_units(queries, term)
     body = F.concat_ws(" ", "summary", "text")
     s = section_units(sections, term, body)
     points = F.when(F.col("kind") == "chapter", 20.0).when(F.col("kind") == "number", 30.0).when(F.col("in_title"), 10.0).otherwise(5.0)
-    scored = salted_join(s, q, ["kind", "unit"], spread="node_id").groupBy("query_id", "node_id").agg(
-        F.sum(points).alias("score"), F.count("*").alias("found"))
-    return _with_whole_query(scored, queries, q, sections, F.concat_ws(" ", "title", body), 15.0, k)
-
-
-def _with_whole_query(scored, queries, units, sections, text: Column, points: float, k: int) -> DataFrame:
-    sizes = units.groupBy("query_id").agg(F.count("*").alias("units"))
-    full = scored.join(sizes, "query_id").filter("found = units").select("query_id", "node_id")
-    hits = (
-        full.join(queries, "query_id").join(sections.select("node_id", F.lower(text).alias("_text")), "node_id")
-        .filter(F.col("_text").contains(F.lower("query"))).select("query_id", "node_id", F.lit(points).alias("extra"))
-    )
-    total = scored.join(hits, ["query_id", "node_id"], "left").withColumn("score", F.col("score") + F.coalesce("extra", F.lit(0.0)))
-    return top_per(total, ["query_id"], [F.desc("score"), F.col("node_id")], k).select("query_id", "node_id", "score", "rank")
+    scored = salted_join(s, q, ["kind", "unit"], spread="node_id").groupBy("query_id", "node_id").agg(F.sum(points).alias("score"))
+    return _best([scored, whole_query_hits(queries, sections, {"all": (F.concat_ws(" ", "title", body), 15.0)})], k)
 
 
 def context_search(queries: DataFrame, sections: DataFrame, synonyms: DataFrame, k: int, term: str,
-                   preferred: list[str] = (), section_mark: str = "条|§|25\\.", doc_ref: str = r"(?i)(?:CCAR|FAR|CS|EASA)[-\s]*(\w+)") -> DataFrame:
+                   preferred: list[str] = (), section_mark: str = "条|§|25\\.", doc_refs: list[str] = DOCUMENT_REFERENCES) -> DataFrame:
     """Document reference 50, section reference 60 (each once), term 15 in the title else 8 in the summary,
-    the first three expansion terms 5 in the title, raw query 20, then x1.2 preferred document, x1.1 section title."""
-    refs = F.array_distinct(F.transform(tx.matches(F.col("query"), doc_ref, 1), F.lower))
-    docs = queries.select("query_id", F.explode(refs).alias("unit")).withColumn("kind", F.lit("doc"))
+    the first three expansion terms 5 in the title, raw query 20, the query's `normalised` form (where that column is given)
+    10 in the title else 5 in the summary, then x1.2 preferred document, x1.1 section title.
+
+    A document reference counts where the document's name holds it, so `CS-src1` asks for src1 and src12.
+    """
+    refs = F.array_distinct(F.concat(*[tx.matches(F.col("query"), p, 1) for p in doc_refs]))
+    asked = queries.select("query_id", F.explode(refs).alias("ref")).filter("length(ref) > 0")
+    named = containment_join(sections.select("doc").distinct(), "doc", asked, "ref").select("query_id", "doc").distinct()
+    docs = salted_join(sections.select("node_id", "doc"), named, ["doc"], spread="node_id").select("query_id", "node_id", F.lit(50.0).alias("score"))
     base = query_units(queries, term).filter("kind <> 'chapter'")
     terms = base.filter("kind = 'term'").select("query_id", F.col("unit").alias("term"))
     spoken = synonyms.join(terms, "term").select("query_id", F.col("synonym").alias("unit"), "ordinal").join(
         terms.withColumnRenamed("term", "unit"), ["query_id", "unit"], "left_anti")
     distinct = spoken.groupBy("query_id", "unit").agg(F.min("ordinal").alias("ordinal"))
     extra = top_per(distinct, ["query_id"], [F.col("ordinal"), F.col("unit")], 3).select("query_id", F.lit("expansion").alias("kind"), "unit")
-    units = base.unionByName(docs.select("query_id", "kind", "unit")).unionByName(extra)
+    units = base.unionByName(extra)
     s = section_units(sections, term, F.col("summary")).filter("kind <> 'chapter'")
     titles = s.filter("kind = 'term' and in_title").withColumn("kind", F.lit("expansion"))
-    parts = sections.select("node_id", F.explode(F.array_distinct(tx.matches(F.lower("doc"), r"[0-9]+|[a-z]+"))).alias("unit")).select(
-        "node_id", F.lit("doc").alias("kind"), "unit", F.lit(False).alias("in_title"))
-    everywhere = s.filter("kind = 'term' or in_title").unionByName(titles).unionByName(parts)
+    everywhere = s.filter("kind = 'term' or in_title").unionByName(titles)
     kind = F.col("kind")
     per = salted_join(everywhere, units, ["kind", "unit"], spread="node_id").groupBy("query_id", "node_id").agg(
-        (F.max(F.when(kind == "doc", 50.0).otherwise(0.0)) + F.max(F.when(kind == "number", 60.0).otherwise(0.0))
+        (F.max(F.when(kind == "number", 60.0).otherwise(0.0))
          + F.sum(F.when(kind == "term", F.when(F.col("in_title"), 15.0).otherwise(8.0)).when(kind == "expansion", 5.0).otherwise(0.0))).alias("score")
     )
-    whole = _whole_query(queries, units.filter("kind = 'term'"), sections, term)
-    both = per.select("query_id", "node_id", "score").unionByName(whole).groupBy("query_id", "node_id").agg(F.sum("score").alias("score"))
+    title, body = F.col("title"), F.concat_ws(" ", "summary", "text")
+    every = per.select("query_id", "node_id", "score").unionByName(docs).unionByName(whole_query_hits(queries, sections, {"title": (title, 20.0), "body": (body, 20.0)}))
+    if "normalised" in queries.columns:
+        every = every.unionByName(whole_query_hits(queries, sections, {"title": (title, 10.0), "summary": (F.col("summary"), 5.0)}, "normalised"))
+    both = every.groupBy("query_id", "node_id").agg(F.sum("score").alias("score"))
     likes = F.lit(False)
     for p in preferred:
         likes = likes | F.col("doc").contains(p)
@@ -180,18 +205,6 @@ def context_search(queries: DataFrame, sections: DataFrame, synonyms: DataFrame,
     return top_per(total.filter("score > 0"), ["query_id"], [F.round("score", 6).desc(), F.col("node_id")], k).select("query_id", "node_id", "score", "rank")
 
 
-def _whole_query(queries: DataFrame, units: DataFrame, sections: DataFrame, term: str) -> DataFrame:
-    """20 points where title, summary or text hold the whole query; tested where every unit of the query was found."""
-    body = F.concat_ws(" ", "summary", "text")
-    posts = section_units(sections, term, body).filter("kind = 'term'")
-    found = salted_join(posts, units, ["kind", "unit"], spread="node_id").groupBy("query_id", "node_id").agg(F.count("*").alias("found"))
-    sizes = units.groupBy("query_id").agg(F.count("*").alias("units"))
-    near = found.join(sizes, "query_id").filter("found = units").select("query_id", "node_id")
-    text = sections.select("node_id", F.lower(F.concat_ws(" ", "title", body)).alias("_text"))
-    return near.join(queries, "query_id").join(text, "node_id").filter(F.col("_text").contains(F.lower("query"))).select(
-        "query_id", "node_id", F.lit(20.0).alias("score"))
-
-
 def cross_references(results: DataFrame, query_terms: DataFrame, sections: DataFrame, term: str, n: int = 3) -> DataFrame:
     """For every result the first n sections of other documents that share a query term in title or summary.
 
