@@ -152,6 +152,12 @@ def slots(table: str, id: str, dim: int) -> str:
 
 @query("hash_embed", f"WITH {slots('documents', 'doc_id', 256)} SELECT doc_id, slot, round(value, 6) AS value FROM documents_slots")
 def hash_embed(t):
+    dense = ix.hash_embed(t.docs()).select("doc_id", F.posexplode("embedding").alias("slot", "value")).filter("value <> 0")
+    return dense.select("doc_id", F.col("slot").cast("long"), F.round("value", 6).alias("value"))
+
+
+@query("hash_slots", f"WITH {slots('documents', 'doc_id', 256)} SELECT doc_id, slot, round(value, 6) AS value FROM documents_slots")
+def hash_slots(t):
     return ix.hash_slots(t.docs()).select("doc_id", "slot", F.round("value", 6).alias("value"))
 
 
