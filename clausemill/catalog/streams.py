@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from clausemill.catalog.base import Tables, query
-from clausemill.functions.scale import checkpoint_root
+from clausemill.functions.scale import stored_root
 from clausemill.streaming import operators as so
 
 DAY = 86400
@@ -64,7 +64,7 @@ def feedback(t):
 
 
 def folder(t: Tables, name: str) -> str:
-    return f"{checkpoint_root(t.spark)}/derived/{name}-{uuid.uuid4().hex}"
+    return f"{stored_root(t.spark)}/derived/{name}-{uuid.uuid4().hex}"
 
 
 @query("detect_new_files", "SELECT DISTINCT source FROM documents")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from clausemill.functions.scale import checkpoint_root
+from clausemill.functions.scale import stored_root
 from clausemill.operators.terms import query_signature
 
 WATERMARK = "10 minutes"
@@ -28,28 +30,33 @@ def admit(times: list[float], accepted: list[float], limit: int, window: float)
     return out, accepted
 
 
-def admission(stream: DataFrame, key: str, limit: int = 60, window: float = 60.0) -> DataFrame:
+def admission(stream: DataFrame, key: str, limit: int = 60, window: float = 60.0, watermark: str = WATERMARK) -> DataFrame:
     """Accept a key's event if fewer than `limit` accepted ones lie within the window; refused ones do not count.
 
-    Keyed state holds at most `limit` timestamps and expires when a key is quiet for a window.
-    stream(event_id, ts, key).
+    Rows behind the watermark are dropped. A late row before it is judged at the latest time its key has seen, as a clock that
+    never goes back. State per key is that time and at most `limit` accepted times; it ends when the watermark is a window
+    past the last event. In a micro-batch a key's rows are held as two numbers each, to put them in order; the trigger's
+    options (such as maxFilesPerTrigger) bound a micro-batch. stream(event_id, ts, key).
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True)
-        if len(rows):
-            # Order inside one micro-batch; its size is bounded by the trigger.
-            rows = rows.sort_values(["ts", "event_id"])
-            secs = (rows["ts"].astype("int64") if rows["ts"].dtype.kind == "i" else rows["ts"].astype("datetime64[us]").astype("int64")) / 1e6
-            kept = list(state.get[0]) if state.exists else []
-            decided, kept = admit(secs.tolist(), kept, limit, window)
-            state.update((kept,))
-            yield pd.DataFrame({
-                "key": k[0], "event_id": rows["event_id"].to_numpy(), "ts": rows["ts"].to_numpy(), "accepted": [d[0] for d in decided],
-                "remaining": [d[1] for d in decided], "reset_in": [d[2] for d in decided]})
-
-    keyed = stream.select(F.col(key).cast("string").alias("key"), "event_id", "ts")
-    return keyed.groupBy("key").applyInPandasWithState(step, ADMISSION, "accepted array<double>", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        parts = [(pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy(), pdf["event_id"].to_numpy()) for pdf in batches]
+        micros, ids = (np.concatenate(p) for p in zip(*parts))
+        order = np.lexsort((ids, micros))
+        latest, kept = (state.get[0], list(state.get[1])) if state.exists else (-math.inf, [])
+        clock = np.maximum(np.maximum.accumulate(micros[order] / 1e6), latest)
+        decided, kept = admit(clock.tolist(), kept, limit, window)
+        state.update((float(clock[-1]), kept))
+        state.setTimeoutTimestamp(int((clock[-1] + window) * 1000) + 1)
+        yield pd.DataFrame({
+            "key": k[0], "event_id": ids[order], "ts": micros[order].astype("datetime64[us]"), "accepted": [d[0] for d in decided],
+            "remaining": [d[1] for d in decided], "reset_in": [d[2] for d in decided]})
+
+    keyed = stream.select(F.col(key).cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", watermark)
+    return keyed.groupBy("key").applyInPandasWithState(step, ADMISSION, "latest double, accepted array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def admission_batch(events: DataFrame, key: str, limit: int = 60, window: int = 60) -> DataFrame:
@@ -94,7 +101,10 @@ def rolling_metrics(stream: DataFrame, key: str, value: str, size: str = "1 day"
 
 
 def last_n_metrics(stream: DataFrame, key: str, value: str, n: int = 1000) -> DataFrame:
-    """W2 by rows: total count and the mean of the last n values per key, emitted after each micro-batch."""
+    """W2 by rows: total count and the mean of the last n values per key, emitted after each micro-batch.
+
+    The total counts for ever, so state stays: n values per key. A key's rows pass through one task, which holds n of them.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         total, kept = (state.get[0], list(state.get[1])) if state.exists else (0, [])
@@ -113,7 +123,10 @@ def last_n_metrics(stream: DataFrame, key: str, value: str, n: int = 1000) -> Da
 
 
 def feedback(stream: DataFrame, query: str, value: str) -> DataFrame:
-    """Latest feedback and number of feedbacks per query signature (update mode)."""
+    """Latest feedback and number of feedbacks per query signature (update mode).
+
+    The state is the answer: three values for every signature ever seen. A signature has no end, so there is no watermark.
+    """
     return stream.withColumn("signature", query_signature(F.col(query))).groupBy("signature").agg(
         F.max_by(value, F.struct("ts", "event_id")).alias("last_value"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
 
@@ -154,7 +167,7 @@ def run_to_table(stream: DataFrame, name: str, mode: str, keys: list[str] | None
     import uuid
 
     spark = stream.sparkSession
-    root = f"{checkpoint_root(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    root = f"{stored_root(spark)}/streams/{name}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}")

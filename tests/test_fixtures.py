@@ -322,7 +322,7 @@ def test_equivalents_and_scores(spark):
     assert rows(m, "node_id", "records") == [("a1", 2), ("b1", 2)]
     r = mp.map_scored(m, ["must"], r"\S+").first()
     assert r.score == 10 + 10 + 2 * 2 + 5
-    w = spark.createDataFrame([("A", "33.1")], "doc string, number string")
+    w = spark.createDataFrame([("g", "A", "33.1")], "group string, doc string, number string")
     assert rows(mp.equivalents(m, w), "other") == [("b1",)]
 
 
@@ -331,3 +331,105 @@ def test_tree_search_on_cjk(spark):
     q = spark.createDataFrame([(1, "C章 防火"), (2, "第33.27条")], "query_id int, query string")
     got = {(r.query_id, r.node_id): r.score for r in rr.tree_search(q, s, 3).collect()}
     assert got[(1, "n1")] == 20 + 10 + 15 and got[(1, "n2")] == 5 and got[(2, "n2")] == 30 + 15 and (1, "n3") not in got
+
+
+def test_mappings_keep_to_their_group(spark):
+    """Two groups share a number; a link counts all terms that its ends share."""
+    s = spark.createDataFrame(
+        [("A", "a1", "1", "rotor blade vane", "x"), ("B", "b1", "1", "rotor blade vane", "x"), ("C", "c1", "1", "rotor only", "y"), ("D", "d1", "1", "other words", "y"), ("D", "d2", "1", "vane", "y")],
+        "doc string, node_id string, number string, title string, text string")
+    groups = spark.createDataFrame([("g", "A"), ("g", "B"), ("h", "C"), ("h", "D")], "group string, doc string")
+    m = mp.map_by_number(s, groups)
+    wanted = spark.createDataFrame([("g", "1", "A")], "group string, number string, doc string")
+    assert rows(mp.equivalents(m, wanted), "group", "w_doc", "other") == [("g", "A", "b1")]
+    table = {r.group: r.sections for r in mp.mapping_table(m).collect()}
+    assert table == {"g": {"A": "a1", "B": "b1"}, "h": {"C": "c1", "D": "d1"}}
+    links = {(r.src, r.dst): (r.shared, round(r.confidence, 6)) for r in mp.shared_term_links(s, "[a-z]{4,}").collect()}
+    assert links[("a1", "b1")] == (3, 0.9) and links[("a1", "c1")] == (1, 0.3)
+
+
+def test_similar_pairs_match_all_pairs(spark):
+    import random
+
+    rnd = random.Random(2)
+    data = [(f"n{i}", f"{i % 2}", " ".join(rnd.sample([f"word{j}" for j in range(12)], rnd.randint(1, 9)))) for i in range(40)]
+    m = spark.createDataFrame(data, "node_id string, number string, text string").withColumn("group", F.lit("g"))
+    want = []
+    for i, n, t in data:
+        for j, k, u in data:
+            a, b = set(t.split()), set(u.split())
+            if i < j and n == k and len(a & b) / len(a | b) >= 0.4:
+                want.append((i, j, round(len(a & b) / len(a | b) * 100, 6)))
+    got = [(r.node_id, r.other, round(r.similarity, 6)) for r in mp.similar_pairs(m).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 20
+
+
+def test_trees_of_any_depth(spark, tmp_path):
+    chain = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(40)]
+    got = st.tree_paths(spark.createDataFrame(chain, "id string, parent string")).orderBy("depth").collect()
+    assert [len(r.path) for r in got] == list(range(1, 41))
+    with pytest.raises(Exception, match="cycle at node x"):
+        st.tree_paths(spark.createDataFrame([("x", None), ("x", "x")], "id string, parent string"))
+    deep = '{"title": "bottom"}'
+    for i in range(35):
+        deep = f'{{"title": "t{i}", "nodes": [{deep}]}}'
+    (tmp_path / "deep.json").write_text(f'{{"structure": [{deep}]}}')
+    found = trees.read_section_tree(spark, str(tmp_path))
+    assert found.count() == 36 and found.orderBy(F.size("ordinal").desc()).first().title == "bottom"
+
+
+def test_terms_of_any_length(spark):
+    long = "counter-rotating-turbine"
+    syn = spark.createDataFrame([(long, "ab"), ("x", "y")], "term string, synonym string")
+    q = spark.createDataFrame([(1, f"the {long} here"), (2, "cab")], "query_id int, query string")
+    assert rows(tm.expand_by_containment(q, syn), "query_id", "term") == [(1, "ab"), (2, long)]
+    names = spark.createDataFrame([("a",), ("counter",)], "term string")
+    assert ("counter", long) in rows(tm.related_terms(names, syn), "term", "name")
+    log = spark.createDataFrame([("ngine engines rotor",)], "t string")
+    known = spark.createDataFrame([("engine",)], "term string")
+    assert rows(tm.discover_new_terms(log, known, "[a-z]+", "t"), "term") == [("engines",), ("rotor",)]
+    occ = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "b"), (2, "c")], "node_id int, term string")
+    terms = spark.createDataFrame([("a",), ("b",), ("c",)], "term string")
+    assert rows(tm.cooccurrence(occ, terms), "t1", "t2", "n") == [("a", "b", 2), ("b", "a", 2)]
+
+
+def test_hot_key_is_split(spark):
+    """One answer holds nearly all evidence: its partition is split at run time, and nothing is copied otherwise."""
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        big = spark.range(60_000).select(F.when(F.col("id") < 55_000, 1).otherwise(F.col("id")).alias("k"), "id").repartition(8)
+        joined = salted_join(big, spark.range(60_000).select(F.col("id").alias("k"), F.lit(1).alias("v")), ["k"], spread="id")
+        assert joined.collect() and joined.count() == 60_000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_stored_data_needs_a_shared_folder(spark):
+    from clausemill.functions import scale
+
+    class Session:
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scale.checkpoint_root(Session)
+
+
+def test_whole_queries_of_any_form(spark):
+    s = spark.createDataFrame([("s1", "CS-src1", "big engines run", "", "all engines", []), ("s9", "src9", "t", "sum", "x", [])],
+                              "node_id string, doc string, title string, summary string, text string, content_parts array<string>")
+    q = spark.createDataFrame([(1, "ngine", "gines r"), (2, "CS-src1", "zz"), (3, "g engines r", "sum")], "query_id int, query string, normalised string")
+    got = rows(rr.tree_search(q, s, 5, "[a-z]{5,}"), "query_id", "node_id", "score")
+    assert (1, "s1", 15.0) in got and (3, "s1", 25.0) in got
+    syn = spark.createDataFrame([], "term string, synonym string, ordinal long")
+    got = {r[:2]: r[2] for r in rows(rr.context_search(q, s, syn, 5, "[a-z]{5,}"), "query_id", "node_id", "score")}
+    assert got == {(1, "s1"): 30.0, (2, "s1"): 50.0, (3, "s1"): 35.0, (3, "s9"): 5.0}

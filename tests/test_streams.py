@@ -24,7 +24,7 @@ def naive(times, limit, window):
 
 def events(spark, data):
     return spark.createDataFrame(data, "event_id long, sec long, k string").select(
-        "event_id", F.timestamp_seconds("sec").alias("ts"), "k")
+        "event_id", F.timestamp_seconds(F.col("sec") + 1_000_000).alias("ts"), "k")  # a watermark starts at 0, so rows do not
 
 
 def test_worked_example(spark):
@@ -73,3 +73,23 @@ def test_stream_state_lives_across_batches(spark):
     once()
     got = [r.accepted for r in spark.read.parquet(out).orderBy("event_id").collect()]
     assert got == [True, True, False, True, False, True]
+
+
+def test_late_rows_and_state_end(spark):
+    """A row behind the watermark is dropped, a late one before it is judged at the key's clock, and state ends."""
+    path = f"{checkpoint_root(spark)}/test-{uuid.uuid4().hex}"
+    events(spark, [(0, 1000, "a"), (1, 1010, "a"), (2, 5000, "b")]).write.parquet(path)
+    src = lambda: spark.readStream.schema("event_id long, ts timestamp, k string").parquet(path)
+
+    def once():
+        made = so.admission(src(), "k", 2, 60, watermark="1000 seconds")
+        q = made.writeStream.format("parquet").option("path", f"{path}-out").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q.lastProgress
+
+    once()
+    # 4000 is the watermark: 3000 s is behind it, 4500 s is late for b (clock 5000), and a's state has ended.
+    events(spark, [(3, 3000, "a"), (4, 4500, "b"), (5, 5001, "b"), (6, 5002, "a")]).write.mode("append").parquet(path)
+    once()
+    got = {r.event_id: (r.accepted, r.remaining) for r in spark.read.parquet(f"{path}-out").collect()}
+    assert got == {0: (True, 1), 1: (True, 0), 2: (True, 1), 4: (True, 0), 5: (False, 0), 6: (True, 1)}
