@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from clausemill.functions.scale import stored
 from clausemill.llm import decontamination, near_dups, packing, secrets, toxicity
 from clausemill.llm.common import table
+from clausemill.session import ship
 
 ORACLE_SQL = None  # classes of near duplicates and learned scores are beyond SQL; tests/llm/test_pipeline.py has the plain version
 
@@ -24,6 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of every near-duplicate class."""
+    ship(spark)
     return near_dups.keep_one(docs)
 
 
@@ -34,12 +36,14 @@ def drop_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps all documents; spans that the secret scan finds are masked, and n_chars follows the text."""
+    ship(spark)
     masked = docs.withColumn("text", secrets.redacted(F.col("text")))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences of at most 2048 tokens."""
+    ship(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
