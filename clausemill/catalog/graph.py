@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from clausemill.catalog.base import GRAPH, SECTIONS, Tables, query
 from clausemill.catalog.rules import any_sql
+from clausemill.catalog.structure import STRIP
 from clausemill.functions import text as tx
 from clausemill.operators import graph_build as gb
 from clausemill.operators import graph_query as gq
@@ -27,6 +28,20 @@ def extract_entities(t):
     return gb.extract_entities(t.sections(), PATTERNS)
 
 
+PARAMETER = r"([0-9]+\.[0-9]+|[0-9]+[$%#])"
+
+
+@query(
+    "parameter_entities",
+    rf"""WITH {SECTIONS}, v AS (SELECT DISTINCT node_id, ordinal, text, unnest(regexp_extract_all(text, '{PARAMETER}', 1)) AS value FROM sections),
+c AS (SELECT *, strpos(text, value) AS p FROM v),
+x AS (SELECT node_id, ordinal, value, {STRIP.format("regexp_extract(substr(text, greatest(p - 20, 1), least(20, p - 1)), '[^\n]*$') || value || regexp_extract(substr(text, p + length(value), 20), '^[^\n]*')")} AS context FROM c)
+SELECT 'parameter:' || md5(value) AS id, value AS label, arg_min(context, (ordinal, node_id)) AS context, arg_min(node_id, (ordinal, node_id)) AS first_seen, count(*) AS mentions FROM x GROUP BY value""",
+)
+def parameter_entities(t):
+    return gb.parameter_entities(t.sections(), PARAMETER)
+
+
 HEADER = "([A-Z][a-z]+) [a-z]+ [a-z]+[.][ ]*\n"
 
 

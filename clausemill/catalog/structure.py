@@ -143,6 +143,20 @@ def sections_from_pages(t):
     return st.sections_from_pages(pages, r"^([A-Z][a-z]+)\s+(.+)$", r"^([A-Z][a-z]+)\.$")
 
 
+AHEAD = r"""WITH l AS (SELECT source AS doc, doc_id AS page, list_transform(string_split(text, chr(10)), lambda x: STRIPPED) AS l FROM documents),
+r AS (SELECT doc, page, unnest(l) AS line, generate_subscripts(l, 1) AS pos, l FROM l),
+f AS (SELECT doc, page, pos, regexp_extract(line, '^([A-Z][a-z]+)\.$', 1) AS number, coalesce(list_filter(l[pos + 1:pos + 5], lambda x: x <> '' AND NOT regexp_matches(x, '^[0-9]+$|^[A-Z][a-z]+\.$|^\([a-z]\)|^[0-9]+–[0-9]+–[0-9]+')
+  AND x NOT IN ('CS-E', 'BOOK', 'AMC', 'Annex'))[1], '') AS t FROM r WHERE regexp_matches(line, '^([A-Z][a-z]+)\.$')),
+k AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(t, '\s*-\s*$', ''), '\.{3,}$', ''), '\s+', ' ', 'g')) AS title FROM f)
+SELECT doc, number, arg_min(title, (page, pos)) AS title, arg_min(page, (page, pos)) AS page FROM k WHERE length(title) > 2 GROUP BY doc, number""".replace("STRIPPED", STRIP.format("x"))
+
+
+@query("sections_from_pages_ahead", AHEAD)
+def sections_from_pages_ahead(t):
+    pages = t("documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
+    return st.sections_from_pages(pages, "^(no header form)(.)$", r"^([A-Z][a-z]+)\.$", ahead=5)
+
+
 @query(
     "locate_ranges",
     f"""WITH {SECTIONS}, sub AS (SELECT doc, node_id AS name, page AS hint, lower(string_split(title, ' ')[1]) AS marker FROM sections WHERE length(title) < 40),

@@ -46,6 +46,18 @@ def extract_entities(sections: DataFrame, patterns: list[tuple[str, str]], text:
         entity_id(F.col("type"), F.col("name")).alias("id"), "type", F.col("name").alias("label"), "first_seen", "mentions")
 
 
+def parameter_entities(sections: DataFrame, pattern: str, text: str = "text", around: int = 20) -> DataFrame:
+    """G1: one parameter node per matched value (one group), with up to `around` characters on its line before and after
+    the value's first place in its first section."""
+    found = sections.select("node_id", "ordinal", F.col(text).alias("_t"), F.explode(F.array_distinct(tx.matches(F.col(text), pattern, 1))).alias("value"))
+    before = F.expr(f"substring(_t, greatest(locate(value, _t) - {around}, 1), least({around}, locate(value, _t) - 1))")
+    after = F.expr(f"substring(_t, locate(value, _t) + length(value), {around})")
+    context = tx.strip(F.concat(F.regexp_extract(before, r"[^\n]*$", 0), F.col("value"), F.regexp_extract(after, r"^[^\n]*", 0)))
+    placed = found.select("node_id", "ordinal", "value", context.alias("context"))
+    first = placed.groupBy("value").agg(F.min_by(F.struct("context", "node_id"), F.struct("ordinal", "node_id")).alias("f"), F.count("*").alias("mentions"))
+    return first.select(entity_id(F.lit("parameter"), F.col("value")).alias("id"), F.col("value").alias("label"), "f.context", F.col("f.node_id").alias("first_seen"), "mentions")
+
+
 def extract_relations(sections: DataFrame, nodes: DataFrame, patterns: list[tuple[str, str]], edge_types: dict[str, str], header: str, text: str = "text") -> DataFrame:
     """Section -> entity edges; a header line (one group: its key) changes the current section below it.
 

@@ -121,18 +121,28 @@ def clean_title(title: Column) -> Column:
     return F.when(t.rlike(r"^\([a-z]\)") | t.rlike(r"^[0-9]+$") | t.isin(STOP_TITLES), "").otherwise(t)
 
 
+# Fixed value: lines between a number and its title that are dates in the page's margin.
+MARGIN_DATE = r"^[0-9]+–[0-9]+–[0-9]+"
+
+
 def sections_from_pages(
-    pages: DataFrame, header: str = r"^CS-E\s+([0-9]+[a-z]*)\s+(.+)$", alone: str = r"^CS-E\s+([0-9]+[a-z]*)\s*$"
+    pages: DataFrame, header: str = r"^CS-E\s+([0-9]+[a-z]*)\s+(.+)$", alone: str = r"^CS-E\s+([0-9]+[a-z]*)\s*$", ahead: int = 1
 ) -> DataFrame:
-    """Sections named on page lines, number with title or number alone and the title on the next line.
+    """Sections named on page lines, number with title or number alone and the title below it.
 
-    pages(doc, page, text). The next line is looked up inside the row; the first place per number wins.
+    With ahead = 1 the title is the next line. With more, it is the first of the next `ahead` lines that is not empty, a page
+    number, another section marker, a list item, a date or a running head. pages(doc, page, text). Lines are looked up inside
+    the row; the first place per number wins.
     """
     lines = F.transform(F.split("text", "\n"), tx.strip)
     rows = pages.withColumn("l", lines).select("doc", "page", F.posexplode("l").alias("pos", "line"), F.col("l"))
-    nxt = F.get("l", F.col("pos") + 1)
+    if ahead == 1:
+        below = F.coalesce(F.get("l", F.col("pos") + 1), F.lit(""))
+    else:
+        skipped = lambda x: (x == "") | x.rlike(r"^[0-9]+$") | x.rlike(header) | x.rlike(alone) | x.rlike(r"^\([a-z]\)") | x.rlike(MARGIN_DATE) | x.isin(STOP_TITLES)
+        below = F.coalesce(F.get(F.filter(F.slice("l", F.col("pos") + 2, F.lit(ahead)), lambda x: ~skipped(x)), F.lit(0)), F.lit(""))
     title = F.when(F.col("line").rlike(header), clean_title(F.regexp_extract("line", header, 2))).when(
-        F.col("line").rlike(alone) & ~F.coalesce(nxt, F.lit("")).rlike(r"^\([a-z]\)"), clean_title(F.coalesce(nxt, F.lit("")))
+        F.col("line").rlike(alone) & ~below.rlike(r"^\([a-z]\)"), clean_title(below)
     )
     number = F.when(F.col("line").rlike(header), F.regexp_extract("line", header, 1)).otherwise(F.regexp_extract("line", alone, 1))
     found = rows.select("doc", "page", "pos", number.alias("number"), title.alias("title")).filter(F.length("title") > 2)
