@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
-from clausemill.functions.scale import salted_join
+from clausemill.functions.scale import salted_join, stored
 from clausemill.operators.rules import QUERY_TYPES, query_type
 
 # Patterns, word lists, weights and thresholds of the scores.
@@ -80,6 +80,11 @@ def statement_support(answers: DataFrame, evidence: DataFrame, min_len: int = 6)
     return rows.join(counted, ["answer_id", "pos"], "left").fillna(0, ["best", "supporters", "sources", "shared"]).fillna(False, ["loose"])
 
 
+def once(answers: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables stored, for scores that read them several times; their own derivation then runs once."""
+    return stored(answers, "answers"), stored(evidence, "evidence")
+
+
 def source_coverage(support: DataFrame) -> DataFrame:
     """V2 and the second half of V6: coverage, and consistency over the first five statements."""
     first = F.col("pos") < 5
@@ -200,6 +205,7 @@ def known_terms(answers: DataFrame, terminology: DataFrame, pattern: str = TERM)
 def confidence6(answers: DataFrame, evidence: DataFrame, equivalents: DataFrame, graph: DataFrame, terminology: DataFrame,
                 sentence_end: str = "。", clause: str = CLAUSE, term: str = TERM) -> DataFrame:
     """V8: six factors. equivalents(clause), graph(answer_id, nodes), terminology(text)."""
+    answers, evidence = once(answers, evidence)
     # First sentence of the answer that shares a word with an evidence row, summed over the evidence.
     parts = answers.select("answer_id", F.split("answer", sentence_end).alias("_s"))
     per = salted_join(evidence.select("answer_id", "rank", "text"), parts, ["answer_id"], spread="rank")
@@ -249,6 +255,7 @@ def hallucination_risk(answers: DataFrame, evidence: DataFrame, terminology: Dat
                        support_words: list[str] = ABSOLUTE_SUPPORT, speculative: list[str] = SPECULATIVE,
                        uncertain: list[str] = UNCERTAIN, term: str = TERM, number: str = UNIT_NUMBER) -> DataFrame:
     """Unsupported share, unsupported absolute claims, unknown terms, unmatched numbers, unmarked speculation."""
+    answers, evidence = once(answers, evidence)
     support = statement_support(answers, evidence, 5).groupBy("answer_id").agg(
         F.count("*").alias("statements"), F.count_if(~F.col("loose")).alias("unsupported"))
     backed = evidence.groupBy("answer_id").agg(F.max(tx.contains_any(F.col("text"), support_words)).alias("backed"))
@@ -277,6 +284,7 @@ def hallucination_risk(answers: DataFrame, evidence: DataFrame, terminology: Dat
 def risk_items(answers: DataFrame, evidence: DataFrame, number: str = RISK_NUMBER, claim: str = ABSOLUTE_CLAIM,
                term: str = r"[一-鿿]{4,8}|[A-Z]{4,6}", cited: str = HAS_CITATION) -> DataFrame:
     """Typed risk items with severity, count and points; no row where a type has no finding."""
+    answers, evidence = once(answers, evidence)
     outside = statement_support(answers, evidence, 5).groupBy("answer_id").agg(F.count_if(~F.col("loose")).alias("n"))
     missing = lambda items, title=False: found_in_evidence(answers, evidence, items, title).select(
         "answer_id", (F.col("items") - F.col("found")).cast("long").alias("n"))
