@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from clausemill.llm.common import held_out
 
@@ -214,20 +215,18 @@ def recover(parts: DataFrame, model: Model) -> DataFrame:
                     name = ROLES[role]
                     out.append((conv, row["part"], n, name, text.strip(), render(name, text.strip())))
             if len(out) > 2000:
-                yield batch_of(out)
+                yield batch_of(out, id_type)
                 out = []
         if out:
-            yield batch_of(out)
+            yield batch_of(out, id_type)
 
-    kind = dict(lines.dtypes)["conv_id"]
+    kind, id_type = dict(lines.dtypes)["conv_id"], to_arrow_type(lines.schema["conv_id"].dataType)
     return dealt.mapInArrow(run, f"conv_id {kind}, part long, turn int, role string, text string, rendered string")
 
 
-def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+def batch_of(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
     conv, part, turn, role, text, rendered = zip(*rows)
-    arrays = [pa.array(conv), pa.array(part, pa.int64()), pa.array(turn, pa.int32()), pa.array(role), pa.array(text), pa.array(rendered)]
-    if arrays[0].type == pa.null():
-        arrays[0] = arrays[0].cast(pa.int64())
+    arrays = [pa.array(conv, id_type), pa.array(part, pa.int64()), pa.array(turn, pa.int32()), pa.array(role), pa.array(text), pa.array(rendered)]
     return pa.RecordBatch.from_arrays(arrays, ["conv_id", "part", "turn", "role", "text", "rendered"])
 
 

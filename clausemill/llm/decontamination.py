@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from clausemill.llm.common import texts_of, trim
 
@@ -157,7 +158,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     block is searched in all documents. Null texts hold nothing, null or wordless items are left out; null ids and repeated
     rows are reported as they come. Empty tables give no rows. Columns other than those named are ignored.
     """
-    kind = dict(items.dtypes)[item_id]
+    kind, id_type = dict(items.dtypes)[item_id], to_arrow_type(items.schema[item_id].dataType)
     schema = f"doc_id long, item_id {kind}, distance int, start long, end long"
     picked = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     out = docs.sparkSession.createDataFrame([], schema)
@@ -169,17 +170,14 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                 rows = [(k, *hit) for k, t in enumerate(texts_of(batch.column(1))) for hit in s.search(normal(t))]
                 at, n, distance, start, end = zip(*rows) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array([s.ids[i] for i in n]), pa.array(distance, pa.int32()),
-                     pa.array(start, pa.int64()), pa.array(end, pa.int64())] if rows else [pa.array([], x) for x in EMPTY],
+                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array([s.ids[i] for i in n], id_type), pa.array(distance, pa.int32()),
+                     pa.array(start, pa.int64()), pa.array(end, pa.int64())],
                     ["doc_id", "item_id", "distance", "start", "end"])
 
         out = out.union(picked.mapInArrow(run, schema))
     return out
 
 
-EMPTY = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-
-
 def holds_item(text: Column, held: list[tuple[object, str]], share: float) -> Column:
     @F.pandas_udf("boolean")
     def flag(series: pd.Series) -> pd.Series:

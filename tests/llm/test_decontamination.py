@@ -62,3 +62,11 @@ def test_find(spark, odd, none):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(clean, key=str)
     assert dc.find_items(none, tests).count() == 0 and dc.find_items(df, tests.limit(0)).count() == 0
     assert dc.decontaminate(df, tests.limit(0)).count() == df.count()
+
+
+def test_text_ids(spark):
+    """Items may be named by text; batches without a hit keep the type."""
+    docs = spark.createDataFrame([(1, "nothing"), (2, "one two three four five")], "doc_id long, text string").repartition(2, "doc_id")
+    items = spark.createDataFrame([("q1", "Two, three four")], "name string, body string")
+    got = dc.find_items(docs, items, item_id="name", item_text="body").collect()
+    assert [tuple(r) for r in got] == [(2, "q1", 0, 4, 18)]
