@@ -39,6 +39,18 @@ def keyword_recall_at_k(t):
     return ev.keyword_recall_at_k(res, kw, 3).select("query_id", F.col("hit").cast("long"), F.round("share", 6).alias("share"))
 
 
+@query(
+    "source_recall_at_k",
+    f"""WITH {BM25}, x AS (SELECT b.item_id AS query_id, source FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)
+SELECT query_id, max((EXISTS (SELECT 1 FROM bm25 r JOIN documents d USING (doc_id) WHERE r.query_id = x.query_id AND r.rank <= 3 AND d.source = x.source))::INT)::BIGINT AS hit FROM x GROUP BY query_id""",
+)
+def source_recall_at_k(t):
+    d = t("documents").select("doc_id", "source")
+    res = ix.bm25_topk(t.questions(), index(t), 3).join(d, "doc_id").select("query_id", "rank", "source")
+    expected = t.questions().join(d.withColumnRenamed("doc_id", "query_id"), "query_id").select("query_id", "source")
+    return ev.source_recall_at_k(res, expected, 3).withColumn("hit", F.col("hit").cast("long"))
+
+
 @query(
     "recall_breakdown",
     f"""WITH {HITS}, d AS (SELECT hit, CASE WHEN contains(text, ' the ') THEN 'en' ELSE 'other' END AS language, CASE WHEN length(text) > 200 THEN 'long' ELSE 'short' END AS kind FROM hits JOIN benchmark ON item_id = query_id)

@@ -153,6 +153,15 @@ def mapping_report(t):
     return mp.mapping_report(scored(t)).select("group", "number", F.round("score", 6).alias("score"), F.col("rank").cast("long"), "list")
 
 
+@query(
+    "mapping_totals",
+    f"""WITH {MEMBERS}, {SCORED} SELECT 'groups' AS metric, '' AS key, count(DISTINCT "group") AS value FROM scored UNION ALL SELECT 'mappings', '', count(*) FROM scored
+UNION ALL SELECT 'good', '', count(*) FROM scored WHERE score > 70 UNION ALL SELECT 'weak', '', count(*) FROM scored WHERE score < 40 UNION ALL SELECT 'document', doc, count(*) FROM members GROUP BY doc""",
+)
+def mapping_totals(t):
+    return mp.mapping_totals(scored(t), members(t))
+
+
 @query(
     "shared_term_links",
     f"""WITH {SECTIONS}, m AS (SELECT DISTINCT doc, node_id, unnest(regexp_extract_all(lower(title), '[a-z]{{5,}}')) AS term FROM sections), {star_doc_sql('m', 'term', 'node_id', 'doc')}

@@ -135,6 +135,17 @@ def corpus_totals(t):
     return te.corpus_totals(t.sections(), members(t).filter(F.col("group") != "g0")).withColumn("share", F.round("share", 6))
 
 
+@query(
+    "domain_coverage",
+    """WITH d AS (SELECT CASE WHEN toxic = 1 THEN 'flagged' WHEN quality = 1 THEN lang END AS domain FROM documents LEFT JOIN labels USING (doc_id))
+SELECT coalesce(domain, 'unclassified') AS domain, count(*) AS clauses, round(count(*)::DOUBLE / (SELECT count(*) FROM d), 6) AS share FROM d GROUP BY ALL""",
+)
+def domain_coverage(t):
+    d = t("documents").join(t("labels"), "doc_id", "left")
+    d = d.select(F.when(F.col("toxic") == 1, "flagged").when(F.col("quality") == 1, F.col("lang")).alias("domain"))
+    return te.domain_coverage(d, "domain").withColumn("share", F.round("share", 6))
+
+
 @query("low_score_queries", "SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY user_id HAVING avg(value) < 45")
 def low_score_queries(t):
     return te.low_score_queries(t("events"), "user_id", "value", 45).withColumn("mean", F.round("mean", 6))

@@ -85,14 +85,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-_owned: dict[str, SparkSession] = {}
+_owned: dict[str, object] = {}  # folder -> file system settings of its application
 
 
 def stored_root(spark: SparkSession) -> str:
     """This application's part of the shared folder; it is removed when the application ends."""
     path = f"{checkpoint_root(spark)}/stored-{spark.sparkContext.applicationId}"
     if path not in _owned:
-        _owned[path] = spark
+        _owned[path] = spark.sparkContext._jsc.hadoopConfiguration()
         atexit.register(drop_stored, spark, path)
     return path
 
@@ -103,7 +103,7 @@ def drop_stored(spark: SparkSession, path: str | None = None) -> None:
     try:
         jvm = spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+        where.getFileSystem(_owned[path]).delete(where, True)
     except Exception as gone:  # at exit the gateway may have ended; the cluster's clean-up of the folder then applies
         print(f"left behind: {path} ({type(gone).__name__})", file=sys.stderr)
 

@@ -27,6 +27,12 @@ def keyword_recall_at_k(results: DataFrame, keywords: DataFrame, k: int) -> Data
     return found.groupBy("query_id").agg(F.max(F.col("f").cast("int")).alias("hit"), F.avg(F.col("f").cast("double")).alias("share"))
 
 
+def source_recall_at_k(results: DataFrame, expected: DataFrame, k: int) -> DataFrame:
+    """Per query, 1 if a top-k result comes from an expected source. results(query_id, rank, source), expected(query_id, source)."""
+    hits = results.filter(F.col("rank") <= k).join(expected, ["query_id", "source"], "left_semi").select("query_id").distinct()
+    return expected.select("query_id").distinct().join(hits.withColumn("hit", F.lit(1)), "query_id", "left").fillna(0, ["hit"])
+
+
 def recall_breakdown(hits: DataFrame, dims: list[str]) -> DataFrame:
     """Mean of `hit` by every prefix of the dimensions, '*' for all."""
     return hits.rollup(*dims).agg(F.count("*").alias("n"), F.avg("hit").alias("recall")).fillna("*", dims)

@@ -138,6 +138,15 @@ def mapping_report(scored: DataFrame, k: int = 5, good: float = 70, bad: float =
     return best.select(*cols, F.lit("best").alias("list")).union(worst.select(*cols, F.lit("worst").alias("list")))
 
 
+def mapping_totals(scored: DataFrame, members: DataFrame, high: float = 70, low: float = 40) -> DataFrame:
+    """(metric, key, value): groups, mappings, good and weak mappings of the whole report, and mapped sections per document."""
+    whole = scored.agg(F.countDistinct("group").alias("groups"), F.count("*").alias("mappings"), F.count_if(F.col("score") > high).alias("good"),
+                       F.count_if(F.col("score") < low).alias("weak"))
+    names = ["groups", "mappings", "good", "weak"]
+    totals = whole.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.lit("").alias("key"), F.col(n).alias("value")) for n in names])))
+    return totals.union(members.groupBy("doc").agg(F.count("*").alias("value")).select(F.lit("document").alias("metric"), F.col("doc").alias("key"), "value"))
+
+
 def shared_term_links(sections: DataFrame, word: str, k: int | None = None) -> DataFrame:
     """Links between sections of different documents that share title terms, confidence .3 per shared term.
 

@@ -113,6 +113,13 @@ def corpus_totals(sections: DataFrame, mapped: DataFrame) -> DataFrame:
     return out.withColumns({"share": tx.ratio(F.col("mapped"), F.col("clauses")), "health": health})
 
 
+def domain_coverage(clauses: DataFrame, domain: str, missing: str = "unclassified") -> DataFrame:
+    """Clauses and their share per domain. A clause without a domain counts as `missing`."""
+    total = clauses.agg(F.count("*").alias("t")).scalar()
+    per = clauses.groupBy(F.coalesce(F.col(domain), F.lit(missing)).alias("domain")).agg(F.count("*").alias("clauses"))
+    return per.withColumn("share", tx.ratio(F.col("clauses"), total))
+
+
 def low_score_queries(log: DataFrame, key: str, score: str, below: float) -> DataFrame:
     """Query keys whose mean score is below the limit."""
     return log.groupBy(key).agg(F.count("*").alias("n"), F.avg(score).alias("mean")).filter(F.col("mean") < below)
