@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from clausemill.llm.common import texts_of, trim
 
 MEMO_ENTRIES = 50_000
+MEMO_CHARS = 256  # longer values are not remembered
+HEAD = 256  # so many characters of a long value are scored first
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+", re.A)
@@ -22,7 +24,7 @@ HEX = re.compile(r"[0-9a-f]{32,}", re.A)
 # Names that announce a credential beyond the fixed patterns, what may follow them, and the value.
 CONTEXT = re.compile(
     r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth(?:orization)?|bearer|api[ _-]?key|"""
-    r"""(?:access|private|secret|client|signing)[ _-]?(?:key|secret|token))["'`]?\x20*(?::=|=>|[:=]|\x20is\x20|\x20was\x20)\x20*["'`]?([^\s"'`<>,;]{4,256})""",
+    r"""(?:access|private|secret|client|signing)[ _-]?(?:key|secret|token))["'`]?\x20*(?::=|=>|[:=]|\x20is\x20|\x20was\x20)\x20*["'`]?([^\s"'`<>,;]{4,})""",
     re.I | re.A)
 HINTS = ("pass", "pwd", "pin", "secret", "token", "credential", "auth", "bearer", "key")
 
@@ -96,15 +98,29 @@ class GuessCost:
                         yield i, end, math.log10(47) + 0.3 * min(turns, end - i - 2)
                 i = max(j, i + 1)
 
-    def __call__(self, value: str) -> float:
+    def table(self, value: str, single: float) -> tuple[list[float], list[tuple[int, int, float]]]:
+        """Least cost of every beginning, and the spans."""
         best = [0.0] * (len(value) + 1)
         ends: dict[int, list[tuple[int, float]]] = {}
-        for i, j, cost in self.spans(value):
+        spans = list(self.spans(value))
+        for i, j, cost in spans:
             ends.setdefault(j, []).append((i, cost))
-        single = brute(value)
         for j in range(1, len(best)):
             best[j] = min([best[j - 1] + single, *(best[i] + cost for i, cost in ends.get(j, ()))])
-        return best[-1]
+        return best, spans
+
+    def __call__(self, value: str, enough: float = math.inf) -> float:
+        """The cost, or a lower bound of it that is `enough` or more: every segmentation of a long value crosses the middle of its
+        head from one of the states that are open there."""
+        single, head = brute(value), HEAD
+        while enough < math.inf and head < len(value):
+            best, spans = self.table(value[:head], single)
+            middle = head // 2
+            bound = min(best[max(middle - max(self.longest, 10), 0) : middle + 1] + [best[i] for i, j, _ in spans if i <= middle < j])
+            if bound >= enough:
+                return bound
+            head *= 4
+        return self.table(value, single)[0][-1]
 
 
 def brute(value: str) -> float:
@@ -128,13 +144,15 @@ def guess_spans(text: str, least: float, cost, seen: dict) -> list[tuple[int, in
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
-    out = []
-    for m in CONTEXT.finditer(text):
+    out, at = [], 0
+    while m := CONTEXT.search(text, at):
         value = m[1]
-        if value not in seen:
-            seen[value] = cost(value)
-        if seen[value] >= least:
+        guesses = seen[value] if value in seen else cost(value, least)
+        if len(value) <= MEMO_CHARS:
+            seen[value] = guesses
+        if guesses >= least:
             out.append((m.start(1), 3, m.end(1)))
+        at = m.end() if guesses >= least else m.start(1)  # a value that is none may hold the next context
     return out
 
 

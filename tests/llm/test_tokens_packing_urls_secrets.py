@@ -157,3 +157,20 @@ def test_guess_cost():
             return min([secrets.brute(v) + least(i + 1), *(c + least(j) for a, j, c in spans if a == i)])
 
         assert abs(cost(v) - least(0)) < 1e-9
+
+
+def test_long_values():
+    rng = np.random.default_rng(1)
+    for n in (257, 420, 5000):
+        value = "".join(rng.choice(list("abcdefXYZ0189_-."), n))
+        for text in (f"private_key = {value}", f"the bearer token is {value} ok"):
+            at = text.index(value)
+            assert secrets.guess_spans(text, 9.0, secrets.GuessCost(), {}) == [(at, 3, at + n)]
+            assert secrets.redact(text, secrets.all_spans(text, 9.0, secrets.GuessCost(), {})[1], "*") == text.replace(value, "*")
+    cheap = "a" * 300
+    text = f"pwd={cheap}pwd=kV9#qL2!xZ7@"  # the whole run, whose cost counts the end of it
+    assert secrets.guess_spans(text, 9.0, secrets.GuessCost(), {}) == [(4, 3, len(text))]
+    cost = secrets.GuessCost()
+    for v in ("a" * 2000, "password" * 100, "0123456789" * 80, "ab1" * 400 + "kV9#qL2!", *("".join(rng.choice(list("ab1pas"), 700)) for _ in range(5))):
+        bound, whole = cost(v, 9.0), cost(v)
+        assert (bound >= 9.0) == (whole >= 9.0) and bound <= whole + 1e-9
