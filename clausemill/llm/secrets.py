@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -21,10 +23,10 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+", re.A)
 HEX = re.compile(r"[0-9a-f]{32,}", re.A)
-# Names that announce a credential beyond the fixed patterns, what may follow them, and the value.
+# Names that announce a credential beyond the fixed patterns, what may follow them (also a scheme word), and the value.
 CONTEXT = re.compile(
     r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth(?:orization)?|bearer|api[ _-]?key|"""
-    r"""(?:access|private|secret|client|signing)[ _-]?(?:key|secret|token))["'`]?\x20*(?::=|=>|[:=]|\x20is\x20|\x20was\x20)\x20*["'`]?([^\s"'`<>,;]{4,})""",
+    r"""(?:access|private|secret|client|signing)[ _-]?(?:key|secret|token))["'`]?\x20*(?::=|=>|[:=]|\x20is\x20|\x20was\x20)\x20*["'`]?(?:(?:bearer|basic|token|negotiate|apikey)\x20+)?([^\s"'`<>,;]{4,})""",
     re.I | re.A)
 HINTS = ("pass", "pwd", "pin", "secret", "token", "credential", "auth", "bearer", "key")
 
@@ -140,7 +142,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guess_spans(text: str, least: float, cost, seen: dict) -> list[tuple[int, int, int]]:
-    """Credential-context values outside the fixed patterns whose guess cost is `least` or more; the span is the value."""
+    """Credential-context values whose guess cost is `least` or more; the span is the value."""
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
@@ -158,7 +160,8 @@ def guess_spans(text: str, least: float, cost, seen: dict) -> list[tuple[int, in
 
 def all_spans(text: str, least: float, cost, seen: dict) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     base = base_spans(text)
-    extra = [g for g in guess_spans(text, least, cost, seen) if not any(b[0] < g[2] and g[0] < b[2] for b in base)]
+    starts, reach = [b[0] for b in base], [0, *accumulate((b[2] for b in base), max)]
+    extra = [g for g in guess_spans(text, least, cost, seen) if reach[bisect_right(starts, g[0])] < g[2]]
     return base, sorted(base + extra)
 
 
@@ -170,7 +173,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     """One row per document: counts per fixed kind, digest of the fixed spans, all spans.
 
     Fixed spans stay whatever their guess cost. `guess` spans are added for values in a credential context with a cost of
-    10^`least` guesses or more that overlap no fixed span. Positions are code points, ends are exclusive.
+    10^`least` guesses or more, unless a fixed span contains them; they may overlap. Positions are code points, ends are exclusive.
     Null or empty text: zero counts, digest of the empty string, empty spans. Null ids and repeated rows are kept as they come.
     An empty table gives no rows. Columns other than the two named are ignored.
     """

@@ -174,3 +174,15 @@ def test_long_values():
     for v in ("a" * 2000, "password" * 100, "0123456789" * 80, "ab1" * 400 + "kV9#qL2!", *("".join(rng.choice(list("ab1pas"), 700)) for _ in range(5))):
         bound, whole = cost(v, 9.0), cost(v)
         assert (bound >= 9.0) == (whole >= 9.0) and bound <= whole + 1e-9
+
+
+def test_overlapping_guesses():
+    def both(text):
+        spans = secrets.all_spans(text, 9.0, secrets.GuessCost(), {})[1]
+        return secrets.told(spans), secrets.redact(text, spans, "*")
+
+    assert both("password=Tr0ubad0r$9x!kQ7zW ok") == ("assign:0:18,guess:9:27", "* ok")
+    assert both("password=abcdefgh12 ok") == ("assign:0:19", "* ok")
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiI0MiJ9." + "kV9qL2xZ7" * 40
+    for head in ("Authorization: Bearer ", "authorization: Basic ", "auth: token "):
+        assert both(f"{head}{jwt} ok")[1] == f"{head}* ok"
