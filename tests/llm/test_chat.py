@@ -65,3 +65,25 @@ def test_blocks(spark):
     got = chat.recover(spark.createDataFrame(rows, "conv_id long, part long, text string"), m).orderBy("part").collect()
     whole = chat.parse([t for _, _, t in rows], m)
     assert [(r.part, r.role, r.text) for r in got] == [(i, chat.ROLES[role], text) for i, role, text in whole]
+
+
+def test_turns_across_blocks(spark):
+    """Turns over several blocks keep all their parts, as in one run over the whole conversation."""
+    m = model_of(spark)
+    rng = np.random.default_rng(4)
+    lines = ["User: please read this"] + [f"line {i} of the long paste, which" for i in range(1000)] + ["Assistant: done."]
+    long = [(1, i, t) for i, t in enumerate(lines)]
+    pool = ["User: why?", "Assistant: because.", "\n", "", "and so on, then", "plain closed line.", "\n\nWhat else is there?", "more of it\n\nUser: and now?"]
+    mixed = [(c, i, str(t)) for c in (2, 3) for i, t in enumerate(rng.choice(pool, 900))] + [(4, i, "") for i in range(400)] + [(4, 400, "User: late"), (4, 1500, "x")]
+    rows = long + mixed
+    got = chat.recover(spark.createDataFrame(rows, "conv_id long, part long, text string"), m).collect()
+    for c in (1, 2, 3, 4):
+        texts, owner = [], []
+        for _, i, t in [r for r in rows if r[0] == c]:
+            texts += t.split("\n")
+            owner += [i] * len(t.split("\n"))
+        want, number = [], {}
+        for i, role, text in chat.parse(texts, m):
+            number[owner[i]] = n = number.get(owner[i], -1) + 1
+            want.append((owner[i], n, chat.ROLES[role], text.strip()))
+        assert sorted((r.part, r.turn, r.role, r.text) for r in got if r.conv_id == c) == sorted(want)
