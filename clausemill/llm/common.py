@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,19 @@ def by_bytes(texts: Iterable[str], most: int) -> Iterator[list[str]]:
         yield run
 
 
+LARGEST = 1 << 26  # components are held within this on both sides, so sums of 2,048 squares fit 64 bits
+
+
+def whole_vectors(column: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the lists of exactly `width` numbers, none null or non-finite, and a matrix of floor(256 x)."""
+    fits = pc.fill_null(pc.equal(pc.list_value_length(column), width), False)
+    places = np.flatnonzero(fits.to_numpy(zero_copy_only=False))
+    flat = column.filter(fits).flatten().cast(pa.float64())
+    values = flat.to_numpy(zero_copy_only=False).reshape(len(places), width)  # nulls become NaN
+    good = np.isfinite(values).all(axis=1)
+    return places[good], np.clip(np.floor(values[good] * 256), -LARGEST, LARGEST).astype(np.int64)
+
+
 def trim(memo: dict, most: int) -> None:
     """Forgets everything once a memo holds more than `most` entries, so a worker's memory stays bounded."""
     if len(memo) > most:
