@@ -261,6 +261,12 @@ def repeats(manifest: DataFrame, least_bytes: int = 0) -> DataFrame:
     return both.select("file", "ordinal", F.when(F.col("kept").isNotNull() & ~own, name).alias("other"))
 
 
+def by_file(rows: DataFrame) -> DataFrame:
+    """Rows dealt by file to all cores; by their small size alone adaptive execution would put all files into one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file")
+
+
 def normalise_crawl(decided: DataFrame, source: str, target: str) -> DataFrame:
     """Normalises every archive named in `decided` (file, ordinal, other), one task a file; returns file, records, bytes."""
 
@@ -273,7 +279,7 @@ def normalise_crawl(decided: DataFrame, source: str, target: str) -> DataFrame:
             normalise(stream.read, members, again)
         return pa.table({"file": [name], "records": pa.array([members.records], pa.int64()), "bytes": pa.array([members.out.size], pa.int64())})
 
-    return decided.groupBy("file").applyInArrow(run, "file string, records long, bytes long")
+    return by_file(decided).groupBy("file").applyInArrow(run, "file string, records long, bytes long")
 
 
 def read_member(file, offset: int, length: int) -> tuple[dict[str, str], int, str]:
@@ -347,6 +353,4 @@ def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id"
     folder = folder or f"{stored_root(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     manifest = stored(write_crawl(pages, f"{folder}/crawl", id_col, url_col, body_col), "manifest")
     files = stored(normalise_crawl(repeats(manifest, least_bytes), f"{folder}/crawl", f"{folder}/archive"), "archives")
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    many = max(cores, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return read_archives(files.repartition(many, "file"), f"{folder}/archive")
+    return read_archives(by_file(files), f"{folder}/archive")
