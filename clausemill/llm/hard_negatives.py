@@ -18,7 +18,7 @@ from clausemill.llm.common import LARGEST
 TREE_ROWS = 4096  # rows of one tree
 REGIONS = 1024  # at most so many centres on the top level; more rows give more slices of a region
 SAMPLE = 4096  # rows that the centres are chosen from
-LEAF = 48
+LEAF = 128
 BATCH = 4096  # anchors that meet a tree in one task
 BASE = 1.5  # ratio of the covering radii of neighbouring levels
 NONE = np.iinfo(np.int64).min
@@ -131,12 +131,13 @@ class Tree:
 
     def descend(self, query: np.ndarray, own: int, same: bool, tops: list[Best]) -> None:
         """Best-first: the node with the largest bound comes next; nodes outside all windows are skipped, leaves are computed exactly."""
-        x = np.zeros(self.x.shape[1], np.int64)
+        x = np.zeros(self.x.shape[1], self.x.dtype)
         x[: len(query)] = query
+        least, most = np.array([t.least for t in tops], float), np.array([t.most for t in tops], float)
         heap = [(-math.inf, 0)]
         while heap:
             high, node = heapq.heappop(heap)
-            if -high < min(t.least for t in tops):
+            if -high < least.min():
                 return
             a, b = self.children[node]
             if a == b:
@@ -144,18 +145,20 @@ class Tree:
                 if (self.labels[start] == own) != same:
                     continue
                 scores = self.x[start:end] @ x
-                for t in tops:
-                    fits = np.flatnonzero((scores >= t.least) & (scores <= t.most))
-                    if len(fits):
-                        t.add(scores[fits], self.ids[start:end][fits])
+                fits = np.flatnonzero((scores >= min(t.least for t in tops)) & (scores <= max(t.most for t in tops)))
+                if len(fits):
+                    scores, ids = scores[fits].astype(np.int64), self.ids[start:end][fits]
+                    for i, t in enumerate(tops):
+                        own_fits = (scores >= t.least) & (scores <= t.most)
+                        if own_fits.any():
+                            t.add(scores[own_fits], ids[own_fits])
+                            least[i] = t.least
                 continue
             picked = np.arange(a, b)
             if node == 0:
                 picked = picked[(self.labels[self.spans[picked, 0]] == own) == same]
             low, high = bounds(query, self.centres[picked], self.radii[picked], self.top)
-            inside = np.zeros(len(picked), bool)
-            for t in tops:
-                inside |= (high >= t.least) & (low <= t.most)
+            inside = ((high[:, None] >= least) & (low[:, None] <= most)).any(axis=1)
             for n, h in zip(picked[inside].tolist(), high[inside].tolist()):
                 heapq.heappush(heap, (-h, n))
 
@@ -300,7 +303,7 @@ def unpacked(data: bytes) -> Tree:
         tree.top = float(arrays["top"])
         for a in ARRAYS:
             setattr(tree, a, arrays[a])
-    tree.x = tree.x.astype(np.int64)
+    tree.x = tree.x.astype(float if tree.top < 2**53 else np.int64)  # below that, products and their sums are exact as floats
     return tree
 
 
