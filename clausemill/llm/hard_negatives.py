@@ -19,6 +19,7 @@ TREE_ROWS = 4096  # rows of one tree
 REGIONS = 1024  # at most so many centres on the top level; more rows give more slices of a region
 SAMPLE = 4096  # rows that the centres are chosen from
 LEAF = 128
+FEW = 12  # balls of fewer rows share a leaf
 BATCH = 4096  # anchors that meet a tree in one task
 BASE = 1.5  # ratio of the covering radii of neighbouring levels
 NONE = np.iinfo(np.int64).min
@@ -66,7 +67,7 @@ class Tree:
     """A forest with one cover tree for each label under a common root. Rows of a node lie side by side.
 
     A level with radius r holds centres more than r apart that cover the node's rows within r; the next level's radius is
-    smaller by BASE. Every node keeps the radius it really needs. Rows that cover only themselves share one leaf.
+    smaller by BASE. Every node keeps the radius it really needs. Rows in small balls share one leaf.
     """
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, x: np.ndarray, top: float):
@@ -111,19 +112,19 @@ class Tree:
                     d = self._far(rows[left], c)
             if len(parts) > 1:
                 break
-        single = [p for p in parts if len(p[1]) == 1]
-        groups = [p for p in parts if len(p[1]) > 1]
-        if len(single) > 1:
-            own = np.concatenate([p[1] for p in single])
+        few = [p for p in parts if len(p[1]) < FEW]
+        groups = [p for p in parts if len(p[1]) >= FEW]
+        if len(few) > 1:
+            own = np.concatenate([p[1] for p in few])
             groups.append((centre, own, far[own]))
         else:
-            groups += single
+            groups += few
         first, at = len(self.nodes), start
-        if len(groups) == 1:  # all rows cover only themselves
+        if len(groups) == 1:  # all balls are small
             return
         self.place[start:end] = rows[np.concatenate([g[1] for g in groups])]
         for i, (c, own, d) in enumerate(groups):
-            if len(own) > LEAF and not (len(single) > 1 and i == len(groups) - 1):
+            if len(own) > LEAF and not (len(few) > 1 and i == len(groups) - 1):
                 open_nodes.append((len(self.nodes), d))
             self.nodes.append((at, at + len(own), c, float(d.max()), 0, 0))
             at += len(own)
