@@ -315,6 +315,23 @@ def attach_isolated(t):
     return gb.attach_isolated(pages, edges.filter("contains(dst, 'th')"))
 
 
+@query(
+    "attach_isolated_hub",
+    rf"""WITH {SECTIONS}, n AS (SELECT node_id AS id, doc, lang AS type, title AS label FROM sections),
+lone AS (SELECT * FROM n), w AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(label), '[a-z]{{6,}}'))) AS w FROM n),
+s AS (SELECT a.id AS iso, b.id, count(*) AS c FROM w a JOIN w b USING (w) WHERE a.id <> b.id GROUP BY ALL),
+p AS (SELECT l.id AS src, n.id AS dst, (CASE WHEN l.doc = n.doc THEN 5 ELSE 0 END + coalesce(c, 0) * 2 + CASE WHEN l.type = n.type THEN 3 ELSE 0 END)::BIGINT AS score
+  FROM lone l JOIN n ON n.id <> l.id LEFT JOIN s ON s.iso = l.id AND s.id = n.id),
+b AS (SELECT src, dst, 'cross_references' AS type, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rn FROM p WHERE score >= 14) WHERE rn <= 3),
+h AS (SELECT doc, min(id) AS hub FROM n GROUP BY doc)
+SELECT * FROM b UNION ALL SELECT id, hub, 'belongs_to', 0 FROM lone JOIN h USING (doc) WHERE id <> hub AND id NOT IN (SELECT src FROM b)""",
+)
+def attach_isolated_hub(t):
+    """Sections with words of their titles, none linked yet; those without a candidate of 14 points go to their document's hub."""
+    nodes = t.sections().select(F.col("node_id").alias("id"), "doc", F.col("lang").alias("type"), F.col("title").alias("label"))
+    return gb.attach_isolated(nodes, t.graph()[1], word="[a-z]{6,}", least=14)
+
+
 @query("dedupe_edges", f"WITH {GRAPH} SELECT src, dst, 'LINK' AS type FROM links GROUP BY ALL")
 def dedupe_edges(t):
     return gb.dedupe_edges(t.links().withColumn("type", F.lit("LINK")))

@@ -164,9 +164,9 @@ def mapping_totals(t):
 
 @query(
     "shared_term_links",
-    f"""WITH {SECTIONS}, m AS (SELECT DISTINCT doc, node_id, unnest(regexp_extract_all(lower(title), '[a-z]{{5,}}')) AS term FROM sections), {star_doc_sql('m', 'term', 'node_id', 'doc')}
-SELECT l.src, l.dst, count(*) AS shared, min(a.term) AS first_term, round(count(*) * 0.3::DOUBLE, 6) AS confidence
-FROM (SELECT DISTINCT src, dst FROM star) l JOIN m a ON a.node_id = l.src JOIN m b ON b.node_id = l.dst AND b.term = a.term GROUP BY l.src, l.dst""",
+    f"""WITH {SECTIONS}, m AS (SELECT DISTINCT doc, node_id, unnest(regexp_extract_all(lower(title), '[a-z]{{5,}}')) AS term FROM sections)
+SELECT a.node_id AS src, b.node_id AS dst, count(*) AS shared, min(term) AS first_term, round(count(*) * 0.3::DOUBLE, 6) AS confidence
+FROM m a JOIN m b USING (term) WHERE a.doc <> b.doc AND a.node_id < b.node_id GROUP BY a.node_id, b.node_id ORDER BY shared DESC, src, dst LIMIT 50""",
 )
 def shared_term_links(t):
     return mp.shared_term_links(t.sections(), "[a-z]{5,}").withColumn("confidence", F.round("confidence", 6))

@@ -159,14 +159,14 @@ def sections_from_pages_ahead(t):
 
 @query(
     "locate_ranges",
-    f"""WITH {SECTIONS}, sub AS (SELECT doc, node_id AS name, page AS hint, lower(string_split(title, ' ')[1]) AS marker FROM sections WHERE length(title) < 40),
+    f"""WITH {SECTIONS}, sub AS (SELECT doc, node_id AS name, page AS hint, lower(string_split(title, ' ')[1]) AS marker FROM sections),
 pg AS (SELECT doc, page, text FROM sections),
 s AS (SELECT sub.doc, name, min(pg.page) AS start FROM sub JOIN pg ON pg.doc = sub.doc AND pg.page BETWEEN hint - 5 AND hint + 50 AND contains(pg.text, marker) GROUP BY sub.doc, name)
 SELECT doc, name, start, coalesce(lead(start) OVER (PARTITION BY doc ORDER BY start, name) - 1, -1) AS "end" FROM s""",
 )
 def locate_ranges(t):
     s = t.sections()
-    sub = s.filter(F.length("title") < 40).select(
+    sub = s.select(
         "doc", F.col("node_id").alias("name"), F.col("page").alias("hint"), F.lower(F.split("title", " ")[0]).alias("marker")
     )
     return st.locate_ranges(sub, s.select("doc", "page", "text")).withColumn("end", F.coalesce("end", F.lit(-1)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clausemill.catalog.base import SECTIONS, Tables, query, tok
 from clausemill.catalog.search import DICT, MIXED, TWO_HOP, phr, synonyms
 from clausemill.functions import text as tx
+from clausemill.functions.scale import stored
 from clausemill.operators import terms as tm
 
 STOP = ["the", "and", "of", "to", "in", "de", "la", "die", "der", "que"]
@@ -211,7 +212,7 @@ p AS (SELECT a.term AS t1, b.term AS t2, count(*) AS n FROM o a JOIN o b USING (
 SELECT * FROM p WHERE n >= 2""",
 )
 def cooccurrence(t):
-    o = occurrences(t)
+    o = stored(occurrences(t).select("doc", "node_id", "term"), "occurrences")
     return tm.cooccurrence(o, tm.extract_terms(o), 2)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
-from clausemill.functions.scale import containment_join, running_rank, salted_join, star_edges, top_per
+from clausemill.functions.scale import containment_join, running_rank, salted_join, star_edges, stored, top_per
 
 # Edge weights and patterns of the builders.
 VALUE_PATTERNS = {
@@ -322,30 +322,73 @@ def cross_document_links(nodes: DataFrame, words: dict[str, str]) -> DataFrame:
     return star_edges(hits, ["word", "type"], "id", "doc").select("src", "dst", "type", "word")
 
 
-def attach_isolated(nodes: DataFrame, edges: DataFrame, n: int = 3, word: str = r"\S+") -> DataFrame:
-    """An isolated node -> its best n nodes by 5 (same document) + 3 (same type) + 2 per shared word.
+def attach_isolated(nodes: DataFrame, edges: DataFrame, n: int = 3, word: str = r"\S+", least: int = 1) -> DataFrame:
+    """An isolated node -> its best n nodes by 5 (same document) + 3 (same type) + 2 per shared word, of `least` or more; else
+    the hub of its document.
 
-    nodes(id, doc, type, label). Candidates are all nodes that share a word, plus, for nodes without a shared word,
-    the first n + 1 of the same document and type, of the document, and of the type: more can never be chosen.
+    nodes(id, doc, type, label). Threshold algorithm: a node's words are met rarest first. Candidates are first those that share
+    one of the rarer half of its words, and those that come first by document and type alone. A node not met yet scores at most
+    8 + 2 per word left, so where the n-th best score is higher, nothing can change; other nodes go on with the rest of their
+    words but the most frequent one. Nodes that share only that one differ by document and type, so the first n + 1 of each such
+    group are enough: a word in every label joins no node with all others.
+
+    The hub is the first node (by id) with `hub` in its id or of type document, else the document's first node; type belongs_to,
+    score 0. A node is not its own hub.
     """
     used = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    lone = nodes.join(used, "id", "left_anti")
     words = F.array_distinct(tx.matches(F.lower("label"), word))
-    mine = lone.select(F.col("id").alias("iso"), F.explode(words).alias("w"))
-    theirs = nodes.select("id", F.explode(words).alias("w"))
-    shared = salted_join(theirs, mine, ["w"], spread="id").filter("id <> iso").groupBy("iso", "id").agg(F.count("*").alias("shared"))
-    base = lone.select(F.col("id").alias("iso"), F.col("doc").alias("i_doc"), F.col("type").alias("i_type"))
+    all_nodes = stored(nodes.select("id", "doc", "type", words.alias("words")), "graph-nodes")
+    lone = stored(all_nodes.join(used, "id", "left_anti"), "lone-nodes")
+    theirs = all_nodes.select("id", "doc", "type", F.explode("words").alias("w"))
+    asked = lone.select(F.col("id").alias("iso"), F.explode("words").alias("w"))
+    often = theirs.join(asked.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
+    order = F.row_number().over(Window.partitionBy("iso").orderBy("df", "w"))
+    mine = stored(asked.join(often, "w").withColumns({"place": order, "all": F.count("*").over(Window.partitionBy("iso"))}), "lone-words")
+    base = lone.select(F.col("id").alias("iso"), F.col("doc").alias("i_doc"), F.col("type").alias("i_type"), F.col("words").alias("i_words"))
+
+    def met(which: Column, but: DataFrame | None = None) -> DataFrame:
+        some = mine.filter(which) if but is None else mine.filter(which).join(but, "iso", "left_semi")
+        return salted_join(theirs.select("id", "w"), some.select("iso", "w"), ["w"], spread="id").select("iso", "id")
+
+    def first(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return top_per(rows.select("id", *keys), keys, [F.col("id")], n + 1, "_r").drop("_r")
 
     def plain(keys: list[str]) -> DataFrame:
-        first = top_per(nodes.select("id", *keys), keys, [F.col("id")], n + 1, "_r").select(F.col("id"), *[F.col(k).alias(f"i_{k}") for k in keys])
-        return base.join(first, [f"i_{k}" for k in keys]).filter("id <> iso").select("iso", "id", F.lit(0).cast("long").alias("shared"))
-
-    every = shared.unionByName(plain(["doc", "type"])).unionByName(plain(["doc"])).unionByName(plain(["type"]))
-    best = every.groupBy("iso", "id").agg(F.max("shared").alias("shared")).join(base, "iso").join(nodes.select("id", "doc", "type"), "id")
-    score = F.when(F.col("i_doc") == F.col("doc"), 5).otherwise(0) + F.col("shared") * 2 + F.when(F.col("i_type") == F.col("type"), 3).otherwise(0)
+        kept = first(all_nodes, keys).select("id", *[F.col(c).alias(f"i_{c}") for c in keys])
+        return base.join(kept, [f"i_{c}" for c in keys]).select("iso", "id")
+
+    def common(keys: list[str]) -> DataFrame:
+        last = mine.filter("place = all").join(base, "iso").select("iso", "w", *[F.col(f"i_{c}").alias(c) for c in keys])
+        kept = first(theirs.join(last.select("w").distinct(), "w", "left_semi"), ["w", *keys])
+        return last.join(kept, ["w", *keys]).select("iso", "id")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        rows = pairs.filter("id <> iso").distinct().join(base, "iso").join(all_nodes, "id")
+        shared = F.size(F.array_intersect("i_words", "words"))
+        score = F.when(F.col("i_doc") == F.col("doc"), 5).otherwise(0) + shared * 2 + F.when(F.col("i_type") == F.col("type"), 3).otherwise(0)
+        best = rows.select("iso", "id", "i_type", "type", score.cast("long").alias("score")).filter(F.col("score") >= least)
+        return top_per(best, ["iso"], [F.desc("score"), F.col("id")], n, "_r").drop("_r")
+
+    groups = [["doc", "type"], ["doc"], ["type"]]
+    half = F.floor(F.col("all") / 2)
+    start = met(F.col("place") <= half)
+    for keys in groups:
+        start = start.unionByName(plain(keys))
+    for keys in [*groups, []]:
+        start = start.unionByName(common(keys))
+    known = stored(scored(start), "lone-best")
+    reach = known.groupBy("iso").agg(F.when(F.count("*") == n, F.min("score")).alias("reach"))
+    left = mine.groupBy("iso").agg(F.max(F.col("all") - half).alias("left")).filter("left > 1").join(reach, "iso", "left")
+    open_nodes = left.filter(F.coalesce(F.col("reach") <= 8 + 2 * F.col("left"), F.lit(True))).select("iso")
+    more = met((F.col("place") > half) & (F.col("place") < F.col("all")), open_nodes)
+    chosen = scored(known.select("iso", "id").unionByName(more))
     kind = F.when((F.col("i_type") == "section") & (F.col("type") == "document"), "belongs_to").when(F.col("i_type") == "keyword", "related_to").otherwise("cross_references")
-    chosen = top_per(best.withColumn("score", score).filter("score > 0"), ["iso"], [F.desc("score"), F.col("id")], n)
-    return chosen.select(F.col("iso").alias("src"), F.col("id").alias("dst"), kind.alias("type"), F.col("score").cast("long").alias("score"))
+    attached = stored(chosen.select(F.col("iso").alias("src"), F.col("id").alias("dst"), kind.alias("type"), "score"), "attached")
+    hub = F.min(F.struct((~(F.lower("id").contains("hub") | (F.col("type") == "document"))).alias("z"), "id"))
+    alone = lone.select("id", "doc").join(attached.select(F.col("src").alias("id")), "id", "left_anti")
+    hubs = nodes.join(alone.select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(hub.alias("h"))
+    held = alone.join(hubs, "doc").filter(F.col("id") != F.col("h.id"))
+    return attached.unionByName(held.select(F.col("id").alias("src"), F.col("h.id").alias("dst"), F.lit("belongs_to").alias("type"), F.lit(0).cast("long").alias("score")))
 
 
 def dedupe_edges(edges: DataFrame) -> DataFrame:

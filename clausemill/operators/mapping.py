@@ -147,19 +147,71 @@ def mapping_totals(scored: DataFrame, members: DataFrame, high: float = 70, low:
     return totals.union(members.groupBy("doc").agg(F.count("*").alias("value")).select(F.lit("document").alias("metric"), F.col("doc").alias("key"), "value"))
 
 
-def shared_term_links(sections: DataFrame, word: str, k: int | None = None) -> DataFrame:
-    """Links between sections of different documents that share title terms, confidence .3 per shared term.
-
-    Per term, sections are linked to the term's first section of another document; the terms that both ends of a link
-    share are then counted in full. Only the k strongest links on request.
+def shared_term_links(sections: DataFrame, word: str, k: int = 50) -> DataFrame:
+    """The k strongest links between sections of different documents that share title terms, confidence .3 per shared term.
+
+    Exact: shared terms descending, then src, dst (src < dst). Sections with the same terms are one set. The least number of
+    shared terms starts at the largest possible one and is halved until k links are known. For a level t every set is met
+    through its size - t + 1 rarest terms only: two sets that share t terms share one of these, and the place of that term in
+    both sets bounds what they can share. On the last level, one term, a link needs nothing but the term, so of every
+    term only the first sections count (`firsts`), and a word of all titles costs no more than others.
+    """
+    spread = sections.select("doc", "node_id", F.array_distinct(tx.matches(F.lower("title"), word)).alias("terms")).distinct()
+    rows = spread.select("doc", "node_id", F.explode("terms").alias("term"))
+    ranked = rows.join(rows.groupBy("term").agg(F.count("*").alias("df")), "term")
+    sets = ranked.groupBy("doc", "node_id").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("s"))
+    sets = stored(sets.select("doc", "node_id", F.transform("s", lambda x: x["term"]).alias("terms")), "term-sets")
+    kept = stored(firsts(sets, ["terms"], k), "term-set-members")
+    distinct = stored(sets.groupBy("terms").agg(F.count("*").alias("n"), F.countDistinct("doc").alias("docs")).withColumn("set", F.md5(F.concat_ws("\x01", "terms"))), "distinct-sets")
+    named = kept.join(distinct.select("terms", "set"), "terms")
+    level = distinct.agg(F.max(F.size("terms"))).first()[0] or 1
+    while True:
+        if level > 1:
+            found = stored(expanded(set_pairs(distinct, level), named, k), "strong-links")
+        else:
+            of_term = firsts(sets.select("doc", "node_id", "terms", F.explode("terms").alias("term")), ["term"], 2 * k)
+            one = of_term.select("term", "doc", F.col("node_id").alias("a"), F.col("terms").alias("x"))
+            other = of_term.select("term", F.col("doc").alias("doc_b"), F.col("node_id").alias("b"), F.col("terms").alias("y"))
+            near = one.join(other, "term").filter("doc <> doc_b AND a < b").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.array_intersect("x", "y").alias("common"))
+            weak = near.groupBy("src", "dst").agg(F.first("common").alias("common"))
+            strong = expanded(set_pairs(distinct, 2), named, k)
+            found = strong.unionByName(weak.join(strong.select("src", "dst"), ["src", "dst"], "left_anti"))
+        if level == 1 or found.limit(k).count() == k:
+            break
+        level = max(1, level // 2)
+    out = found.select("src", "dst", F.size("common").cast("long").alias("shared"), F.array_min("common").alias("first_term"))
+    return out.withColumn("confidence", F.col("shared") * 0.3).orderBy(F.desc("shared"), "src", "dst").limit(k)
+
+
+def firsts(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Rows of every group that its k first pairs of different documents (by the smaller, then the larger node) can use.
+
+    Of every document the first k + 2 rows, of these the first 2 (k + 2): outside any one document at least k + 2 are left, and
+    each of them makes a smaller pair than a row that was cut.
     """
-    titles = sections.select("doc", "node_id", F.array_distinct(tx.matches(F.lower("title"), word)).alias("terms"))
-    links = star_edges(titles.select("doc", "node_id", F.explode("terms").alias("term")), ["term"], "node_id", "doc").select("src", "dst").distinct()
-    ends = titles.select("node_id", "terms")
-    both = links.join(ends.select(F.col("node_id").alias("src"), F.col("terms").alias("a")), "src").join(ends.select(F.col("node_id").alias("dst"), F.col("terms").alias("b")), "dst")
-    common = F.array_intersect("a", "b")
-    rows = both.select("src", "dst", F.size(common).cast("long").alias("shared"), F.array_min(common).alias("first_term")).withColumn("confidence", F.col("shared") * 0.3)
-    return rows if k is None else rows.orderBy(F.desc("shared"), "src", "dst").limit(k)
+    m = k + 2
+    own = top_per(rows, [*keys, "doc"], [F.col("node_id")], m, "_d").drop("_d")
+    return top_per(own, keys, [F.col("node_id")], 2 * m, "_n").drop("_n")
+
+
+def set_pairs(distinct: DataFrame, level: int) -> DataFrame:
+    """(set, other, common) of all pairs of term sets, a set with itself too, that share `level` terms or more. distinct(set, terms, docs)."""
+    big = distinct.filter(F.size("terms") >= level)
+    heads = big.select("set", F.size("terms").alias("n"), F.posexplode(F.slice("terms", F.lit(1), F.size("terms") - (level - 1))).alias("at", "term"))
+    near = heads.join(heads.select("term", F.col("set").alias("other"), F.col("n").alias("m"), F.col("at").alias("to")), "term")
+    near = near.filter((F.col("set") < F.col("other")) & (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")) >= level)).select("set", "other").distinct()
+    both = near.join(big.select("set", "terms"), "set").join(big.select(F.col("set").alias("other"), F.col("terms").alias("o_terms")), "other")
+    pairs = both.select("set", "other", F.array_intersect("terms", "o_terms").alias("common")).filter(F.size("common") >= level)
+    return pairs.unionByName(big.filter("docs > 1").select("set", F.col("set").alias("other"), F.col("terms").alias("common")))
+
+
+def expanded(pairs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(src, dst, common): the k strongest links of pairs of sets. members(set, doc, node_id): a bounded number for every set."""
+    left = members.select("set", F.col("doc").alias("doc_a"), F.col("node_id").alias("a"))
+    right = members.select(F.col("set").alias("other"), F.col("doc").alias("doc_b"), F.col("node_id").alias("b"))
+    every = pairs.join(left, "set").join(right, "other").filter("doc_a <> doc_b AND a <> b AND (set <> other OR a < b)")
+    links = every.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "common").distinct()
+    return links.orderBy(F.desc(F.size("common")), "src", "dst").limit(k)
 
 
 def equivalence_lookup(links: DataFrame, wanted: DataFrame) -> DataFrame:

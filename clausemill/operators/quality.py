@@ -185,15 +185,42 @@ def found_in_evidence(answers: DataFrame, evidence: DataFrame, items: Column, wi
     return rows.select("answer_id", F.size("_i").alias("items")).join(found, "answer_id", "left").fillna(0, ["found"])
 
 
-def known_terms(answers: DataFrame, terminology: DataFrame, pattern: str = TERM) -> DataFrame:
-    """Per answer: terms matched by the pattern, how many are known (contained in a terminology text), distinct unknown.
+SEED = 4  # characters of a term that look it up; a shorter term is its own seed
+SEED_SAMPLE = 2000  # terminology texts in which the frequency of seeds is looked at
+SEED_LIST = 20_000  # up to so many seeds are tested inside the row, more by a join
+
+
+def contained_terms(terms: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct keys of `terms`(key) that occur in a text of `texts`(text), lower-cased.
 
-    Terminology texts are cut into n-grams of the lengths that occur among the terms, a short list of numbers.
+    Every term has one seed, its part of SEED characters that is rarest in a bounded sample of the texts. Of a text's parts only
+    those that are seeds become rows; the whole term is then tested in the text.
     """
+    keys = terms.select("key").filter("key <> ''").distinct()
+    lowered = texts.select(F.lower("text").alias("text")).filter(F.col("text").isNotNull())
+    grams = lambda c: F.array_distinct(F.when(F.length(c) < SEED, F.array(F.col(c))).otherwise(tx.char_ngrams(F.col(c), SEED)))
+    sample = lowered.orderBy(F.xxhash64("text")).limit(SEED_SAMPLE).select(F.explode(F.array_distinct(tx.char_ngrams(F.col("text"), SEED))).alias("seed"))
+    often = sample.groupBy("seed").agg(F.count("*").alias("df"))
+    parts = keys.select("key", F.explode(grams("key")).alias("seed")).join(often, "seed", "left")
+    rarest = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "seed")).alias("s")
+    seeded = stored(parts.groupBy("key").agg(rarest).select("key", "s.seed"), "term-seeds")
+    seeds = stored(seeded.select("seed").distinct(), "seeds")
+    lengths = sorted(r[0] for r in seeds.select(F.length("seed")).distinct().collect())  # 1 to SEED
+    if not lengths:
+        return keys
+    own = F.array_distinct(F.concat(*[tx.char_ngrams(F.col("text"), n) for n in lengths]))
+    head = seeds.limit(SEED_LIST + 1).collect()
+    if len(head) <= SEED_LIST:
+        found = lowered.select("text", F.explode(F.array_intersect(own, F.lit([r.seed for r in head]))).alias("seed"))
+    else:
+        found = lowered.select("text", F.explode(own).alias("seed")).join(seeds, "seed", "left_semi")
+    return salted_join(found, seeded, ["seed"], spread="text").filter(F.col("text").contains(F.col("key"))).select("key").distinct()
+
+
+def known_terms(answers: DataFrame, terminology: DataFrame, pattern: str = TERM) -> DataFrame:
+    """Per answer: terms matched by the pattern, how many are known (contained in a terminology text), distinct unknown."""
     terms = answers.select("answer_id", F.posexplode(tx.matches(F.col("answer"), pattern)).alias("pos", "term")).withColumn("key", F.lower("term"))
-    lengths = sorted(r[0] for r in terms.select(F.length("key")).distinct().collect() if r[0])
-    grams = F.array_distinct(F.concat(*[tx.char_ngrams(F.lower("text"), n) for n in lengths])) if lengths else F.array().cast("array<string>")
-    known = terminology.select(F.explode(grams).alias("key")).distinct().withColumn("known", F.lit(True))
+    known = contained_terms(terms, terminology).withColumn("known", F.lit(True))
     rows = salted_join(terms, known, ["key"], spread="answer_id", how="left")
     per = rows.groupBy("answer_id", "term").agg(F.count("*").alias("n"), F.max("known").alias("known"))
     return per.groupBy("answer_id").agg(

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
-from clausemill.functions.scale import containment_join
+from clausemill.functions.scale import containment_join, stored
 
 # Word lists of the term rules.
 ALLOWED_ABBREVIATIONS = ["APU", "OEI", "ETOPS", "VMC", "VNE", "TC", "PC", "FAR", "CCAR", "CS"]
@@ -252,17 +256,93 @@ def extract_terms(occurrences: DataFrame, min_freq: int = 2) -> DataFrame:
     )
 
 
+SLOTS = 1 << 22  # pair counters: one byte each, so a task and the driver hold 4 MB
+SHARES = 64  # parts in which the counters of all tasks are added up
+RUN = 1 << 20  # pairs that are looked at together
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, slot) of all pairs a < b inside each sorted list, in runs of about RUN pairs, whatever the lists' length."""
+    left, right, size = [], [], 0
+
+    def run():
+        a, b = np.concatenate(left), np.concatenate(right)
+        mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) + np.uint64(0x165667B19E3779F9))
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return a, b, (mixed >> np.uint64(42)).astype(np.int64)  # 22 bits
+
+    for batch in batches:
+        lists = batch.column(0)
+        flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            codes = flat[start:end]
+            at = 0
+            while at < len(codes) - 1:
+                rows = max(1, min(len(codes) - 1 - at, RUN // len(codes)))
+                i = np.arange(at, at + rows)
+                per = len(codes) - 1 - i
+                left.append(np.repeat(codes[i], per))
+                right.append(codes[np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(i + 1, per)])
+                size += int(per.sum())
+                at += rows
+                if size >= RUN:
+                    yield run()
+                    left, right, size = [], [], 0
+    if size:
+        yield run()
+
+
+def _counters(lists: DataFrame) -> np.ndarray:
+    """Occurrences of all pairs, added up by hash into SLOTS bytes (255: that many or more)."""
+
+    def count(batches):
+        counts = np.zeros(SLOTS, np.uint8)
+        for _, _, slot in _pairs(batches):
+            where, n = np.unique(slot, return_counts=True)
+            counts[where] = np.minimum(counts[where].astype(np.int64) + n, 255)
+        parts = counts.reshape(SHARES, -1)
+        held = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([parts[h].tobytes() for h in held], pa.binary())], ["part", "counts"])
+
+    def add(table):
+        total = np.zeros(SLOTS // SHARES, np.int64)
+        for c in table.column("counts"):
+            total += np.frombuffer(c.as_buffer(), np.uint8)
+        return pa.table({"part": table.column("part").slice(0, 1), "counts": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
+
+    out = np.zeros((SHARES, SLOTS // SHARES), np.uint8)
+    for r in lists.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
+        out[r.part] = np.frombuffer(r["counts"], np.uint8)
+    return out.reshape(-1)
+
+
 def cooccurrence(occurrences: DataFrame, terms: DataFrame, min_count: int = 2) -> DataFrame:
     """How many sections hold two terms of the term table together, both directions. occurrences(node_id, term), terms(term).
 
-    A section gives its own pairs only; they are counted on both sides of one shuffle.
+    Terms are numbered once. A first pass over the sections adds all pairs up by hash in a fixed number of counters, which is at
+    least the true count of every pair; a second pass makes only pairs whose counter reaches `min_count` (255 at most), sums
+    them inside each task, and shuffles numbers. A section's pairs are made in runs, so a long one needs no more memory.
     """
-    held = occurrences.join(terms.select("term").distinct(), "term", "left_semi").groupBy("node_id").agg(F.array_sort(F.collect_set("term")).alias("ts"))
-    first = held.select("ts", F.posexplode("ts").alias("i", "t1"))
-    pairs = first.select("t1", F.explode(F.slice("ts", F.col("i") + 2, F.size("ts"))).alias("t2"))
-    counted = pairs.groupBy("t1", "t2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
+    known = stored(terms.select("term").distinct().withColumn("code", F.monotonically_increasing_id()), "term-codes")
+    held = occurrences.join(known, "term").groupBy("node_id").agg(F.array_sort(F.collect_set("code")).alias("codes")).filter(F.size("codes") > 1)
+    lists = stored(held.select("codes"), "section-terms")
+    counters, least = _counters(lists), min(min_count, 255)
+
+    def make(batches):
+        for a, b, slot in _pairs(batches):
+            keep = counters[slot] >= least
+            a, b = a[keep], b[keep]
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
+            n = np.diff(np.r_[first, len(a)])
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a[first], b[first], n)], ["a", "b", "n"])
+
+    counted = lists.mapInArrow(make, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+    name = lambda code, term: known.select(F.col("code").alias(code), F.col("term").alias(term))
+    named = counted.join(name("a", "t1"), "a").join(name("b", "t2"), "b").select("t1", "t2", "n")
     both = F.array(F.struct("t1", "t2"), F.struct(F.col("t2").alias("t1"), F.col("t1").alias("t2")))
-    return counted.select(F.explode(both).alias("p"), "n").select("p.t1", "p.t2", "n")
+    return named.select(F.explode(both).alias("p"), "n").select("p.t1", "p.t2", "n")
 
 
 def synonym_edges(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
