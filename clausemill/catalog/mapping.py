@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clausemill.catalog.base import SECTIONS, Tables, query
-from clausemill.catalog.graph import star_doc_sql
 from clausemill.catalog.rules import any_sql
 from clausemill.operators import mapping as mp
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from clausemill.catalog.base import Tables, query, tok
 from clausemill.functions import text as tx
+from clausemill.functions.scale import stored, stored_root
+from clausemill.operators import impact as im
 from clausemill.operators import index as ix
 from clausemill.operators import terms as tm
+from clausemill.operators import vector_index as vx
 
 POSTINGS = f"""bags AS (SELECT doc_id, list_distinct({tok('text')}) AS bag FROM documents),
 postings AS (SELECT doc_id, len(bag)::DOUBLE AS dl, unnest(bag) AS term FROM bags),
@@ -81,6 +86,15 @@ def bm25_topk(t):
     return ix.bm25_topk(t.questions(), index(t), 3).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
+@query("bm25_blocks", f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm25 WHERE rank <= 3")
+def bm25_blocks(t):
+    """The same search over stored posting blocks, most of them skipped."""
+    path = f"{stored_root(t.spark)}/blocks-{uuid.uuid4().hex}"
+    im.write_blocks(index(t), path, 8)
+    out = im.block_topk(t.questions(), im.read_blocks(t.spark, path), 3)
+    return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
+
+
 @query(
     "bm25_terms",
     f"WITH {POSTINGS} SELECT term, df, n, round(avgdl, 4) AS avgdl, round({IDF}, 4) AS idf FROM vocabulary, corpus",
@@ -183,12 +197,53 @@ def vector_topk(t):
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
+PROBES = """q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS score FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
+
+
+def vector_index(t: Tables, lists: int):
+    path = f"{stored_root(t.spark)}/vectors-{uuid.uuid4().hex}"
+    vx.write_vector_index(t("embeddings"), path, lists=lists)
+    return vx.read_vector_index(t.spark, path)
+
+
+def vector_queries(t: Tables):
+    return t("embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("vector_all_probes", f"WITH {PROBES} SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10")
+def vector_all_probes(t):
+    """The stored index with every list probed: exact."""
+    out = vx.approximate_topk(vector_queries(t), vector_index(t, 16), 10, probes=16, block=32)
+    return out.select("query_id", "vec_id", "score", F.col("rank").cast("long"))
+
+
+@query("vector_recall", f"WITH {PROBES} SELECT count(*) AS wanted, count(DISTINCT query_id) AS queries, true AS reached FROM r WHERE rank <= 10")
+def vector_recall(t):
+    """Recall of the ten nearest with the chosen number of probes, against the exact search; at least 0.9 is asked for."""
+    own = stored(ix.vector_topk(vector_queries(t), t("embeddings").select("vec_id", "embedding"), 10), "exact")
+    held = vx.recall(vx.approximate_topk(vector_queries(t), vector_index(t, 16), 10), own)
+    return held.agg(F.sum("wanted").alias("wanted"), F.count("*").alias("queries"), (F.sum("held") >= 0.9 * F.sum("wanted")).alias("reached"))
+
+
 VECTOR = f"""{slots('documents', 'doc_id', 256)}, {slots('benchmark', 'item_id', 256)},
 dots AS (SELECT item_id AS query_id, doc_id, sum(q.value * d.value) AS score
   FROM benchmark_slots q JOIN documents_slots d USING (slot) GROUP BY ALL),
 vec AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM dots)"""
 
 
+@query(
+    "embed_custom",
+    "SELECT item_id AS query_id, length(text)::DOUBLE AS a, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS b FROM benchmark",
+)
+def embed_custom(t):
+    """An embedding function of the caller's own in place of the hash vectors."""
+    own = lambda text: F.array(F.length(text).cast("double"), (F.length(text) - F.length(F.replace(text, F.lit("e"), F.lit("")))).cast("double"))
+    out = ix.embed(t.questions(), own, id="query_id", text="query")
+    return out.select("query_id", F.col("embedding")[0].alias("a"), F.col("embedding")[1].alias("b"))
+
+
 def vector_docs(t: Tables, k: int = 20):
     q = ix.hash_embed(t.questions().withColumnRenamed("query", "text"), id="query_id")
     return ix.vector_topk(q, ix.hash_embed(t.docs()), k, id="doc_id")

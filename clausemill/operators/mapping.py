@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
-from clausemill.functions.scale import salted_join, star_edges, stored, top_per
+from clausemill.functions.scale import salted_join, stored, top_per
 
 KEY = ["group", "number"]
 
