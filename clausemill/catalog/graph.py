@@ -337,6 +337,45 @@ def dedupe_edges(t):
     return gb.dedupe_edges(t.links().withColumn("type", F.lit("LINK")))
 
 
+LINES = r"""sections AS (SELECT source || ':' || doc_id AS section_id, source AS chapter_id, doc_id, text FROM documents),
+para AS (SELECT section_id || '/' || (i - 1) AS paragraph_id, section_id, l[i] AS content FROM (SELECT section_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM sections)),
+ent AS (SELECT DISTINCT paragraph_id, unnest(regexp_extract_all(content, '[A-Z][a-z]{6,}')) AS name FROM para),
+ref AS (SELECT DISTINCT paragraph_id, unnest(regexp_extract_all(content, '[0-9]{3,}')) AS name FROM para),
+cited AS (SELECT section_id AS source, regexp_replace(section_id, '[0-9]+$', '') || (doc_id + 20) AS target FROM sections),
+defs AS (SELECT n_name AS name, 'country' AS kind, 'src' || n_nationkey || ':' || n_nationkey AS section_id FROM nation)"""
+
+
+def line_parts(t: Tables):
+    d = t("documents").select(F.concat_ws(":", "source", "doc_id").alias("section_id"), F.col("source").alias("chapter_id"), "doc_id", "text")
+    para = d.select("section_id", F.posexplode(F.split("text", "\n")).alias("i", "content")).select(F.concat_ws("/", "section_id", "i").alias("paragraph_id"), "section_id", "content")
+    names = lambda pattern: para.select("paragraph_id", F.explode(F.array_distinct(tx.matches(F.col("content"), pattern))).alias("name"))
+    cited = d.select(F.col("section_id").alias("source"), F.concat(F.regexp_replace("section_id", "[0-9]+$", ""), F.col("doc_id") + 20).alias("target"))
+    defined = t("nation").select(F.col("n_name").alias("name"), F.lit("country").alias("entity_type"), F.concat(F.lit("src"), "n_nationkey", F.lit(":"), "n_nationkey").alias("section_id"))
+    chapters = d.select("chapter_id", F.lit("chapter").alias("title")).distinct()
+    return gb.graph_from_parts(chapters, d.select("section_id", "chapter_id", F.lit("section").alias("title")), para, names("[A-Z][a-z]{6,}"), names("[0-9]{3,}"), defined, cited)
+
+
+@query(
+    "parts_nodes",
+    f"""WITH {LINES} SELECT DISTINCT chapter_id AS id, 'Chapter' AS type, 'chapter' AS label FROM sections UNION ALL SELECT section_id, 'Section', 'section' FROM sections
+UNION ALL SELECT paragraph_id, 'Paragraph', substr(content, 1, 500) FROM para UNION ALL SELECT DISTINCT 'entity:' || name, 'concept', name FROM ent WHERE name NOT IN (SELECT name FROM defs)
+UNION ALL SELECT DISTINCT 'reference:' || name, 'Reference', name FROM ref UNION ALL SELECT 'entity:' || name, kind, name FROM defs""",
+)
+def parts_nodes(t):
+    return line_parts(t)[0]
+
+
+@query(
+    "parts_edges",
+    f"""WITH {LINES} SELECT chapter_id AS src, section_id AS dst, 'HAS_SECTION' AS type FROM sections UNION ALL SELECT section_id, paragraph_id, 'HAS_PARAGRAPH' FROM para
+UNION ALL SELECT paragraph_id, 'entity:' || name, 'MENTIONS' FROM ent UNION ALL SELECT paragraph_id, 'reference:' || name, 'REFERS_TO' FROM ref
+UNION ALL SELECT section_id, 'entity:' || name, 'DEFINES' FROM defs WHERE section_id IN (SELECT section_id FROM sections)
+UNION ALL SELECT source, target, 'REFERS_TO' FROM cited WHERE target IN (SELECT section_id FROM sections)""",
+)
+def parts_edges(t):
+    return line_parts(t)[1]
+
+
 @query(
     "merge_nodes",
     f"""WITH {GRAPH}, {SECTIONS}, a AS (SELECT 0 AS o, id, type, label FROM nodes UNION ALL SELECT 1, 'page:' || ordinal, 'Paragraph', title FROM sections UNION ALL SELECT 2, 'page:' || p_partkey, p_type, p_name FROM part)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clausemill.catalog.base import GRAPH, SECTIONS, Tables, query, tok
+from clausemill.operators import graph_build as gb
 from clausemill.operators import rules as ru
 
 # Rule words that occur in the given texts.
@@ -171,6 +172,41 @@ def checklists(t):
     return ru.checklists(interpreted(t), ["fire", "safety"]).withColumn("step", F.col("step").cast("long"))
 
 
+@query("verification_plans", f"WITH {INTERP} SELECT node_id, domain, array_to_string(list_transform(string_split(methods, ';'), lambda m: trim(m)), '|') AS plan FROM interp WHERE trim(methods) <> ''")
+def verification_plans(t):
+    return ru.verification_plans(interpreted(t)).withColumn("plan", F.array_join("plan", "|"))
+
+
+@query(
+    "design_tasks",
+    f"""WITH {INTERP} SELECT node_id, domain, (i - 1)::BIGINT AS step, trim(p[i]) AS task, methods AS verification, CASE WHEN domain IN ('fire', 'safety') THEN 'HIGH' ELSE 'MEDIUM' END AS priority
+FROM (SELECT node_id, domain, methods, string_split(requirements, ';') AS p FROM interp WHERE trim(requirements) <> ''), range(1, 10) r(i) WHERE i <= len(p)""",
+)
+def design_tasks(t):
+    return ru.design_tasks(interpreted(t), ["fire", "safety"]).withColumn("step", F.col("step").cast("long"))
+
+
+@query(
+    "design_parameters",
+    rf"""WITH {DOM}, m AS (SELECT node_id, domain, list_transform(regexp_extract_all(sections.text, '[0-9]+ [a-z]+'), lambda x: trim(x)) AS r FROM dom JOIN sections USING (node_id) WHERE domain IS NOT NULL),
+d AS (SELECT node_id, domain, list_filter(r, lambda x, i: list_position(r, x) = i) AS p FROM m)
+SELECT node_id, domain, (i - 1)::BIGINT AS step, p[i] AS parameter FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM d)""",
+)
+def design_parameters(t):
+    rows = domained(t).select("node_id", "domain").join(t.sections().select("node_id", "text"), "node_id")
+    return ru.design_parameters(rows, "[0-9]+ [a-z]+").withColumn("step", F.col("step").cast("long"))
+
+
+@query(
+    "domain_pairs",
+    f"""WITH {DOM}, d AS (SELECT DISTINCT domain, node_id FROM dom WHERE domain IS NOT NULL),
+p AS (SELECT a.node_id AS src, b.node_id AS dst, domain FROM d a JOIN d b USING (domain) WHERE a.node_id < b.node_id ORDER BY domain, src, dst LIMIT 100)
+SELECT src, dst, domain FROM p UNION ALL SELECT dst, src, domain FROM p""",
+)
+def domain_pairs(t):
+    return gb.domain_pairs(domained(t).select("node_id", "domain"), symmetric=True)
+
+
 METHODS = {"test": ["test", "tion"], "analysis": ["anal", "heit"], "inspection": ["ment"]}
 _M = " UNION ALL ".join(
     f"SELECT doc_id, '{m}' AS method, '{w}' AS keyword, list_filter(string_split(text, '.'), lambda s: contains(lower(s), '{w}'))[1] AS s FROM documents"
@@ -206,15 +242,18 @@ r AS (SELECT node_id, doc, number || ' ' || title AS title, text FROM sections),
 e AS (SELECT node_id, doc, CASE WHEN contains(title, 'General') THEN 'A' WHEN contains(title, 'Performance') THEN '性能' WHEN contains(title, 'Design') THEN '设计' ELSE '' END AS chapter,
   coalesce(nullif(regexp_extract(title, '([A-Z]\.[0-9]+|[0-9]+\.[0-9]+[a-z]?)', 1), ''), '') AS section,
   CASE WHEN doc LIKE 'src1%' THEN 'CAAC' WHEN doc LIKE 'src2%' THEN 'FAA' ELSE 'UNKNOWN' END AS agency, 'doc_' || doc AS document_id, length(text) AS content_length,
-  {any_sql('lower(text)', ru.ENRICH_REQUIREMENTS)} AS has_requirements FROM r)
-SELECT e.*, e.doc || ' §' || section AS citation, CASE WHEN url IS NULL THEN '' WHEN section <> '' THEN url || '#section-' || replace(section, '.', '_') ELSE url END AS source_link
-FROM e LEFT JOIN u USING (doc)""",
+  {any_sql('lower(text)', ru.ENRICH_REQUIREMENTS)} AS has_requirements, text FROM r)
+SELECT e.* EXCLUDE (text), e.doc || ' §' || section AS citation, coalesce(v, 'unknown') AS document_version, coalesce(k, 'unknown') AS document_type,
+  CASE WHEN chapter <> '' AND section <> '' THEN chapter || ' > ' || section ELSE section END AS chapter_section, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview, CASE WHEN url IS NULL THEN '' WHEN section <> '' THEN url || '#section-' || replace(section, '.', '_') ELSE url END AS source_link
+FROM e LEFT JOIN u USING (doc) LEFT JOIN (SELECT 'src' || n_nationkey AS doc, 'R' || n_regionkey AS v, n_name AS k FROM nation WHERE n_nationkey < 12) f USING (doc)""",
 )
 def enrich_metadata(t):
     urls = t("supplier").filter("s_acctbal > 0").groupBy(F.concat(F.lit("src"), F.col("s_suppkey") % 20).alias("doc")).agg(
         F.min(F.concat(F.lit("https://"), "s_name")).alias("url"))
+    facts = t("nation").filter("n_nationkey < 12").select(
+        F.concat(F.lit("src"), "n_nationkey").alias("doc"), F.concat(F.lit("R"), "n_regionkey").alias("version"), F.col("n_name").alias("type"))
     r = t.sections().select("node_id", "doc", F.concat_ws(" ", "number", "title").alias("title"), "text")
-    return ru.enrich_metadata(r, urls, [("src1", "CAAC"), ("src2", "FAA")]).drop("title", "text")
+    return ru.enrich_metadata(r, urls, [("src1", "CAAC"), ("src2", "FAA")], facts).drop("title", "text")
 
 
 @query(

@@ -232,13 +232,15 @@ SHORT_FIRST = r" ([A-Z]{2,6}) ([a-z]{4,})"
 
 @query(
     "detect_abbreviations",
-    rf"""SELECT abbreviation, full_form, count(*) AS n FROM (
+    rf"""SELECT abbreviation, full_form, sum(one)::BIGINT AS n FROM (SELECT *, 1 AS one FROM (
   SELECT unnest(regexp_extract_all(text, '{LONG_FIRST}', 2)) AS abbreviation, unnest(regexp_extract_all(text, '{LONG_FIRST}', 1)) AS full_form FROM documents
   UNION ALL SELECT unnest(regexp_extract_all(text, '{SHORT_FIRST}', 1)), unnest(regexp_extract_all(text, '{SHORT_FIRST}', 2)) FROM documents)
+  UNION ALL SELECT substr(n_name, 1, 3), lower(n_name), 0 FROM nation)
 GROUP BY ALL""",
 )
 def detect_abbreviations(t):
-    return tm.detect_abbreviations(t.docs(), LONG_FIRST, SHORT_FIRST)
+    known = t("nation").select(F.substring("n_name", 1, 3).alias("abbreviation"), F.lower("n_name").alias("full_form"))
+    return tm.detect_abbreviations(t.docs(), LONG_FIRST, SHORT_FIRST, known=known)
 
 
 @query(

@@ -186,11 +186,29 @@ def topic_of(text: Column, topics: dict[str, list[str]]) -> Column:
 
 
 def topic_links(sections: DataFrame, topics: dict[str, list[str]], weight: float = 0.6, text: str = "title") -> DataFrame:
-    """Sections of one topic, linked to the topic's first section."""
+    """Sections of one topic, linked to the topic's first section."""
     tagged = sections.select("node_id", topic_of(F.col(text), topics).alias("topic")).filter("topic is not null")
     return star_edges(tagged, ["topic"], "node_id").select("src", "dst", "topic", F.lit(weight).alias("weight"))
 
 
+def domain_pairs(interpreted: DataFrame, most: int | None = 100, symmetric: bool = False) -> DataFrame:
+    """Pairs of interpreted sections of one domain, the first `most` of all by domain and the sections' order; both directions on request.
+
+    interpreted(node_id, domain). The first section of a domain alone makes `most` pairs with the `most` sections after it, so no
+    more than these are paired. Without `most` all pairs of a domain are made.
+    """
+    rows = interpreted.filter("domain IS NOT NULL").select("domain", "node_id").distinct()
+    if most is not None:
+        rows = top_per(rows, ["domain"], [F.col("node_id")], most + 1, "_r").drop("_r")
+    other = rows.select("domain", F.col("node_id").alias("dst"))
+    pairs = salted_join(rows.withColumnRenamed("node_id", "src"), other, ["domain"], spread="src").filter("src < dst")
+    if most is not None:
+        pairs = pairs.orderBy("domain", "src", "dst").limit(most)
+    if symmetric:
+        pairs = pairs.unionByName(pairs.select("domain", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return pairs.select("src", "dst", "domain")
+
+
 def topic_window_pairs(sections: DataFrame, topics: dict[str, list[str]], existing: DataFrame, width: int = 7, slice_rows: int = 10000) -> DataFrame:
     """Each section with its next `width` sections in topic order, unless an edge exists either way; weight .5.
 
@@ -403,3 +421,39 @@ def merge_nodes(parts: list[DataFrame]) -> DataFrame:
         rows = p.select("id", "type", "label").withColumn("_o", F.lit(i))
         every = rows if every is None else every.unionByName(rows)
     return every.groupBy("id").agg(F.max(F.struct("_o", "type", "label")).alias("l")).select("id", "l.type", "l.label")
+
+
+def graph_from_parts(chapters: DataFrame, sections: DataFrame, paragraphs: DataFrame, entities: DataFrame, references: DataFrame,
+                     defined: DataFrame | None = None, cited: DataFrame | None = None, content: int = 500) -> tuple[DataFrame, DataFrame]:
+    """nodes(id, type, label) and edges(src, dst, type) of a document's parts, merged by id.
+
+    chapters(chapter_id, title), sections(section_id, chapter_id, title), paragraphs(paragraph_id, section_id, content),
+    entities(paragraph_id, name), references(paragraph_id, name); defined(name, entity_type, section_id) and cited(source, target)
+    are the extracts. Edges: HAS_SECTION, HAS_PARAGRAPH, MENTIONS, REFERS_TO, DEFINES; only between nodes that exist (a cited
+    section must be known). Entities and references are named by their text with a prefix, so a word that is both is two nodes.
+    """
+    entity, reference = F.concat(F.lit("entity:"), "name"), F.concat(F.lit("reference:"), "name")
+    node = lambda df, id, kind, label: df.select(id.alias("id"), kind.alias("type"), label.alias("label")).filter("id IS NOT NULL")
+    col, lit = F.col, F.lit
+    parts = [
+        node(chapters, col("chapter_id"), lit("Chapter"), col("title")), node(sections, col("section_id"), lit("Section"), col("title")),
+        node(paragraphs, col("paragraph_id"), lit("Paragraph"), F.substring("content", 1, content)),
+        node(entities, entity, lit("concept"), col("name")), node(references, reference, lit("Reference"), col("name")),
+    ]
+    edge = lambda df, src, dst, kind: df.select(src.alias("src"), dst.alias("dst"), lit(kind).alias("type")).dropna()
+    links = [
+        edge(sections, col("chapter_id"), col("section_id"), "HAS_SECTION"), edge(paragraphs, col("section_id"), col("paragraph_id"), "HAS_PARAGRAPH"),
+        edge(entities, col("paragraph_id"), entity, "MENTIONS"), edge(references, col("paragraph_id"), reference, "REFERS_TO"),
+    ]
+    if defined is not None:
+        parts.append(node(defined, entity, col("entity_type"), col("name")))
+        links.append(edge(defined, col("section_id"), entity, "DEFINES"))
+    if cited is not None:
+        links.append(edge(cited, col("source"), col("target"), "REFERS_TO"))
+    nodes = stored(merge_nodes(parts), "merged-nodes")
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    known = nodes.select("id")
+    held = salted_join(every.distinct(), known.withColumnRenamed("id", "src"), ["src"], spread="dst", how="left_semi")
+    return nodes, salted_join(held, known.withColumnRenamed("id", "dst"), ["dst"], spread="src", how="left_semi").select("src", "dst", "type")

@@ -193,22 +193,37 @@ def resolve_node(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
 def paths(pairs: DataFrame, edges: DataFrame, max_len: int = 4, limit: int | None = None) -> DataFrame:
     """Q11: simple undirected paths of at most `max_len` nodes per (source, target) pair; the shortest first.
 
-    A path is only extended to nodes from which the target is still within the remaining steps, so dead ends of a
-    hub are dropped before they multiply. pairs(source, target).
+    Half paths grow from both ends, one step at a time and in turn, and meet over the edge in their middle: the paths of one
+    length are all known before a longer half is made. A pair that has `limit` paths leaves before the next step, so hubs are only walked
+    as far, and for as many pairs, as results are missing. pairs(source, target).
     """
     around = stored(both_ways(edges), "around")  # once, not once per level
-    pairs = cut_lineage(pairs)
-    reach = cut_lineage(khop(pairs.select(F.col("target").alias("seed")).distinct(), edges, max_len - 1, with_seed=True)).select(
-        F.col("seed").alias("target"), F.col("id").alias("dst"), "distance")
-    live = pairs.filter("source <> target").select("source", "target", F.array("source").alias("path"), F.col("source").alias("src"))
+    live = cut_lineage(pairs.filter("source <> target").select("source", "target").distinct())
+    ends = {"fore": live.select("source", "target", F.array("source").alias("fore"), F.col("source").alias("src")),
+            "back": live.select("source", "target", F.array("target").alias("back"), F.col("target").alias("src"))}
+
+    def grown(side: str) -> DataFrame:
+        rows = salted_join(around, ends[side].join(live, ["source", "target"], "left_semi"), ["src"], spread="dst")
+        rows = rows.filter(~F.array_contains(side, F.col("dst")) & (F.col("dst") != F.col("target" if side == "fore" else "source")))
+        longer = F.array_append(side, F.col("dst")) if side == "fore" else F.array_prepend(side, F.col("dst"))
+        return stored(rows.select("source", "target", longer.alias(side), F.col("dst").alias("src")), "half-paths")
+
     done = None
     for steps in range(1, max_len):
-        grown = salted_join(around, live, ["src"], spread="dst").filter(~F.array_contains("path", F.col("dst")))
-        grown = grown.join(reach.filter(F.col("distance") <= max_len - 1 - steps), ["target", "dst"]).select(
-            "source", "target", F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("src"))
-        hit = grown.filter("src = target").select("source", "target", "path")
-        done = hit if done is None else done.unionByName(hit)
-        live = grown.filter("src <> target")
+        if steps > 1:
+            side = "fore" if steps % 2 == 0 else "back"
+            ends[side] = grown(side)
+        # A path of so many steps is a half from each end and the edge between them, in one way only.
+        step = salted_join(around, ends["fore"].join(live, ["source", "target"], "left_semi"), ["src"], spread="dst")
+        meet = salted_join(step.select("source", "target", "fore", F.col("dst").alias("src")), ends["back"], ["source", "target", "src"], spread="fore")
+        found = meet.filter(~F.arrays_overlap("fore", "back")).select("source", "target", F.concat("fore", "back").alias("path"))
+        found = stored(found, "paths")
+        done = found if done is None else done.unionByName(found)
+        if limit is not None:
+            enough = done.groupBy("source", "target").agg(F.count("*").alias("n")).filter(F.col("n") >= limit)
+            live = cut_lineage(live.join(enough, ["source", "target"], "left_anti"))
+            if live.isEmpty():
+                break
     out = done.select("source", "target", F.size("path").alias("length"), F.array_join("path", ">").alias("path"))
     return out if limit is None else top_per(out, ["source", "target"], [F.col("length"), F.col("path")], limit)
 

@@ -187,6 +187,26 @@ def checklists(interpreted: DataFrame, high: list[str]) -> DataFrame:
     ).withColumn("priority", F.when(F.col("domain").isin(high), "HIGH").otherwise("MEDIUM"))
 
 
+def verification_plans(interpreted: DataFrame) -> DataFrame:
+    """The verification methods of every section that has some; entries are separated by ';'."""
+    rows = interpreted.filter(F.coalesce(F.trim("methods"), F.lit("")) != "")
+    return rows.select("node_id", "domain", F.transform(F.split("methods", ";"), lambda m: F.trim(m)).alias("plan"))
+
+
+def design_tasks(interpreted: DataFrame, high: list[str]) -> DataFrame:
+    """One task per design requirement with the section's verification; HIGH for the listed domains."""
+    rows = interpreted.filter(F.coalesce(F.trim("requirements"), F.lit("")) != "")
+    return rows.select(
+        "node_id", "domain", F.posexplode(F.split("requirements", ";")).alias("step", "task"), F.coalesce("methods", F.lit("")).alias("verification"),
+    ).withColumns({"task": F.trim("task"), "priority": F.when(F.col("domain").isin(high), "HIGH").otherwise("MEDIUM")})
+
+
+def design_parameters(interpreted: DataFrame, pattern: str = r"\d+(?:\.\d+)?\s*(?:%|[A-Za-z]+)", text: str = "text") -> DataFrame:
+    """Per section with a domain the distinct parameters (value and unit) of its text, in order; sections without any are left out."""
+    found = F.array_distinct(F.transform(tx.matches(F.col(text), pattern), lambda m: F.trim(m)))
+    return interpreted.filter("domain IS NOT NULL").select("node_id", "domain", F.posexplode(found).alias("step", "parameter"))
+
+
 def compliance_methods(sections: DataFrame, methods: dict[str, list[str]], sentence_end: str = r"[。；;]", content: str = "text") -> DataFrame:
     """For every method keyword in a section the first sentence that holds it (cut at 200 characters)."""
     sentences = F.split(F.col(content), sentence_end)
@@ -212,8 +232,11 @@ def compliance_context(content: Column, groups: dict[str, list[str]]) -> dict[st
     return out
 
 
-def enrich_metadata(results: DataFrame, urls: DataFrame, agencies: list[tuple[str, str]]) -> DataFrame:
-    """Chapter, section, ids, agency, lengths, requirement flag and citation. results(doc, title, text, page)."""
+def enrich_metadata(results: DataFrame, urls: DataFrame, agencies: list[tuple[str, str]], facts: DataFrame | None = None, preview: int = 200) -> DataFrame:
+    """Chapter, section, ids, version, type, agency, lengths, requirement flag, preview and citation.
+
+    results(doc, title, text, page), urls(doc, url), facts(doc, version, type); `unknown` where facts has no row.
+    """
     title = F.col("title")
     chapter = F.coalesce(
         tx.first_match(title, "([A-Z])章", 1), F.when(title.contains("总则") | title.contains("General"), "A"),
@@ -235,7 +258,19 @@ def enrich_metadata(results: DataFrame, urls: DataFrame, agencies: list[tuple[st
     link = F.when(F.col("url").isNull(), "").when(
         F.col("section") != "", F.concat("url", F.lit("#section-"), F.replace("section", F.lit("."), F.lit("_")))
     ).otherwise(F.col("url"))
-    return out.withColumn("citation", F.concat("doc", F.lit(" §"), "section")).withColumn("source_link", link).drop("url")
+    if facts is None:
+        out = out.withColumns({"version": F.lit(None).cast("string"), "type": F.lit(None).cast("string")})
+    else:
+        out = out.join(facts.select("doc", "version", "type"), "doc", "left")
+    both = (F.col("chapter") != "") & (F.col("section") != "")
+    return out.withColumns(
+        {
+            "citation": F.concat("doc", F.lit(" §"), "section"), "source_link": link,
+            "document_version": F.coalesce("version", F.lit("unknown")), "document_type": F.coalesce("type", F.lit("unknown")),
+            "chapter_section": F.when(both, F.concat("chapter", F.lit(" > "), "section")).otherwise(F.col("section")),
+            "preview": F.when(F.length("text") > preview, F.concat(F.substring("text", 1, preview), F.lit("..."))).otherwise(F.col("text")),
+        }
+    ).drop("url", "version", "type")
 
 
 def authority_score(source: Column, doc_type: Column, chapter: Column, weights: dict[str, float] = AUTHORITY_WEIGHTS) -> Column:

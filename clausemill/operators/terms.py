@@ -357,14 +357,20 @@ def synonym_edges(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
 def detect_abbreviations(
     sections: DataFrame, long_first: str = rf"([{tx.CJK}]{{2,}})\s*[（(]([A-Z]{{2,6}})[)）]",
     short_first: str = r"(?<![\p{L}\p{N}_])([A-Z]{2,6})\s*[（(]([^()（）]{3,60})[)）]", text: str = "text",
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """(abbreviation, full form, count) from `long (ABC)` and `ABC (long)` forms; both patterns are parameters."""
+    """(abbreviation, full form, count) from `long (ABC)` and `ABC (long)` forms; both patterns are parameters.
+
+    known(abbreviation, full_form): a dictionary; all its entries are in the result, with the count of the texts' own forms, else 0.
+    """
     def pairs(pattern: str, short: int, long: int) -> DataFrame:
         z = F.arrays_zip(tx.matches(F.col(text), pattern, short).alias("a"), tx.matches(F.col(text), pattern, long).alias("f"))
         return sections.select(F.explode(z).alias("z")).select(F.col("z.a").alias("abbreviation"), F.trim("z.f").alias("full_form"))
 
-    both = pairs(long_first, 2, 1).unionByName(pairs(short_first, 1, 2))
-    return both.groupBy("abbreviation", "full_form").agg(F.count("*").alias("n"))
+    both = pairs(long_first, 2, 1).unionByName(pairs(short_first, 1, 2)).withColumn("one", F.lit(1))
+    if known is not None:
+        both = both.unionByName(known.select("abbreviation", "full_form", F.lit(0).alias("one")))
+    return both.groupBy("abbreviation", "full_form").agg(F.sum("one").alias("n"))
 
 
 def ontology_by_category(terms: DataFrame, synonyms: DataFrame) -> DataFrame:

@@ -114,3 +114,28 @@ def test_contained_terms_equal_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(ql, "SEED_LIST", most)
         assert {r.key for r in ql.contained_terms(k, t).collect()} == want
     assert ql.contained_terms(k.limit(0), t).collect() == [] and ql.contained_terms(k, t.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("limit", [None, 4])
+def test_paths_equal_all_simple_paths(spark, limit):
+    from clausemill.operators import graph_query as gq
+
+    rnd = random.Random(9)
+    edges = {tuple(sorted(rnd.sample(range(12), 2))) for _ in range(20)} | {(0, i) for i in range(1, 6)}
+    around = {i: {b for a, b in edges if a == i} | {a for a, b in edges if b == i} for i in range(12)}
+    pairs = [(0, 7), (3, 9), (1, 2), (4, 4), (11, 0)]
+    want = []
+    for s, t in pairs:
+        todo, found = [[s]], []
+        while todo:
+            p = todo.pop()
+            if p[-1] == t and len(p) > 1:
+                found.append(p)
+            elif len(p) < 6:
+                todo += [[*p, n] for n in around[p[-1]] if n not in p]
+        texts = sorted((len(p), ">".join(f"n{i}" for i in p)) for p in found if s != t)
+        want += [(f"n{s}", f"n{t}", n, x) for n, x in texts[:limit]]
+    e = spark.createDataFrame([(f"n{a}", f"n{b}", "x") for a, b in edges], "src string, dst string, type string")
+    p = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "source string, target string")
+    got = [(r.source, r.target, r.length, r.path) for r in gq.paths(p, e, 6, limit).collect()]
+    assert sorted(got) == sorted(want)
