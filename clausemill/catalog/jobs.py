@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clausemill.catalog.base import SECTIONS, Tables, query
-from clausemill.catalog.graph import EDGE_TYPES, ENT, HEADER, PATTERNS, TOPICS
+from clausemill.catalog.base import SECTIONS, SQL, Tables, query
+from clausemill.catalog.graph import EDGE_TYPES, ENT, HEADER, PATTERNS, TOPIC_CASE, TOPICS
 from clausemill.catalog.rerank import BONUS, WEIGHTS
 from clausemill.catalog.rules import PATTERNS as INTENTS
 from clausemill.catalog.search import index, synonyms
@@ -38,3 +38,17 @@ def answer_queries(t: Tables):
 @query("build_graph_nodes", f"WITH {SECTIONS}, {ENT} SELECT id, type, label FROM ents UNION ALL SELECT node_id, 'section', title FROM sections")
 def build_graph_nodes(t):
     return jobs.build_graph(t.sections(), PATTERNS, EDGE_TYPES, HEADER, TOPICS)[0]
+
+
+_EQUAL = f"SELECT src, dst, type FROM ({SQL['equivalent_across_documents']})"
+
+
+@query(
+    "build_graph_edges",
+    f"""WITH {SECTIONS}, eq AS ({_EQUAL}), k AS (SELECT node_id, topic, row_number() OVER (PARTITION BY topic ORDER BY ordinal) AS rn FROM (SELECT node_id, ordinal, {TOPIC_CASE} AS topic FROM sections) WHERE topic IS NOT NULL),
+near AS (SELECT a.node_id AS src, b.node_id AS dst, 'same_topic' AS type FROM k a JOIN k b ON a.topic = b.topic AND b.rn BETWEEN a.rn + 1 AND a.rn + 7
+  WHERE NOT EXISTS (SELECT 1 FROM eq WHERE (eq.src = a.node_id AND eq.dst = b.node_id) OR (eq.src = b.node_id AND eq.dst = a.node_id)))
+SELECT DISTINCT src, dst, type FROM (SELECT src, dst, type FROM ({SQL['extract_relations']}) UNION ALL SELECT * FROM eq UNION ALL SELECT * FROM near)""",
+)
+def build_graph_edges(t):
+    return jobs.build_graph(t.sections(), PATTERNS, EDGE_TYPES, HEADER, TOPICS)[1].select("src", "dst", "type")

@@ -8,6 +8,7 @@ from clausemill.catalog.base import SECTIONS, Tables, query, tok
 from clausemill.catalog.rules import INTENT, PATTERNS, SUBS, any_sql, user_turns
 from clausemill.catalog.search import BM25, DICT, MIXED, POSTINGS, index, scored, synonyms
 from clausemill.functions import text as tx
+from clausemill.functions.scale import stored
 from clausemill.operators import index as ix
 from clausemill.operators import rerank as rr
 from clausemill.operators import rules as ru
@@ -204,6 +205,40 @@ def multi_query_search(t):
     return rr.merge_subqueries(found, 3).select("query_id", "doc_id", F.col("position").cast("long"))
 
 
+@query(
+    "graph_first_search",
+    f"""WITH {BM25}, own AS (SELECT query_id, doc_id, rank FROM bm25 WHERE rank <= 6 AND score >= 40), ok AS (SELECT query_id FROM own GROUP BY query_id HAVING count(*) >= 3),
+r AS (SELECT query_id, doc_id, rank, 'graph_first' AS strategy FROM own WHERE query_id IN (SELECT query_id FROM ok)
+  UNION ALL SELECT query_id, doc_id, rank, 'expanded' FROM bm25 WHERE rank <= 20 AND query_id NOT IN (SELECT query_id FROM ok))
+SELECT query_id, doc_id, strategy, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS position FROM r) WHERE position <= 6""",
+)
+def graph_first_search(t):
+    """Passages with three strong results keep them, the others take the wider search."""
+    every = stored(ix.bm25_topk(t.questions(), index(t), 20).select("query_id", "doc_id", "rank", "score"), "ranked")
+    return rr.graph_first(every.filter("score >= 40"), every, 3).withColumn("position", F.col("position").cast("long"))
+
+
+@query(
+    "multi_source_search",
+    f"""WITH {POSTINGS}, q AS (SELECT conv_id * 100 + turn AS query_id, text AS query FROM conversations WHERE role = 'user'),
+u AS (SELECT query_id, query, list_prepend(query, CASE WHEN contains(query, ' and ') THEN list_filter(list_transform(string_split(query, ' and '), lambda p: trim(p)), lambda p: length(p) > 2)
+  ELSE regexp_extract_all(query, '[a-zA-Z]{{2,}}')[-2:] END) AS r FROM q WHERE trim(query) <> ''),
+d AS (SELECT query_id, list_filter(r, lambda x, i: list_position(r, x) = i)[1:4] AS r FROM u),
+s AS (SELECT query_id, unnest(range(0, len(r))) AS sub, unnest(r) AS text FROM d),
+st AS (SELECT query_id || '/' || sub AS query_id, unnest(list_distinct({tok('text')})) AS term FROM s), {scored('st', 'sb')},
+f AS (SELECT string_split(query_id, '/')[1]::BIGINT AS query_id, string_split(query_id, '/')[2]::BIGINT AS sub, doc_id, rank FROM sb WHERE rank <= 3),
+b AS (SELECT query_id, doc_id, min((rank, sub)) AS m FROM f GROUP BY ALL)
+SELECT query_id, doc_id, position FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY m, doc_id) AS position FROM b) WHERE position <= 9""",
+)
+def multi_source_search(t):
+    asked = t("conversations").filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    subs = rr.source_units(asked, [" and "], phrase="[a-zA-Z]{2,}")
+    units = subs.select(F.concat_ws("/", "query_id", "sub").alias("query_id"), F.col("text").alias("query"))
+    parts = F.split("query_id", "/")
+    found = ix.bm25_topk(units, index(t), 3).select(parts[0].cast("long").alias("query_id"), parts[1].cast("long").alias("sub"), "doc_id", "rank")
+    return rr.merge_subqueries(found, 3, 3).select("query_id", "doc_id", F.col("position").cast("long"))
+
+
 @query(
     "relevance_grade",
     f"""WITH {BM25}, g AS (SELECT query_id, count(*) AS n, max(score / 100) AS best, avg(score / 100) AS mean FROM bm25 WHERE rank <= 5 GROUP BY query_id)

@@ -82,25 +82,38 @@ def score_nodes(queries: DataFrame, nodes: DataFrame, k: int = 10, bonus_types:
     return top_per(every, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
+SEEDS_PER_ROW = 63  # seeds whose marks share one number
+
+
 def khop(seeds: DataFrame, edges: DataFrame, depth: int, with_seed: bool = False) -> DataFrame:
     """Q4: nodes within `depth` undirected steps of every seed, with their distance; without the seed itself by default.
 
-    One join per level from the frontier only; visited pairs leave by anti join; edges of a hub are sliced.
+    Seeds are bits: a node holds one number for SEEDS_PER_ROW seeds, and a level sends it along every edge once for all of them.
+    Arriving numbers are merged by a bitwise or, before the shuffle already, and what a node had seen is taken out.
     seeds(seed).
     """
     around = stored(both_ways(edges), "around")  # once, not once per level
-    # Seeds are a short list; stored rows also keep constant seeds from being folded through the level joins.
-    frontier = cut_lineage(seeds.select("seed").distinct()).select("seed", F.col("seed").alias("id"))
-    seen = frontier.withColumn("distance", F.lit(0))
+    numbered = stored(seeds.select("seed").dropna().distinct().withColumn("n", F.monotonically_increasing_id()), "seeds")
+    bit = lambda n: F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST({n} AS INT))")
+    start = numbered.select(F.col("seed").alias("id"), F.floor(F.col("n") / SEEDS_PER_ROW).alias("row"), bit(f"n % {SEEDS_PER_ROW}").alias("mask"))
+    frontier = seen = stored(start, "frontier")
+    levels = [frontier.withColumn("distance", F.lit(0))]
     for level in range(1, depth + 1):
-        step = salted_join(around, frontier.withColumnRenamed("id", "src"), ["src"], spread="dst").select("seed", F.col("dst").alias("id")).distinct()
-        frontier = step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti")
-        if level % 2 == 0 and level < depth:
-            frontier = cut_lineage(frontier)
-        seen = seen.unionByName(frontier.withColumn("distance", F.lit(level)))
-        if level % 2 == 0 and level < depth:
-            seen = cut_lineage(seen)
-    return seen if with_seed else seen.filter("distance > 0")
+        sent = salted_join(around, frontier.withColumnRenamed("id", "src"), ["src"], spread="dst")
+        come = sent.groupBy(F.col("dst").alias("id"), "row").agg(F.bit_or("mask").alias("mask"))
+        known = seen.select("id", "row", F.col("mask").alias("had"))
+        fresh = come.join(known, ["id", "row"], "left").select("id", "row", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))).alias("mask"))
+        frontier = stored(fresh.filter("mask <> 0"), "frontier")
+        levels.append(frontier.withColumn("distance", F.lit(level)))
+        if level < depth:
+            seen = stored(seen.unionByName(frontier).groupBy("id", "row").agg(F.bit_or("mask").alias("mask")), "seen")
+    every = levels[0]
+    for more in levels[1:]:
+        every = every.unionByName(more)
+    places = F.filter(F.sequence(F.lit(0), F.lit(SEEDS_PER_ROW - 1)), lambda i: F.getbit("mask", i) == 1)
+    marks = every.select("id", "distance", "row", F.explode(places).alias("i")).select("id", "distance", (F.col("row") * SEEDS_PER_ROW + F.col("i")).alias("n"))
+    out = marks.join(numbered, "n").select("seed", "id", "distance")
+    return out if with_seed else out.filter("distance > 0")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

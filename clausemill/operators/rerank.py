@@ -275,6 +275,31 @@ def merge_subqueries(found: DataFrame, k: int, factor: int = 2) -> DataFrame:
     return top_per(best, ["query_id"], [F.col("rank"), F.col("sub"), F.col("doc_id")], factor * k, "position")
 
 
+def graph_first(found: DataFrame, expanded: DataFrame, k: int) -> DataFrame:
+    """R16, graph first: the first 2k results of a query if there are k or more, else those of its expanded search.
+
+    found and expanded: (query_id, doc_id, rank). `strategy` tells which one a query's rows come from; position counts from 1.
+    """
+    own = found.filter(F.col("rank") <= 2 * k)
+    enough = own.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
+    first = own.join(enough, "query_id", "left_semi").select("query_id", "doc_id", "rank", F.lit("graph_first").alias("strategy"))
+    rest = expanded.join(enough, "query_id", "left_anti").select("query_id", "doc_id", "rank", F.lit("expanded").alias("strategy"))
+    return top_per(first.unionByName(rest), ["query_id"], [F.col("rank"), F.col("doc_id")], 2 * k, "position").drop("rank")
+
+
+def source_units(queries: DataFrame, separators: list[str], most: int = 4, phrase: str = r"[\u4e00-\u9fff]{2,}|[a-zA-Z]{2,}") -> DataFrame:
+    """R16, multi-source: (query_id, sub, text): the query, then its parts around the first separator it holds (longer than two
+    characters), else its last two phrases; at most `most` distinct units in all. Their results go through `merge_subqueries` with factor 3."""
+    query = F.col("query")
+    parts = F
+    for s in separators:
+        parts = parts.when(query.contains(s), F.filter(F.transform(F.split(query, F.lit("\\Q" + s + "\\E")), lambda p: F.trim(p)), lambda p: F.length(p) > 2))
+    phrases = tx.matches(query, phrase)
+    last = F.slice(phrases, F.greatest(F.size(phrases) - 1, F.lit(1)), F.lit(2))
+    units = F.slice(F.array_distinct(F.concat(F.array(query), parts.otherwise(last))), 1, most)
+    return queries.filter(F.coalesce(F.trim("query"), F.lit("")) != "").select("query_id", F.posexplode(units).alias("sub", "text"))
+
+
 def relevance_grade(results: DataFrame) -> DataFrame:
     """Quality of a query's results from their relevance, and whether to refine. results(query_id, relevance)."""
     g = results.groupBy("query_id").agg(F.count("*").alias("n"), F.max("relevance").alias("best"), F.avg("relevance").alias("mean"))

@@ -139,3 +139,23 @@ def test_paths_equal_all_simple_paths(spark, limit):
     p = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "source string, target string")
     got = [(r.source, r.target, r.length, r.path) for r in gq.paths(p, e, 6, limit).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_steps_of_many_seeds(spark):
+    """More seeds than one number has marks for."""
+    from clausemill.operators import graph_query as gq
+
+    rnd = random.Random(10)
+    edges = [tuple(rnd.sample(range(200), 2)) for _ in range(180)] + [(0, i) for i in range(1, 30)]
+    around = {i: {b for a, b in edges if a == i} | {a for a, b in edges if b == i} for i in range(300)}
+    want = set()
+    for s in [*range(150), 250]:
+        seen, last = {s}, {s}
+        for d in (1, 2, 3):
+            last = {n for x in last for n in around[x]} - seen
+            seen |= last
+            want |= {(s, n, d) for n in last}
+    e = spark.createDataFrame(edges, "src long, dst long")
+    seeds = spark.createDataFrame([(i,) for i in [*range(150), 250, 3]], "seed long")
+    assert {tuple(r) for r in gq.khop(seeds, e, 3).collect()} == want
+    assert {tuple(r) for r in gq.khop(seeds.filter("seed = 250"), e, 2, with_seed=True).collect()} == {(250, 250, 0)}
