@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausemill.functions.scale import stored
 from clausemill.llm.common import texts_of, trim
 
 # One run of letters with fixed composition and case mapping, then marks that the tokenizer keeps together.
@@ -117,16 +118,39 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
+OUT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+GROUP_ROWS = 50_000  # pieces that one task of a later round packs, about
+ROUNDS = 4
+
+
+def repack(open_pieces: DataFrame, groups: int, level: int, capacity: int) -> DataFrame:
+    """Packs the pieces of open sequences anew, in `groups` groups dealt by a hash of their place."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("sequence_id", "ascending"), ("offset", "ascending")])
+        bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
+        base = (level << 58) + (rows["part"][0].as_py() << 33)
+        used = np.bincount(bins, rows["length"].to_numpy()).astype(np.int64)
+        new = {"sequence_id": base + bins, "offset": offsets, "room": capacity - used[bins]}
+        return pa.table({c: pa.chunked_array([pa.array(new[c])]) if c in new else rows[c] for c in rows.column_names if c != "part"})
+
+    part = F.pmod(F.xxhash64("sequence_id", "offset"), F.lit(groups))
+    return open_pieces.withColumn("part", part).groupBy("part").applyInArrow(run, f"{OUT}, room long")
+
+
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0,
+         group_rows: int = GROUP_ROWS) -> DataFrame:
     """Pieces of all documents with their place in sequences of at most `capacity` tokens.
 
     A document's ids end with `end_id`; only longer ones are cut, into pieces of `capacity`. Each scan split is tokenised and
-    packed where it is read: nothing is shuffled, a task holds five numbers per piece, and a lost task is simply run again.
+    packed where it is read; the pieces, without texts or ids, are written to the shared folder. Sequences with more than 1/512 of
+    their room left stay open: their pieces are dealt into groups of about `group_rows` and packed again, and what these leave
+    open once more, until one group held all that was open (ROUNDS rounds at most). So the number of sequences hardly depends on
+    the splits, and a task holds the few numbers of its pieces.
     Null or empty text: the one piece that holds `end_id`. Null ids and repeated rows are packed as they come. An empty table gives
     no rows. Columns other than the two named are ignored. `tokenizer` is the path of a tokenizer file on the workers.
     Output: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), int(end_id).to_bytes(4, "little")
@@ -150,10 +174,26 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             return
         lengths = np.array(length, np.int64)
         bins, offsets = sum_of_squares(lengths, capacity)
+        used = np.bincount(bins, lengths).astype(np.int64)
         doc = pa.chunked_array(ids).take(pa.array(np.array(row_of, np.int64)))
-        bins += TaskContext.get().partitionId() << 33
+        base = TaskContext.get().partitionId() << 33
         out = pa.table({"doc_id": doc.cast(pa.int64()), "piece": pa.array(np.array(piece, np.int32)), "start": np.array(start, np.int64),
-                        "length": lengths, "ids_crc32": np.array(crc, np.int64), "sequence_id": bins, "offset": offsets})
+                        "length": lengths, "ids_crc32": np.array(crc, np.int64), "sequence_id": base + bins, "offset": offsets,
+                        "room": capacity - used[bins]})
         yield from out.to_batches(50_000)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    packed = stored(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, f"{OUT}, room long"), "packing")
+    is_open = F.col("room") > capacity // 512
+    closed = packed.filter(~is_open)
+    for level in range(1, ROUNDS + 1):
+        loose = packed.filter(is_open)
+        groups = -(-loose.count() // group_rows)
+        if not groups:
+            break
+        packed = repack(loose, groups, level, capacity)
+        if groups == 1 or level == ROUNDS:
+            closed = closed.unionByName(packed)
+            break
+        packed = stored(packed, "packing")
+        closed = closed.unionByName(packed.filter(~is_open))
+    return closed.drop("room")

@@ -63,6 +63,20 @@ def test_packing(spark, odd, none):
     assert packing.pack(none, WORD).count() == 0
 
 
+@pytest.mark.parametrize(("splits", "group_rows"), [(1, 50_000), (50, 50_000), (120, 50_000), (50, 300), (120, 100)])
+def test_packing_over_splits(spark, splits, group_rows):
+    """The number of sequences hardly depends on how the table is split, with one or with many groups in the later rounds."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(splits)
+    rows = packing.pack(docs, WORD, group_rows=group_rows).select("doc_id", "piece", "sequence_id", "offset", "length").collect()
+    assert len({(r.doc_id, r.piece) for r in rows}) == len(rows)
+    ends, sums = defaultdict(int), defaultdict(int)
+    for r in rows:
+        ends[r.sequence_id] = max(ends[r.sequence_id], r.offset + r.length)
+        sums[r.sequence_id] += r.length
+    assert ends == sums and max(ends.values()) <= 2048
+    assert len(ends) <= 1.0125 * -(-sum(sums.values()) // 2048)  # all documents in one run of the rule: 1.0113
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_sum_of_squares_rule(seed):
     """Each item goes where the recomputed sum of squares is least; few bins are wasted."""
