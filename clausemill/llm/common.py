@@ -22,15 +22,20 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def utf8_size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
 def by_bytes(texts: Iterable[str], most: int) -> Iterator[list[str]]:
-    """Runs of consecutive texts of about `most` characters in all; a longer text is a run of its own."""
+    """Runs of consecutive texts of about `most` UTF-8 bytes in all; a longer text is a run of its own."""
     run, size = [], 0
     for t in texts:
-        if run and size + len(t) > most:
+        n = utf8_size(t)
+        if run and size + n > most:
             yield run
             run, size = [], 0
         run.append(t)
-        size += len(t)
+        size += n
     if run:
         yield run
 

@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import by_bytes, texts_of, trim
+from clausemill.llm.common import by_bytes, texts_of, trim, utf8_size
 
 SPACE = "▁"  # the model's own sign for a space
 SAFE = re.compile(f"(?<=[^ {SPACE}]) (?=[^ {SPACE}])")
-BATCH_CHARS = 1 << 20
+BATCH_BYTES = 1 << 20
+CUT_CHARS = 1 << 14  # pieces longer than this are cut further
+PROBE = " ﬁ½  é\n \u3000x "  # a normaliser would change it
 MEMO_ENTRIES = 400_000
 
 
@@ -36,17 +38,37 @@ class Counter:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        vocabulary = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
+        size = self.model.get_piece_size()
+        vocabulary = [self.model.id_to_piece(i) for i in range(size)]
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in vocabulary)
         self.seen: dict[str, int] = {}
+        # Characters that stand behind no other one in any entry. Without a normaliser, and with single bytes for what the
+        # vocabulary lacks, no token reaches over the place before such a character.
+        exact = self.model.normalize(PROBE) == SPACE + PROBE.replace(" ", SPACE)
+        behind = {" ", SPACE} | {c for i, p in enumerate(vocabulary) if not self.model.is_byte(i) for c in p[1:]}
+        self.head = re.compile(f"[^{re.escape(''.join(sorted(behind)))}]") if exact and any(map(self.model.is_byte, range(size))) else None
+
+    def cuts(self, piece: str) -> list[str]:
+        """A piece without usable spaces, cut before head characters about every CUT_CHARS."""
+        out, at = [], 0
+        while self.head and len(piece) - at > CUT_CHARS and (m := self.head.search(piece, at + CUT_CHARS)):
+            out.append(piece[at : m.start()])
+            at = m.start()
+        return [*out, piece[at:]]
+
+    def long_length(self, piece: str) -> int:
+        """Every further cut starts with the model's space sign, alone in a token because a head never stands behind it."""
+        cuts = self.cuts(piece)
+        return sum(len(ids) for run in by_bytes(cuts, BATCH_BYTES) for ids in self.model.encode(run, num_threads=1)) - len(cuts) + 1
 
     def lengths(self, texts: list[str]) -> list[int]:
         if not self.splits:
-            return [len(x) for run in by_bytes(texts, BATCH_CHARS) for x in self.model.encode(run, num_threads=1)]
+            return [len(x) for run in by_bytes(texts, BATCH_BYTES) for x in self.model.encode(run, num_threads=1)]
         pieces = [safe_pieces(t) for t in texts]
         trim(self.seen, MEMO_ENTRIES)
-        seen, long = self.seen, {}
-        for run in by_bytes(set(chain.from_iterable(pieces)).difference(seen), BATCH_CHARS):
+        seen, fresh = self.seen, set(chain.from_iterable(pieces)).difference(self.seen)
+        long = {p: self.long_length(p) for p in fresh if len(p) > CUT_CHARS}
+        for run in by_bytes(fresh.difference(long), BATCH_BYTES):
             for p, ids in zip(run, self.model.encode(run, num_threads=1)):
                 (seen if len(p) <= 64 else long)[p] = len(ids)
         if long:
@@ -66,8 +88,9 @@ def counter(path: str) -> Counter:
 def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than `limit` tokens) of every row.
 
-    Texts reach the workers in Arrow batches, are grouped by size into runs of about BATCH_CHARS characters, cut at safe
-    boundaries, and only lengths come back. Null text counts as empty: 0 bytes, 0 tokens. Null ids and repeated rows are kept as
+    Texts reach the workers in Arrow batches, are grouped by size into runs of about BATCH_BYTES bytes, cut at safe
+    boundaries (single spaces; in long pieces without them, characters that no vocabulary entry holds behind another, such as line
+    ends and ideographs), and only lengths come back. Null text counts as empty: 0 bytes, 0 tokens. Null ids and repeated rows are kept as
     they are. An empty table gives no rows. Columns other than the two named are ignored. `model` is the path of a sentencepiece
     file on the workers.
     """
@@ -76,8 +99,8 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         c = counter(model)
         for batch in batches:
             texts = texts_of(batch.column(1))
-            tokens = [n for part in by_bytes(texts, 4 * BATCH_CHARS) for n in c.lengths(part)]
-            sizes = [len(t.encode()) for t in texts]
+            tokens = [n for part in by_bytes(texts, 4 * BATCH_BYTES) for n in c.lengths(part)]
+            sizes = [utf8_size(t) for t in texts]
             over = [n > limit for n in tokens]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array(over, pa.bool_())],

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from clausemill.llm import packing, secrets, tokens, urls
+from clausemill.llm import common, packing, secrets, tokens, urls
 
 SP, WORD = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
@@ -38,6 +38,27 @@ def test_safe_pieces(text):
     assert c.lengths([text]) == [len(c.model.encode(text))]
 
 
+def test_long_pieces():
+    """Texts without single spaces: ideographs, a word a line, mixed scripts, marks and unknown characters."""
+    c = tokens.Counter(SP)
+    rng = np.random.default_rng(5)
+    alphabet = list("你好世界的是在。、\n\tabcdeéß▁한글가カナ゙́😀\u3000½ﬁ012") + ["  ", "\n\n", "the", "tion"]
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 200_000))), "\n".join(rng.choice(["alpha", "beta", "x1"], 30_000)), "x" * 50_000,
+             *("".join(rng.choice(alphabet, 60_000)) for _ in range(3))]
+    for t in texts:
+        assert c.lengths([t]) == [len(c.model.encode(t))]
+    assert all(max(map(len, c.cuts(t))) < 2 * tokens.CUT_CHARS for t in (texts[0], texts[1], *texts[3:]))
+    for _ in range(300):  # every head of short texts
+        t = "".join(rng.choice(alphabet, 12))
+        for m in c.head.finditer(t, 1):
+            assert len(c.model.encode(t[: m.start()])) + len(c.model.encode(t[m.start() :])) - 1 == len(c.model.encode(t))
+
+
+def test_runs_by_bytes():
+    runs = list(common.by_bytes(["é" * 30, "a" * 40, "b", "é" * 200, "c"], 100))
+    assert runs == [["é" * 30, "a" * 40], ["b"], ["é" * 200], ["c"]]
+
+
 def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 
