@@ -57,7 +57,8 @@ FROM parts p LEFT JOIN (
 
 @query
 def op9_secrets(spark, sf_dir):
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, words=secrets.ranked_words(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 @query

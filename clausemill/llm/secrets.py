@@ -1,19 +1,25 @@
-"""Secret scan: fixed patterns, and a guess-cost rule for values that stand in a credential context."""
+"""Secret scan: fixed patterns, and a guess-cost rule for values that stand in a credential context.
+
+Words are ranked by how common they are: first those that people put into passwords, then by turns those of a public vocabulary
+file and those that the documents themselves use most.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, zip_longest
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausemill.functions.scale import global_top
 from clausemill.llm.common import texts_of, trim
 
 MEMO_ENTRIES = 50_000
@@ -26,8 +32,10 @@ HEX = re.compile(r"[0-9a-f]{32,}", re.A)
 # Names that announce a credential beyond the fixed patterns, what may follow them (also a scheme word), and the value.
 CONTEXT = re.compile(
     r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|credentials?|auth(?:orization)?|bearer|api[ _-]?key|"""
-    r"""(?:access|private|secret|client|signing)[ _-]?(?:key|secret|token))["'`]?\x20*(?::=|=>|[:=]|\x20is\x20|\x20was\x20)\x20*["'`]?(?:(?:bearer|basic|token|negotiate|apikey)\x20+)?([^\s"'`<>,;]{4,})""",
+    r"""(?:access|private|secret|client|signing)[ _-]?(?:key|secret|token))["'`]?\x20*(?::=|=>|[:=]|\x20(is|was)\x20)\x20*["'`]?(?:(?:bearer|basic|token|negotiate|apikey)\x20+)?([^\s"'`<>,;]{4,})""",
     re.I | re.A)
+PROSE = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*[.!?):]*")  # a plain word
+PLACE = re.compile(r"[a-z][a-z0-9+.-]*://[^/?#@]*(?:[/?#]|$)", re.I)  # an address without user and password
 HINTS = ("pass", "pwd", "pin", "secret", "token", "credential", "auth", "bearer", "key")
 
 # Words that people put into passwords, by rank of use.
@@ -37,6 +45,7 @@ COMMON = (
     "angel flower cookie pepper ginger computer internet server system access private public token example sample none null "
     "true false string value your here the and this that with from key"
 ).split()
+RANKED_WORDS, RANKED_DOCUMENTS = 30_000, 5  # words taken from the documents, at most; documents that use such a word, at least
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 SEQUENCES = ("abcdefghijklmnopqrstuvwxyz", "0123456789")
 DATES = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
@@ -125,6 +134,28 @@ class GuessCost:
         return self.table(value, single)[0][-1]
 
 
+def vocabulary_words(path: str) -> list[str]:
+    """Whole words of a tokenizer file that marks word ends, in the file's own order, which is by frequency."""
+    with open(path, encoding="utf-8") as f:
+        entries = json.load(f)["model"]["vocab"]
+    return [w[:-4] for w in sorted(entries, key=entries.get) if re.fullmatch("[a-z]{3,20}</w>", w)]
+
+
+def ranked_words(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text", most: int = RANKED_WORDS) -> tuple[str, ...]:
+    """Words by rank: COMMON, then by turns those of the vocabulary file and the `most` that most documents use.
+
+    All documents are counted, without their credential-context values, so that a copied password does not become a word. Only
+    the `most` first words, of 4 to 30 letters and in RANKED_DOCUMENTS documents or more, reach the driver. Null texts have no words.
+    """
+    text = F.lower(F.col(text_col).cast("string"))
+    plain = F.when(text.rlike("|".join(HINTS)), F.regexp_replace(text, F.lit("(?i)" + CONTEXT.pattern), F.lit(" "))).otherwise(text)
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(r"(?<!\p{L})\p{L}{4,30}(?!\p{L})"), F.lit(0)))).alias("word"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= RANKED_DOCUMENTS)
+    own = [r.word for r in global_top(counts, [F.desc("n"), F.col("word")], most).collect()]
+    known = vocabulary_words(vocabulary) if vocabulary else []
+    return tuple(dict.fromkeys([*COMMON, *(w for pair in zip_longest(known, own) for w in pair if w)]))
+
+
 def brute(value: str) -> float:
     """log10 of the alphabet that a value draws on."""
     sizes = ((str.isdigit, 10), (str.islower, 26), (str.isupper, 26))
@@ -141,20 +172,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def guess_spans(text: str, least: float, cost, seen: dict) -> list[tuple[int, int, int]]:
-    """Credential-context values whose guess cost is `least` or more; the span is the value."""
+def value_cost(value: str, least: float, cost: GuessCost) -> float:
+    """An address without user and password costs what its dearest part behind the host does."""
+    m = PLACE.match(value)
+    return cost(value, least) if not m else max([cost(p, least) for p in re.split(r"[/?&=#]+", value[m.end() :]) if p], default=0.0)
+
+
+def guess_spans(text: str, least: float, cost: GuessCost, seen: dict) -> list[tuple[int, int, int]]:
+    """Credential-context values whose guess cost is `least` or more; the span is the value.
+
+    A plain word behind "is" or "was" is read as prose and needs twice that cost.
+    """
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
     out, at = [], 0
     while m := CONTEXT.search(text, at):
-        value = m[1]
-        guesses = seen[value] if value in seen else cost(value, least)
+        value = m[2]
+        needed = 2 * least if m[1] and PROSE.fullmatch(value) else least
+        guesses = seen[value] if value in seen else value_cost(value, 2 * least, cost)
         if len(value) <= MEMO_CHARS:
             seen[value] = guesses
-        if guesses >= least:
-            out.append((m.start(1), 3, m.end(1)))
-        at = m.end() if guesses >= least else m.start(1)  # a value that is none may hold the next context
+        if guesses >= needed:
+            out.append((m.start(2), 3, m.end(2)))
+        at = m.end() if guesses >= needed else m.start(2)  # a value that is none may hold the next context
     return out
 
 
@@ -173,8 +214,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     """One row per document: counts per fixed kind, digest of the fixed spans, all spans.
 
     Fixed spans stay whatever their guess cost. `guess` spans are added for values in a credential context with a cost of
-    10^`least` guesses or more, unless a fixed span contains them; they may overlap. Positions are code points, ends are exclusive.
-    Null or empty text: zero counts, digest of the empty string, empty spans. Null ids and repeated rows are kept as they come.
+    10^`least` guesses or more (twice the exponent for a plain word behind "is" or "was"), unless a fixed span contains them; they may overlap. Positions are code points, ends are exclusive.
+    `words` are ranked by use, see `ranked_words`. Null or empty text: zero counts, digest of the empty string, empty spans. Null ids and repeated rows are kept as they come.
     An empty table gives no rows. Columns other than the two named are ignored.
     """
 

@@ -1,7 +1,10 @@
 """The pipeline against a plain restatement of every stage, run in memory."""
 
+import re
 import sys
 import zlib
+from collections import Counter
+from itertools import zip_longest
 from pathlib import Path
 
 import numpy as np
@@ -18,6 +21,14 @@ from clausemill.llm import secrets, toxicity  # noqa: E402
 SF = "/root/testdata/sf0.001"
 
 
+def ranked(rows):
+    """The ranked words, counted in memory."""
+    counts = Counter(w for r in rows for w in set(re.findall(r"[^\W\d_]+", secrets.CONTEXT.sub(" ", (r.text or "").lower()))) if 4 <= len(w) <= 30)
+    own = sorted((w for w, n in counts.items() if n >= 5), key=lambda w: (-counts[w], w))[:30_000]
+    known = secrets.vocabulary_words(public_tokenizers.path("word_bpe_49k.json"))
+    return tuple(dict.fromkeys([*secrets.COMMON, *(w for pair in zip_longest(known, own) for w in pair if w)]))
+
+
 def plain(spark):
     from tokenizers import Tokenizer
 
@@ -34,10 +45,11 @@ def plain(spark):
         t = dc.normal(r.text or "")
         if not any(x in t or (len(t) < 2500 and p.best(t)[0] <= int(0.05 * len(x))) for x, p in tests):
             clean.append(r)
+    words = ranked(clean)
     tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     out = []
     for r in clean:
-        text = secrets.redact(r.text or "", secrets.all_spans(r.text or "", 9.0, secrets.GuessCost(), {})[1], "[secret]")
+        text = secrets.redact(r.text or "", secrets.all_spans(r.text or "", 9.0, secrets.GuessCost(words), {})[1], "[secret]")
         ids = [*tk.encode(text, add_special_tokens=False).ids, 0]
         for n, at in enumerate(range(0, len(ids), 2048)):
             cut = ids[at : at + 2048]
@@ -54,6 +66,15 @@ def test_run(spark):
     assert max(ends.values()) <= 2048
 
 
+def test_ranked_words(spark, odd, none):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert secrets.ranked_words(docs, path) == ranked(docs.collect())
+    copies = spark.createDataFrame([(i, "The password is Zkuqvanelo now", "s") for i in range(50)], odd.schema)
+    assert "zkuqvanelo" not in secrets.ranked_words(copies) and "now" not in secrets.ranked_words(copies)
+    assert secrets.ranked_words(none) == secrets.ranked_words(odd) == tuple(dict.fromkeys(secrets.COMMON))
+
+
 def test_stages(spark, odd):
     docs = odd.selectExpr("doc_id", "text", "'en' AS lang", "score AS source", "length(text) AS n_chars", "1 AS bands", "'x' AS key")
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -221,3 +221,30 @@ def test_overlapping_guesses():
     jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiI0MiJ9." + "kV9qL2xZ7" * 40
     for head in ("Authorization: Bearer ", "authorization: Basic ", "auth: token "):
         assert both(f"{head}{jwt} ok")[1] == f"{head}* ok"
+
+
+KEPT = [
+    "The secret is everything to understand", "the pin is underneath the mattress", "access key: elephants", "auth: https://example.org/path/to",
+    "token: information", "The password was unfortunately forgotten.", "secret = university", "credentials: documentation", "auth: function",
+    "the secret is self-explanatory!", "The token is Internationalisierungsbedarf.",  # as a word of the documents
+    "pass: background music",
+]
+FOUND = {
+    "the password is kV9#qL2!xZ7@": "kV9#qL2!xZ7@", "passphrase: hq7Tz1pWk9s": "hq7Tz1pWk9s", "pin is elephants-Rq81xv": "elephants-Rq81xv",
+    "auth: https://hooks.example.org/services/T8Rk2mQ9xLw4vB7n": "https://hooks.example.org/services/T8Rk2mQ9xLw4vB7n",
+    "auth: https://bob:kV9qL2xZ7t@example.org/": "https://bob:kV9qL2xZ7t@example.org/", "bearer: zqxvkjwpbmgh": "zqxvkjwpbmgh",
+    "the secret is vkqzjxwpbmghtrfydslq": "vkqzjxwpbmghtrfydslq",
+}
+
+
+def test_prose_stays_and_planted_secrets_go():
+    words = tuple(dict.fromkeys([*secrets.COMMON, *secrets.vocabulary_words(WORD), "internationalisierungsbedarf"]))
+    cost, seen = secrets.GuessCost(words), {}
+    for text in KEPT:
+        assert secrets.guess_spans(text, 9.0, cost, seen) == [], text
+    for text, value in FOUND.items():
+        at = text.index(value)
+        assert secrets.guess_spans(text, 9.0, cost, seen) == [(at, 3, at + len(value))], text
+    rng = np.random.default_rng(4)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    assert all(cost("".join(rng.choice(letters, 10))) >= 9 for _ in range(300))
