@@ -37,7 +37,8 @@ def drop_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps all documents; spans that the secret scan finds are masked, and n_chars follows the text."""
     ship(spark)
-    masked = docs.withColumn("text", secrets.redacted(F.col("text")))
+    words = secrets.ranked_words(docs, public_tokenizers.path("word_bpe_49k.json"))
+    masked = docs.withColumn("text", secrets.redacted(F.col("text"), words=words))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
