@@ -37,7 +37,7 @@ class Encoder:
         self.model = self.tokenizer.model
         letters = [chr(c) for c in range(0x41, 0x100) if SIMPLE.fullmatch(chr(c))]
         mapped = {c: "".join(s for s, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in letters}
-        self.letters = str.maketrans(mapped)
+        self.letters = str.maketrans(mapped)  # plain letters stay as they are
         self.parts, self.words, self.marks = {"": b""}, {}, {"": b""}
 
     def full(self, part: str) -> bytes:
@@ -50,7 +50,7 @@ class Encoder:
         word, marks = m[1].lower(), m[2]
         ids = self.words.get(word)
         if ids is None:
-            tokens = self.model.tokenize(word.translate(self.letters))
+            tokens = self.model.tokenize(word if word.isascii() else word.translate(self.letters))
             ids = self.words[word] = array("I", [t.id for t in tokens]).tobytes()
         if marks and marks not in self.marks:
             if len(marks) > 8:
@@ -60,20 +60,16 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         parts, seen = text.translate(BREAKS).split(" ") if "\n" in text else text.split(" "), self.parts
-        try:
-            return b"".join([seen[p] for p in parts])
-        except KeyError:
-            out = []
-            for p in parts:
-                ids = seen.get(p)
-                if ids is None:
-                    ids = self.part(p)
-                    if len(p) <= 64:
-                        seen[p] = ids
-                out.append(ids)
+        ids = list(map(seen.get, parts))
+        if None in ids:
+            for at in [i for i, known in enumerate(ids) if known is None]:
+                p = parts[at]
+                ids[at] = one = seen.get(p) or self.part(p)
+                if len(p) <= 64:
+                    seen[p] = one
             trim(seen, MEMO_ENTRIES)
             trim(self.words, MEMO_ENTRIES)
-            return b"".join(out)
+        return b"".join(ids)
 
 
 _encoders: dict[str, Encoder] = {}
