@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.functions.scale import global_top
+from clausemill.functions.scale import stored
 from clausemill.llm.common import texts_of, trim
 
 MEMO_ENTRIES = 50_000
@@ -144,14 +144,23 @@ def vocabulary_words(path: str) -> list[str]:
 def ranked_words(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text", most: int = RANKED_WORDS) -> tuple[str, ...]:
     """Words by rank: COMMON, then by turns those of the vocabulary file and the `most` that most documents use.
 
-    All documents are counted, without their credential-context values, so that a copied password does not become a word. Only
-    the `most` first words, of 4 to 30 letters and in RANKED_DOCUMENTS documents or more, reach the driver. Null texts have no words.
+    All documents are counted, without their credential-context values, so that a copied password does not become a word. Words
+    have 4 to 30 letters and stand in RANKED_DOCUMENTS documents or more; of these, all that are used as much as a least use, the
+    smallest step of a sixteenth octave that leaves `most` or fewer. Only they reach the driver. Null texts have no words.
     """
     text = F.lower(F.col(text_col).cast("string"))
     plain = F.when(text.rlike("|".join(HINTS)), F.regexp_replace(text, F.lit("(?i)" + CONTEXT.pattern), F.lit(" "))).otherwise(text)
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(r"(?<!\p{L})\p{L}{4,30}(?!\p{L})"), F.lit(0)))).alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= RANKED_DOCUMENTS)
-    own = [r.word for r in global_top(counts, [F.desc("n"), F.col("word")], most).collect()]
+    counts = stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= RANKED_DOCUMENTS), "ranked-words")
+    step = F.floor(16 * F.log2("n")).cast("int")  # some hundred steps of use, however many documents there are
+    sizes = {r.step: r.words for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()}
+    lowest, taken = max(sizes, default=0) + 1, 0
+    for at in sorted(sizes, reverse=True):
+        taken += sizes[at]
+        if taken > most:
+            break
+        lowest = at
+    own = [r.word for r in sorted(counts.filter(step >= lowest).collect(), key=lambda r: (-r.n, r.word))]
     known = vocabulary_words(vocabulary) if vocabulary else []
     return tuple(dict.fromkeys([*COMMON, *(w for pair in zip_longest(known, own) for w in pair if w)]))
 

@@ -70,6 +70,9 @@ def test_ranked_words(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     path = public_tokenizers.path("word_bpe_49k.json")
     assert secrets.ranked_words(docs, path) == ranked(docs.collect())
+    few = secrets.ranked_words(docs, most=100)[len(dict.fromkeys(secrets.COMMON)):]
+    every = [w for w in secrets.ranked_words(docs) if w not in secrets.COMMON]
+    assert 0 < len(few) <= 100 and list(few) == every[: len(few)]
     copies = spark.createDataFrame([(i, "The password is Zkuqvanelo now", "s") for i in range(50)], odd.schema)
     assert "zkuqvanelo" not in secrets.ranked_words(copies) and "now" not in secrets.ranked_words(copies)
     assert secrets.ranked_words(none) == secrets.ranked_words(odd) == tuple(dict.fromkeys(secrets.COMMON))
