@@ -13,16 +13,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausemill.functions.scale import BROADCAST_ROWS, salted_join, stored
+from clausemill.functions.scale import kept_by, runs, salted_join, stored
 from clausemill.llm.common import texts_of
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 28, 5  # a pair at 0.8 shares no band with probability 1.5e-5
-TINY, SMALL = 8, 48  # buckets of at most so many texts are compared pair by pair, at once or (but for pairs of one class) after the first stars
-PIVOTS, GROWTH = 2, 4  # pivots of a bucket in a round; once buckets are no longer split, how many times more in every next one
-LEVELS, FAN = 3, 3  # how often a large bucket is split by a further band, and by how many different ones the first time
+TINY, PIVOTS = 8, 2  # larger buckets are first compared with so many pivots each
+PART = 2_000  # members of a larger bucket that a task compares with as many others, without a row for every pair
+STEP = 50_000  # pairs whose signatures are compared in one step
 ALIKE = 84  # equal coordinates of 140 that a pair must have to be verified; one at 0.8 has fewer with probability 1e-8
 MEMO_ENTRIES = 300_000
 SLICE_CHARS = 500_000  # texts that are turned into signatures or compared together
@@ -193,16 +193,61 @@ def promising(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
+            x, y = (marks_of(batch.column(c)) for c in (2, 3))
             yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= ALIKE))
 
     return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def kept_by(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of `big` with a partner in `small`, a stored table; up to BROADCAST_ROWS of it are broadcast, so that `big` is not shuffled."""
-    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return big.join(F.broadcast(small) if few else small, on, "left_semi")
+def marks_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def crossed(many: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b, same) of all members of a bucket with those outside its largest class, but for pairs of one class, of sizes that
+    cannot reach the similarity, or whose signatures agree on fewer than ALIKE coordinates; same: on how many they do (without `marks`
+    0, and all pairs stay). many(bucket, key, size, root, main, light, n).
+
+    Both sides are dealt into parts of about PART, and every two parts meet as a sorted stream, the texts outside first. The signatures
+    are compared there, so a pair becomes a row only if its texts must be read, and a bucket of any size is spread over many tasks.
+    """
+    known = "marks" in reps.columns
+    rows = many.join(reps.select("key", "marks"), "key") if known else many.withColumn("marks", F.lit(None).cast("binary"))
+    parts = lambda c: F.ceil(F.col(c) / PART)
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), parts(c) - 1))
+    part = lambda c: F.pmod(F.xxhash64("key"), parts(c))
+    columns = ["bucket", "i", "j", "side", "key", "size", "root", "marks"]
+    outside = rows.filter(F.col("root") != F.col("main")).withColumns({"side": F.lit(0), "i": part("light")}).withColumn("j", every("n"))
+    inside = rows.withColumns({"side": F.lit(1), "j": part("n")}).withColumn("i", every("light"))
+    stream = outside.select(*columns).union(inside.select(*columns)).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+
+    def compared(left: pa.RecordBatch, right: pa.RecordBatch) -> pa.RecordBatch:
+        roots = pa.concat_arrays([left.column("root"), right.column("root")]).dictionary_encode().indices.to_numpy()
+        u, v = roots[: len(left)], roots[len(left) :]
+        s, t = left.column("size").to_numpy(), right.column("size").to_numpy()
+        open_pairs = (u[:, None] != v) & (np.minimum(s[:, None], t) >= least * np.maximum(s[:, None], t))
+        x, y = np.nonzero(open_pairs)
+        same = np.zeros(len(x), np.int64)
+        if known and len(x):
+            m, n = marks_of(left.column("marks")), marks_of(right.column("marks"))
+            for at in range(0, len(x), STEP):
+                same[at : at + STEP] = (m[x[at : at + STEP]] == n[y[at : at + STEP]]).sum(axis=1)
+            x, y, same = (z[same >= ALIKE] for z in (x, y, same))
+        return pa.RecordBatch.from_arrays([left.column("key").take(pa.array(x)), right.column("key").take(pa.array(y)), pa.array(same)], ["x", "y", "same"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            for own, side, some in runs(batch, 3):
+                if own != group:
+                    group, held = own, []
+                if side == 0:
+                    held.append(some)
+                else:
+                    for left in held:
+                        yield compared(left, some)
+
+    return stream.mapInArrow(run, "x binary, y binary, same long").select(*ordered("x", "y"), "same").distinct()
 
 
 def candidate_texts(keys: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
@@ -212,13 +257,14 @@ def candidate_texts(keys: DataFrame, reps: DataFrame, texts: DataFrame) -> DataF
     return kept_by(texts, wanted, ["key", "id"]).groupBy("key").agg(F.first("text").alias("text"))
 
 
-def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, least: float, checked: bool = False) -> DataFrame:
     """Pairs (a, b) of text keys whose texts reach the similarity, counted exactly. `texts`: key, text, each key once.
+    `checked`: the pairs are stored, and their signatures agree already.
 
     The text of a pair with more pairs is its centre. A centre's pairs are dealt into runs of about RUN, each a sorted stream of
     the centre's text and those of its partners, so a text that thousands are compared with is no hot key.
     """
-    pairs = stored(promising(pairs, reps), "promising")
+    pairs = pairs if checked else stored(promising(pairs, reps), "promising")
     degrees = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("d")), "degrees")
     own = kept_by(texts, degrees.select("key"), ["key"])
     both = pairs.join(degrees.toDF("a", "da"), "a").join(degrees.toDF("b", "db"), "b")
@@ -257,14 +303,6 @@ def crowded(members: DataFrame) -> DataFrame:
     return salted_join(members, sizes, ["bucket"], spread="key")
 
 
-def split(many: DataFrame, reps: DataFrame, fan: int) -> DataFrame:
-    """Large buckets cut by a further band of their texts: the next one after the band at `pos`, and for `fan` above 1 those after it too."""
-    n = F.size("bands")
-    nexts = F.transform(F.sequence(F.lit(1), F.lit(fan)), lambda s: (F.col("pos") + s) % n)
-    cut = F.transform(F.array_distinct(nexts), lambda p: F.struct(F.xxhash64("bucket", F.get("bands", p)).alias("bucket"), p.alias("pos")))
-    return many.join(reps.select("key", "bands"), "key").select(F.explode(cut).alias("c"), "key", "size", "root").select("c.bucket", "key", "size", "c.pos", "root")
-
-
 def near_links(reps: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Verified links (a, b) between distinct texts, see `linked`."""
     return linked(reps, texts, least)[0]
@@ -276,80 +314,53 @@ def linked(reps: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> tupl
 
     Texts meet in band buckets. Every two texts of a tiny bucket are compared. In a larger one a few members (pivots: those that
     share most buckets with others, the text that copies were made of shares more than any copy) are compared with all members,
-    and leave. From then on a text is compared only with texts of other classes, and once few members are outside a bucket's
-    largest class these are compared with all others. What is larger still is split by further bands of its texts, LEVELS
-    times, and goes on in the parts: two texts at 0.8 stay together in some part of the first split with probability 0.9999, of
-    the second 0.95, of the third 0.6, closer ones nearly always, and a class needs only a chain of such pairs. Whatever is left
-    after the last split (texts that agree on 20 coordinates in bands) is compared in full, with GROWTH times as many pivots a
-    round. So a bucket costs a fixed number of comparisons for each member, however large it is. Only pairs of one class, of
-    sizes that cannot reach the similarity, or whose signatures are clearly too different are skipped.
+    and leave. Then all members are compared with those outside the bucket's largest class (`crossed`), so every two texts of a
+    bucket are compared, whatever its size. Only pairs of one class, of sizes that cannot reach the similarity, or whose
+    signatures are clearly too different are skipped. Of the pairs found each text's most alike one is verified first; what this
+    makes one class needs no more reading.
     """
-    members = reps.select(F.posexplode("bands").alias("pos", "bucket"), "key", "size").withColumn("root", F.col("key"))
+    members = reps.select(F.explode("bands").alias("bucket"), "key", "size").withColumn("root", F.col("key"))
     members = stored(crowded(members), "members")
     popularity = stored(members.groupBy("key").agg(F.sum("n").alias("pop")), "popularity")
     texts = stored(candidate_texts(popularity, reps, texts), "texts")
     alike = F.least("size", "other_size") / F.greatest("size", "other_size") >= least  # similarity is at most this
-    apart = alike & (F.col("root") != F.col("other_root"))
 
     def meets(pivot: Column) -> Column:
         return (F.least("size", pivot.size) / F.greatest("size", pivot.size) >= least) & (F.col("root") != pivot.root)
 
-    target = ["bucket", F.col("key").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root")]
-
-    def first_pairs(members: DataFrame, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Pairs of tiny buckets and of the first pivots of larger ones; these pivots (bucket, other); the members of larger ones."""
-        few, many = members.filter(F.col("n") <= TINY), members.filter(F.col("n") > TINY)
-        close = few.join(few.select(*target), "bucket").filter((F.col("key") < F.col("other")) & apart).select(*ordered("key", "other"))
-        pivots = stored(few_chosen(many.join(popularity, "key"), turn), "pivots")
-        met = salted_join(many, pivots, ["bucket"], spread="key").filter(F.exists("pivots", meets))
-        spokes = met.select("key", F.explode(F.filter("pivots", meets)).alias("p")).select("key", F.col("p.key").alias("other"))
-        return close.union(spokes.select(*ordered("key", "other"))), pivots.select("bucket", F.explode("pivots.key").alias("other")), many
-
-    pairs, pivots, many = first_pairs(members, 0)
-    tried = stored(pairs.distinct(), "pairs")
+    target = ["bucket", F.col("key").alias("other"), F.col("size").alias("other_size")]
+    few, many = members.filter(F.col("n") <= TINY), members.filter(F.col("n") > TINY)
+    close = few.join(few.select(*target), "bucket").filter((F.col("key") < F.col("other")) & alike).select(*ordered("key", "other"))
+    pivots = stored(few_chosen(many.join(popularity, "key")), "pivots")
+    met = salted_join(many, pivots, ["bucket"], spread="key").filter(F.exists("pivots", meets))
+    spokes = met.select("key", F.explode(F.filter("pivots", meets)).alias("p")).select("key", F.col("p.key").alias("other"))
+    tried = stored(close.union(spokes.select(*ordered("key", "other"))).distinct(), "pairs")
     found = stored(verified(tried, reps, texts, least), "links")
     roots = components(found)
-    budget, turn = PIVOTS, 0
-    while True:
-        turn += 1
-        gone = pivots.select("bucket", F.col("other").alias("key"))
-        many = many.select("bucket", "key", "size", "pos").join(gone, ["bucket", "key"], "left_anti")
-        rooted = many.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        per = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"))
-        per = per.groupBy("bucket").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("top")).filter("n > top.m")
-        state = per.select("bucket", F.col("top.root").alias("main"), (F.col("n") - F.col("top.m")).alias("light"), "n")
-        many = stored(salted_join(rooted, state, ["bucket"], spread="key"), "members")
-        if many.isEmpty():
-            return found, roots
-        budget = PIVOTS if turn <= LEVELS else budget * GROWTH
-        last = (F.col("light") <= budget) | (F.col("light") * F.col("n") <= SMALL * SMALL)
-        ends = many.filter(last & (F.col("root") != F.col("main"))).select(*target)
-        if turn <= LEVELS:
-            parts = stored(crowded(split(many.filter(~last), reps, FAN if turn == 1 else 1)), "parts")
-            more, pivots, rest = first_pairs(parts, turn)
-            spokes = salted_join(many.filter(last), ends, ["bucket"], spread="key").filter(apart).select(*ordered("key", "other"))
-            pairs, many = more.union(spokes), rest
-        else:
-            starts = chosen(many.filter(~last).join(popularity, "key"), budget, turn).select(*target)
-            pivots = stored(ends.union(starts), "pivots")
-            pairs = salted_join(many, pivots, ["bucket"], spread="key").filter(apart).select(*ordered("key", "other"))
-            many = many.filter(~last)
-        pairs = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.union(pairs)
-        links = stored(verified(pairs, reps, texts, least), "links")
-        found, roots = found.union(links), joined_roots(roots, links)
-
-
-def chosen(members: DataFrame, n: int, turn: int) -> DataFrame:
-    """Up to n members of every bucket: the text that shares most buckets in each of n slots. Slots go by text, so that buckets of one group choose the same ones."""
-    slot = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(n))
-    best = F.max(F.struct("pop", *[c for c in members.columns if c not in ("bucket", "pop")])).alias("top")
-    return members.groupBy("bucket", slot.alias("slot")).agg(best).select("bucket", "top.*")
-
-
-def few_chosen(members: DataFrame, turn: int) -> DataFrame:
-    """bucket, pivots: what `chosen` gives for PIVOTS slots, as one row a bucket."""
-    slot = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(PIVOTS))
+
+    gone = pivots.select("bucket", F.explode("pivots.key").alias("key"))
+    rooted = many.select("bucket", "key", "size").join(gone, ["bucket", "key"], "left_anti").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    per = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"))
+    per = per.groupBy("bucket").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("top")).filter("n > top.m")
+    state = per.select("bucket", F.col("top.root").alias("main"), (F.col("n") - F.col("top.m")).alias("light"), "n")
+    many = stored(salted_join(rooted, state, ["bucket"], spread="key"), "members")
+    if many.isEmpty():
+        return found, roots
+    left = stored(crossed(many, reps, least).join(tried, ["a", "b"], "left_anti"), "pairs")
+    ends = left.select(F.col("a").alias("key"), F.struct("same", "a", "b").alias("p")).union(left.select("b", F.struct("same", "a", "b")))
+    nearest = stored(ends.groupBy("key").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct(), "nearest")
+    links = stored(verified(nearest, reps, texts, least, checked=True), "links")
+    found, roots = found.union(links), joined_roots(roots, links)
+    rest = left.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    rest = stored(rest.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "pairs")
+    links = stored(verified(rest, reps, texts, least, checked=True), "links")
+    return found.union(links), joined_roots(roots, links)
+
+
+def few_chosen(members: DataFrame) -> DataFrame:
+    """bucket, pivots: up to PIVOTS members of every bucket, the text that shares most buckets in each slot. Slots go by text, so that
+    buckets of one group choose the same ones."""
+    slot = F.pmod(F.xxhash64("key", F.lit(0)), F.lit(PIVOTS))
     best = [F.max(F.when(slot == i, F.struct("pop", "key", "size", "root"))) for i in range(PIVOTS)]
     return members.groupBy("bucket").agg(F.array_compact(F.array(*best)).alias("pivots"))
 

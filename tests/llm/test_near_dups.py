@@ -160,3 +160,23 @@ def test_one_large_bucket(spark):
     texts = spark.createDataFrame([(r[0], r[1], t) for r, t in zip(rows, named.values())], "key binary, id long, text string")
     got = {(bytes(r.a).decode(), bytes(r.b).decode()) for r in nd.near_links(reps, texts).collect()}
     assert got == near
+
+
+def test_large_buckets_leave_no_pair_out(spark, monkeypatch):
+    """Near texts of a crowded bucket that share no other band; its parts are smaller than the bucket."""
+    monkeypatch.setattr(nd, "PART", 25)
+    rng = np.random.default_rng(7)
+    named = {}
+    for g in range(12):
+        text = make(rng, 200)
+        named |= {f"{g:02}a": text, f"{g:02}b": edited(rng, text, 0.01)}
+    named |= {f"f{i:03}": make(rng, 200) for i in range(100)}
+    sets = {k: nd.shingles(t, nd.WordHashes()) for k, t in named.items()}
+    # The crowded band is the first one; each text's other bands are its own.
+    rows = [(bytearray(k.encode()), i, [1, 1000 + 2 * i, 1001 + 2 * i], int(sets[k][1].sum())) for i, k in enumerate(named)]
+    reps = spark.createDataFrame(rows, "key binary, id long, bands array<long>, size long")
+    texts = spark.createDataFrame([(r[0], r[1], t) for r, t in zip(rows, named.values())], "key binary, id long, text string")
+    links, roots = nd.linked(reps, texts)
+    want = {(f"{g:02}a", f"{g:02}b") for g in range(12)}
+    assert {(bytes(r.a).decode(), bytes(r.b).decode()) for r in links.collect()} == want
+    assert {(bytes(r.key).decode(), bytes(r.root).decode()) for r in roots.collect()} == {(x, a) for a, b in want for x in (a, b)}
