@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as tx
-from clausemill.functions.scale import containment_join, cut_lineage, salted_join, stored, top_per
+from clausemill.functions.scale import checked_join, containment_join, cut_lineage, salted_join, stored, top_per
 from clausemill.operators.rules import node_family
 
 # Order of the node families.
@@ -110,12 +110,16 @@ def khop(seeds: DataFrame, edges: DataFrame, depth: int, with_seed: bool = False
     every = levels[0]
     for more in levels[1:]:
         every = every.unionByName(more)
-    places = F.filter(F.sequence(F.lit(0), F.lit(SEEDS_PER_ROW - 1)), lambda i: F.getbit("mask", i) == 1)
-    marks = every.select("id", "distance", "row", F.explode(places).alias("i")).select("id", "distance", (F.col("row") * SEEDS_PER_ROW + F.col("i")).alias("n"))
-    out = marks.join(numbered, "n").select("seed", "id", "distance")
+    out = marks(every, "id", "distance").join(numbered, "n").select("seed", "id", "distance")
     return out if with_seed else out.filter("distance > 0")
 
 
+def marks(rows: DataFrame, *columns: str) -> DataFrame:
+    """(columns, n): one row for every bit of `mask`; n is its number over all rows. rows(row, mask, columns)."""
+    places = F.filter(F.sequence(F.lit(0), F.lit(SEEDS_PER_ROW - 1)), lambda i: F.getbit("mask", i) == 1)
+    return rows.select(*columns, "row", F.explode(places).alias("i")).select(*columns, (F.col("row") * SEEDS_PER_ROW + F.col("i")).alias("n"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """Undirected degree per node, counted once per edge end."""
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
@@ -176,11 +180,21 @@ def subgraph_summary(node_sets: DataFrame, nodes: DataFrame, edges: DataFrame) -
 
 
 def filter_network(queries: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Q9: per query the nodes whose label holds one of its tokens, their one-hop neighbours, and the induced edges."""
+    """Q9: per query the nodes whose label holds one of its tokens, their one-hop neighbours, and the induced edges.
+
+    Queries are bits, as in `khop`: a token, and then a node, holds one number for SEEDS_PER_ROW queries, so what a hub passes on to all
+    its neighbours are a few numbers. Rows per query are made at the end.
+    """
+    numbered = stored(queries.select("query_id").distinct().withColumn("n", F.monotonically_increasing_id()), "queries")
     words = queries.select("query_id", F.explode(F.array_distinct(tx.matches(F.lower("query"), QUERY_TOKEN))).alias("w"))
-    hit = containment_join(nodes.select("id", F.lower("label").alias("_t")), "_t", words, "w").select("query_id", "id").distinct()
-    near = salted_join(both_ways(edges), hit.withColumnRenamed("id", "src"), ["src"], spread="dst").select("query_id", F.col("dst").alias("id"))
-    found = hit.union(near).distinct()
+    known = words.join(numbered.select(F.col("query_id").alias("_q"), "n"), F.col("query_id").eqNullSafe(F.col("_q")))
+    bit = F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST(n % {SEEDS_PER_ROW} AS INT))")
+    marked = stored(known.groupBy("w", F.floor(F.col("n") / SEEDS_PER_ROW).alias("row")).agg(F.bit_or(bit).alias("mask")), "query-words")
+    held = containment_join(nodes.select("id", F.lower("label").alias("_t")), "_t", marked.select("w").distinct(), "w").select("id", "w")
+    hit = stored(checked_join(held, marked, ["w"], spread="id").groupBy("id", "row").agg(F.bit_or("mask").alias("mask")), "hit-nodes")
+    near = salted_join(both_ways(edges), hit.withColumnRenamed("id", "src"), ["src"], spread="dst").select(F.col("dst").alias("id"), "row", "mask")
+    every = hit.unionByName(near).groupBy("id", "row").agg(F.bit_or("mask").alias("mask"))
+    found = marks(every, "id").join(numbered, "n").select("query_id", "id")
     return found, induced_edges(found.withColumnRenamed("query_id", "set_id"), edges).withColumnRenamed("set_id", "query_id")
 
 
