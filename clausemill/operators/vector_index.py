@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausemill.functions.scale import top_per
-from clausemill.operators.index import _k_best, _unit
+from clausemill.operators.index import _matrix, _unit, meet
 
 SAMPLE = 20_000  # vectors that centres and probes are fitted on, on the driver
 MOST_LISTS = 1024
@@ -73,7 +73,7 @@ def write_vector_index(vectors: DataFrame, path: str, id: str = "vec_id", k: int
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = (_unit(batch.column(1).to_pylist()) @ centres.T).argmax(axis=1) if batch.num_rows else np.empty(0, np.int64)
+            near = (_unit(_matrix(batch.column(1))) @ centres.T).argmax(axis=1) if batch.num_rows else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32())], [id, "embedding", "list"])
 
     dealt = rows.mapInArrow(assign, f"{id} {kind}, embedding array<double>, list int").hint("rebalance", "list")
@@ -99,7 +99,7 @@ def probe_rows(queries: DataFrame, index: VectorIndex, probes: int) -> DataFrame
         for batch in batches:
             rows, lists, cuts = [], [], []
             if batch.num_rows and len(held):
-                order = np.argsort(-(_unit(batch.column(1).to_pylist()) @ centres.T), axis=1, kind="stable")[:, :probes]
+                order = np.argsort(-(_unit(_matrix(batch.column(1))) @ centres.T), axis=1, kind="stable")[:, :probes]
                 for i, own in enumerate(held[order].tolist()):
                     for c in own:
                         n = parts[c]
@@ -116,28 +116,17 @@ def probe_rows(queries: DataFrame, index: VectorIndex, probes: int) -> DataFrame
 def approximate_topk(queries: DataFrame, index: VectorIndex, k: int, probes: int | None = None, block: int = 4096) -> DataFrame:
     """R6, approximate: (query_id, id, score, rank) like `vector_topk`, looking only into each query's nearest lists.
 
-    Every (list, slice) pair meets its own queries in blocks, so a task holds a bounded part of both sides; only lists that some
-    query probes are read and shuffled. With as many probes as lists the result is exact.
+    Every (list, slice) pair meets its own queries as a stream, in blocks, so a task holds one slice and one block, and no vector is
+    sent more than once; only lists that some query probes are read and shuffled. With as many probes as lists the result is exact.
     """
     probes = min(probes or index.probes, len(index.centres))
     sent = probe_rows(queries, index, probes)
     probed = sorted(r.list for r in sent.select("list").distinct().collect())  # at most MOST_LISTS numbers
-    per_list = -(-queries.count() // block) or 1
-    id, kind = index.id, index.lists.schema[index.id].dataType.simpleString()
-    qid = queries.schema["query_id"].dataType.simpleString()
+    id = index.id
     rows = index.lists.filter(F.col("list").isin(probed))  # partitions that hold no probed list are not read
     cuts = F.create_map(*[F.lit(v) for c in probed for v in (c, -(-index.sizes[c] // SLICE_ROWS))]) if probed else F.create_map(F.lit(0), F.lit(1))
     rows = rows.withColumn("slice", F.pmod(F.xxhash64(id), cuts[F.col("list")]).cast("int"))
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(per_list - 1))))
-    sent = sent.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(per_list)).cast("int"))
-    best: Callable = _k_best(k, id)
-
-    def look(left, right):
-        found = best(_unit(left["embedding"].tolist()), iter([right])) if len(left) else best(np.empty((0, 1)), iter([]))
-        return found.assign(query_id=left["query_id"].reindex(found["q"]).to_numpy())[["query_id", id, "score"]]
-
-    keys = ["list", "slice", "block"]
-    found = sent.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(look, f"query_id {qid}, {id} {kind}, score double")
+    found = meet(rows, sent, ["list", "slice"], k, id, block)
     return top_per(found, ["query_id"], [F.desc("score"), F.col(id)], k)
 
 
