@@ -18,7 +18,6 @@ from clausemill.llm.common import texts_of, trim
 
 # One run of letters with fixed composition and case mapping, then marks that the tokenizer keeps together.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
-BREAKS = str.maketrans("\n", " ")
 MEMO_ENTRIES = 600_000
 
 
@@ -59,7 +58,7 @@ class Encoder:
         return ids + self.marks[marks]
 
     def encode(self, text: str) -> bytes:
-        parts, seen = text.translate(BREAKS).split(" ") if "\n" in text else text.split(" "), self.parts
+        parts, seen = text.replace("\n", " ").split(" "), self.parts  # translate() takes a fifth of all time on texts beyond ASCII
         ids = list(map(seen.get, parts))
         if None in ids:
             for at in [i for i, known in enumerate(ids) if known is None]:
