@@ -22,6 +22,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 28, 5  # a pair at 0.8 shares no band with probability 1.5e-5
 TINY, PIVOTS = 8, 2  # larger buckets are first compared with so many pivots each
 PART = 2_000  # members of a larger bucket that a task compares with as many others, without a row for every pair
+SHINGLES = 2_000_000  # and their shingles, repeats counted
+STRIP = 250  # members that are compared with a part at once
 STEP = 50_000  # pairs whose signatures are compared in one step
 ALIKE = 84  # equal coordinates of 140 that a pair must have to be verified; one at 0.8 has fewer with probability 1e-8
 MEMO_ENTRIES = 300_000
@@ -204,50 +206,153 @@ def marks_of(column: pa.Array) -> np.ndarray:
 
 
 def crossed(many: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b, same) of all members of a bucket with those outside its largest class, but for pairs of one class, of sizes that
-    cannot reach the similarity, or whose signatures agree on fewer than ALIKE coordinates; same: on how many they do (without `marks`
-    0, and all pairs stay). many(bucket, key, size, root, main, light, n).
+    """Rows (bucket, i, j, side, key, root) of the texts whose exact comparison with the other side of their block (bucket, i, j) is
+    needed. All members of a bucket (side 1) meet those outside its largest class (side 0). Pairs of one class, of sizes that cannot
+    reach the similarity, or whose signatures agree on fewer than ALIKE coordinates need none (without `marks` the last holds for no
+    pair), and a pair that shares more buckets is left to the smallest. many(bucket, key, size, root, main, light, lines, n, whole).
 
-    Both sides are dealt into parts of about PART, and every two parts meet as a sorted stream, the texts outside first. The signatures
-    are compared there, so a pair becomes a row only if its texts must be read, and a bucket of any size is spread over many tasks.
+    Both sides are dealt into parts of about PART texts and SHINGLES shingles, and every two parts meet as a sorted stream, the texts
+    outside first. A text is one row of a block, however many it may be alike to, so a bucket of any size is spread over many tasks.
     """
     known = "marks" in reps.columns
-    rows = many.join(reps.select("key", "marks"), "key") if known else many.withColumn("marks", F.lit(None).cast("binary"))
-    parts = lambda c: F.ceil(F.col(c) / PART)
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), parts(c) - 1))
-    part = lambda c: F.pmod(F.xxhash64("key"), parts(c))
-    columns = ["bucket", "i", "j", "side", "key", "size", "root", "marks"]
-    outside = rows.filter(F.col("root") != F.col("main")).withColumns({"side": F.lit(0), "i": part("light")}).withColumn("j", every("n"))
-    inside = rows.withColumns({"side": F.lit(1), "j": part("n")}).withColumn("i", every("light"))
+    rows = many.join(reps.select("key", "bands", "marks" if known else F.lit(None).cast("binary").alias("marks")), "key")
+    parts = lambda c, size: F.ceil(F.greatest(F.col(c) / PART, F.col(size) / SHINGLES))
+    outer, inner = parts("light", "lines"), parts("n", "whole")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    part = lambda n: F.pmod(F.xxhash64("key"), n)
+    columns = ["bucket", "i", "j", "side", "key", "root", "size", "bands", "marks"]
+    outside = rows.filter(F.col("root") != F.col("main")).withColumns({"side": F.lit(0), "i": part(outer)}).withColumn("j", every(inner))
+    inside = rows.withColumns({"side": F.lit(1), "j": part(inner)}).withColumn("i", every(outer))
     stream = outside.select(*columns).union(inside.select(*columns)).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
 
-    def compared(left: pa.RecordBatch, right: pa.RecordBatch) -> pa.RecordBatch:
+    def needed(bucket: int, left: pa.RecordBatch, right: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows of either side have a pair that must be compared exactly here."""
         roots = pa.concat_arrays([left.column("root"), right.column("root")]).dictionary_encode().indices.to_numpy()
         u, v = roots[: len(left)], roots[len(left) :]
         s, t = left.column("size").to_numpy(), right.column("size").to_numpy()
-        open_pairs = (u[:, None] != v) & (np.minimum(s[:, None], t) >= least * np.maximum(s[:, None], t))
-        x, y = np.nonzero(open_pairs)
-        same = np.zeros(len(x), np.int64)
-        if known and len(x):
+        x, y = np.nonzero((u[:, None] != v) & (np.minimum(s[:, None], t) >= least * np.maximum(s[:, None], t)))
+        hit = np.zeros(len(left), bool), np.zeros(len(right), bool)
+        if not len(x):
+            return hit
+        if known:
             m, n = marks_of(left.column("marks")), marks_of(right.column("marks"))
-            for at in range(0, len(x), STEP):
-                same[at : at + STEP] = (m[x[at : at + STEP]] == n[y[at : at + STEP]]).sum(axis=1)
-            x, y, same = (z[same >= ALIKE] for z in (x, y, same))
-        return pa.RecordBatch.from_arrays([left.column("key").take(pa.array(x)), right.column("key").take(pa.array(y)), pa.array(same)], ["x", "y", "same"])
+        width = pc.max(pc.list_value_length(pa.concat_arrays([left.column("bands"), right.column("bands")]))).as_py()
+        own, others = padded(left.column("bands"), width, -1), padded(right.column("bands"), width, -2)
+        own[own >= bucket] = -1  # only smaller buckets take a pair away; keys of -1 and -2 take none
+        for at in range(0, len(x), STEP):
+            a, b = x[at : at + STEP], y[at : at + STEP]
+            if known:
+                alike = (m[a] == n[b]).sum(axis=1) >= ALIKE
+                a, b = a[alike], b[alike]
+            here = ~((own[a] == others[b]) & (own[a] != -1)).any(axis=1)
+            hit[0][a[here]] = hit[1][b[here]] = True
+        return hit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
+        group, held, marked = None, [], []
+
+        def outside_rows() -> Iterator[pa.RecordBatch]:
+            for left, hit in zip(held, marked):
+                yield left.select(columns[:6]).filter(pa.array(hit))
+
         for batch in batches:
             for own, side, some in runs(batch, 3):
                 if own != group:
-                    group, held = own, []
+                    yield from outside_rows()
+                    group, held, marked = own, [], []
                 if side == 0:
                     held.append(some)
-                else:
-                    for left in held:
-                        yield compared(left, some)
+                    marked.append(np.zeros(len(some), bool))
+                    continue
+                for start in range(0, len(some), STRIP):
+                    strip = some.slice(start, STRIP)
+                    hit = np.zeros(len(strip), bool)
+                    for left, seen in zip(held, marked):
+                        x, y = needed(own[0], left, strip)
+                        seen |= x
+                        hit |= y
+                    yield strip.select(columns[:6]).filter(pa.array(hit))
+        yield from outside_rows()
+
+    return stream.mapInArrow(run, "bucket long, i long, j long, side int, key binary, root binary")
+
+
+def padded(lists: pa.Array, width: int, fill: int) -> np.ndarray:
+    """Matrix of lists of at most `width` numbers, `fill` behind their ends."""
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    out = np.full((len(lists), width), fill, np.int64)
+    out[np.arange(width) < sizes[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+class Postings:
+    """Shingles of some texts with the texts that hold them, to count what another text shares with each."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        flat = np.concatenate([s[0] for s in sets])
+        order = np.argsort(flat, kind="stable")
+        self.shingle, self.count = flat[order], np.concatenate([s[1] for s in sets])[order]
+        self.owner = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])[order]
+        self.totals = np.array([s[1].sum() for s in sets])
+
+    def alike(self, other: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+        """Which texts have a weighted Jaccard similarity of `least` or more to the other one."""
+        first = np.searchsorted(self.shingle, other[0], "left")
+        per = np.searchsorted(self.shingle, other[0], "right") - first
+        places = np.repeat(first - (np.cumsum(per) - per), per) + np.arange(per.sum())
+        shared = np.minimum(self.count[places], np.repeat(other[1], per))
+        low = np.bincount(self.owner[places], shared, len(self.totals)).astype(np.int64)
+        total = self.totals + int(other[1].sum()) - low
+        return (total > 0) & (low / np.maximum(total, 1) >= least)
+
 
-    return stream.mapInArrow(run, "x binary, y binary, same long").select(*ordered("x", "y"), "same").distinct()
+def block_links(blocks: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join the classes of every block, see `crossed`. Every text of one side is compared exactly with every text of
+    the other inside the task; a pair becomes a row only if it joins two classes that were apart until then in its block."""
+    columns = ["bucket", "i", "j", "side", "key", "root", "text"]
+    stream = blocks.join(texts, "key").select(*columns).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        group = postings = at = None
+        sets, keys, numbers, joined = [], [], {}, []  # of the block: texts outside, numbers of all classes, the class that each is part of
+
+        def class_of(root: bytes) -> int:
+            own = numbers.setdefault(root, len(numbers))
+            if own == len(joined):
+                joined.append(own)
+            while joined[own] != own:
+                own = joined[own]
+            return own
+
+        for batch in batches:
+            for own, side, some in runs(batch, 3):
+                if own != group:
+                    group, postings, at = own, None, []
+                    sets, keys, numbers, joined = [], [], {}, []
+                for part in slices(some, [6]):
+                    found = (shingles(t, hashes) for t in texts_of(part.column(6)))
+                    classes = part.column(5).to_pylist()
+                    if side == 0:
+                        sets += found
+                        keys += part.column(4).to_pylist()
+                        at += map(class_of, classes)
+                        continue
+                    if postings is None:
+                        postings, sets, at = Postings(sets), [], np.array(at)
+                    a, b = [], []
+                    for key, root, other in zip(part.column(4).to_pylist(), classes, found):
+                        one = class_of(root)
+                        linked = postings.alike(other, least)
+                        while len(more := np.flatnonzero(linked & (at != one))):
+                            gone = int(at[more[0]])
+                            a.append(keys[more[0]])
+                            b.append(key)
+                            joined[gone] = one
+                            at[at == gone] = one
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["x", "y"])
+
+    return stream.mapInArrow(run, "x binary, y binary").select(*ordered("x", "y")).distinct()
 
 
 def candidate_texts(keys: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
@@ -257,14 +362,13 @@ def candidate_texts(keys: DataFrame, reps: DataFrame, texts: DataFrame) -> DataF
     return kept_by(texts, wanted, ["key", "id"]).groupBy("key").agg(F.first("text").alias("text"))
 
 
-def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, least: float, checked: bool = False) -> DataFrame:
+def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of text keys whose texts reach the similarity, counted exactly. `texts`: key, text, each key once.
-    `checked`: the pairs are stored, and their signatures agree already.
 
     The text of a pair with more pairs is its centre. A centre's pairs are dealt into runs of about RUN, each a sorted stream of
     the centre's text and those of its partners, so a text that thousands are compared with is no hot key.
     """
-    pairs = pairs if checked else stored(promising(pairs, reps), "promising")
+    pairs = stored(promising(pairs, reps), "promising")
     degrees = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("d")), "degrees")
     own = kept_by(texts, degrees.select("key"), ["key"])
     both = pairs.join(degrees.toDF("a", "da"), "a").join(degrees.toDF("b", "db"), "b")
@@ -316,8 +420,8 @@ def linked(reps: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> tupl
     share most buckets with others, the text that copies were made of shares more than any copy) are compared with all members,
     and leave. Then all members are compared with those outside the bucket's largest class (`crossed`), so every two texts of a
     bucket are compared, whatever its size. Only pairs of one class, of sizes that cannot reach the similarity, or whose
-    signatures are clearly too different are skipped. Of the pairs found each text's most alike one is verified first; what this
-    makes one class needs no more reading.
+    signatures are clearly too different are skipped. The texts of the others are compared in blocks inside tasks (`block_links`):
+    links there join the classes of a block, pairs are no rows.
     """
     members = reps.select(F.explode("bands").alias("bucket"), "key", "size").withColumn("root", F.col("key"))
     members = stored(crowded(members), "members")
@@ -340,20 +444,14 @@ def linked(reps: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> tupl
 
     gone = pivots.select("bucket", F.explode("pivots.key").alias("key"))
     rooted = many.select("bucket", "key", "size").join(gone, ["bucket", "key"], "left_anti").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    per = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"))
-    per = per.groupBy("bucket").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("top")).filter("n > top.m")
-    state = per.select("bucket", F.col("top.root").alias("main"), (F.col("n") - F.col("top.m")).alias("light"), "n")
+    per = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("z"))
+    per = per.groupBy("bucket").agg(F.sum("m").alias("n"), F.sum("z").alias("whole"), F.max(F.struct("m", "root", "z")).alias("top")).filter("n > top.m")
+    state = per.select("bucket", F.col("top.root").alias("main"), (F.col("n") - F.col("top.m")).alias("light"), (F.col("whole") - F.col("top.z")).alias("lines"), "n", "whole")
     many = stored(salted_join(rooted, state, ["bucket"], spread="key"), "members")
     if many.isEmpty():
         return found, roots
-    left = stored(crossed(many, reps, least).join(tried, ["a", "b"], "left_anti"), "pairs")
-    ends = left.select(F.col("a").alias("key"), F.struct("same", "a", "b").alias("p")).union(left.select("b", F.struct("same", "a", "b")))
-    nearest = stored(ends.groupBy("key").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct(), "nearest")
-    links = stored(verified(nearest, reps, texts, least, checked=True), "links")
-    found, roots = found.union(links), joined_roots(roots, links)
-    rest = left.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
-    rest = stored(rest.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "pairs")
-    links = stored(verified(rest, reps, texts, least, checked=True), "links")
+    blocks = stored(crossed(many, reps, least), "blocks")
+    links = stored(block_links(blocks, texts, least), "links")
     return found.union(links), joined_roots(roots, links)
 
 

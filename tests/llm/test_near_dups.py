@@ -180,3 +180,42 @@ def test_large_buckets_leave_no_pair_out(spark, monkeypatch):
     want = {(f"{g:02}a", f"{g:02}b") for g in range(12)}
     assert {(bytes(r.a).decode(), bytes(r.b).decode()) for r in links.collect()} == want
     assert {(bytes(r.key).decode(), bytes(r.root).decode()) for r in roots.collect()} == {(x, a) for a, b in want for x in (a, b)}
+
+
+def test_postings_count_like_similarity():
+    rng = np.random.default_rng(4)
+    hashes = nd.WordHashes()
+    base = make(rng, 60)
+    texts = [base, edited(rng, base, 0.02), base + " " + base, "w1 w1 w1 w1 w1 w1 w1 w1", "w1 w1 w1 w1 w1 w1 w1", "", make(rng, 40)]
+    sets = [nd.shingles(t, hashes) for t in texts]
+    postings = nd.Postings(sets)
+    for least in (0.3, 0.75, 0.8, 1.0):
+        for s in sets:
+            assert postings.alike(s, least).tolist() == [nd.similarity(t, s) >= least for t in sets]
+
+
+def test_template_makes_no_row_per_pair(spark, monkeypatch):
+    """Fillings of one template, alike enough to be compared but not near: rows that are stored grow with the texts, not with pairs."""
+    rng = np.random.default_rng(13)
+    base = make(rng, 300).split()
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for k in rng.choice(280, 4, replace=False):
+            words[k] = f"f{rng.integers(10**6)}"
+        rows.append((i, " ".join(words)))
+        if i % 30 == 0:
+            words[290] = "other"
+            rows.append((1000 + i, " ".join(words)))
+    sizes = {}
+    plain = nd.stored
+
+    def counting(df, name):
+        out = plain(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(nd, "stored", counting)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, nd.near_dup_classes(df).collect()), key=str) == brute(df.collect())
+    assert max(sizes.values()) <= nd.BANDS * len(rows), sizes
