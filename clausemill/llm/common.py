@@ -40,6 +40,29 @@ def by_bytes(texts: Iterable[str], most: int) -> Iterator[list[str]]:
         yield run
 
 
+BATCH_ROWS = 1_000  # whole texts that go to a Python worker at once, at most
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Lets at most BATCH_ROWS rows go to a Python worker at once: both sides hold a batch whole, the worker as strings too."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
+
+
+_memos: dict[str, dict] = {}
+
+
+def memo_of(step: str) -> dict:
+    """What a step keeps in its Python worker from task to task. Workers serve one step after the other: what others left is dropped."""
+    if step not in _memos:
+        _memos.clear()
+        pa.default_memory_pool().release_unused()
+        _memos[step] = {}
+    return _memos[step]
+
+
 LARGEST = 1 << 26  # components are held within this on both sides, so sums of 2,048 squares fit 64 bits
 
 

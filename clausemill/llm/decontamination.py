@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from clausemill.llm.common import texts_of, trim
+from clausemill.llm.common import memo_of, texts_of, trim
 
 WORD = re.compile(r"\w+")
 ERROR_SHARE = 0.05
@@ -124,17 +124,15 @@ def merged(places: list[int], gap: int) -> Iterator[tuple[int, int]]:
     yield low, high
 
 
-_searchers: dict[int, tuple[object, Searcher]] = {}
-
-
 def searcher(items: list[tuple[object, str]], share: float) -> Searcher:
     """The block's automaton, built once per worker."""
     key = hash((share, tuple(items)))
-    if key not in _searchers or _searchers[key][0] != (share, items):
-        if len(_searchers) > 3:
-            _searchers.clear()
-        _searchers[key] = (share, items), Searcher(items, share)
-    return _searchers[key][1]
+    own = memo_of("decontamination")
+    if key not in own or own[key][0] != (share, items):
+        if len(own) > 3:
+            own.clear()
+        own[key] = (share, items), Searcher(items, share)
+    return own[key][1]
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str, most: int = BLOCK_CHARS) -> Iterator[list[tuple[object, str]]]:

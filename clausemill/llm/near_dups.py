@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill.functions.scale import kept_by, runs, salted_join, stored
-from clausemill.llm.common import texts_of
+from clausemill.llm.common import memo_of, texts_of
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
@@ -171,6 +171,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     (the last byte of every coordinate) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo_of("near_dups")
         hashes = WordHashes()
         for batch in batches:
             for part in slices(batch, [2]):
@@ -313,6 +314,7 @@ def block_links(blocks: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     stream = blocks.join(texts, "key").select(*columns).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo_of("near_dups")
         hashes = WordHashes()
         group = postings = at = None
         sets, keys, numbers, joined = [], [], {}, []  # of the block: texts outside, numbers of all classes, the class that each is part of
@@ -382,6 +384,7 @@ def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, least: float)
     stream = stream.repartition("centre", "run").sortWithinPartitions("centre", "run", F.col("other").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo_of("near_dups")
         hashes = WordHashes()
         middle = shingles("", hashes)
         for batch in batches:

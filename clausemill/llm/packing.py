@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.functions.scale import stored
-from clausemill.llm.common import texts_of, trim
+from clausemill.llm.common import memo_of, texts_of, trim
 
 # One run of letters with fixed composition and case mapping, then marks that the tokenizer keeps together.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
@@ -71,13 +71,11 @@ class Encoder:
         return b"".join(ids)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    own = memo_of("packing")
+    if path not in own:
+        own[path] = Encoder(path)
+    return own[path]
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.functions.scale import stored
-from clausemill.llm.common import texts_of, trim
+from clausemill.llm.common import memo_of, texts_of, trim
 
 MEMO_ENTRIES = 50_000
 MEMO_CHARS = 256  # longer values are not remembered
@@ -259,13 +259,15 @@ def redacted(text: Column, least: float = 9.0, words: tuple[str, ...] = tuple(CO
     cost_words = tuple(words)
 
     @F.pandas_udf("string")
-    def clean(series: pd.Series) -> pd.Series:
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo_of("secrets")
         cost, seen = GuessCost(cost_words), {}
 
         def one(text: str | None) -> str | None:
             trim(seen, MEMO_ENTRIES)
             return None if text is None else redact(text, all_spans(text, least, cost, seen)[1], mark)
 
-        return series.map(one)
+        for series in batches:
+            yield series.map(one)
 
     return clean(text)

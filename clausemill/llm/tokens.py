@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.common import by_bytes, texts_of, trim, utf8_size
+from clausemill.llm.common import by_bytes, memo_of, texts_of, trim, utf8_size
 
 SPACE = "▁"  # the model's own sign for a space
 SAFE = re.compile(f"(?<=[^ {SPACE}]) (?=[^ {SPACE}])")
@@ -76,13 +76,11 @@ class Counter:
         return [sum(map(seen.__getitem__, ps)) for ps in pieces]
 
 
-_counters: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
+    own = memo_of("tokens")
+    if path not in own:
+        own[path] = Counter(path)
+    return own[path]
 
 
 def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:

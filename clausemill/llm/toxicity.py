@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.functions.scale import stored
-from clausemill.llm.common import held_out, labelled_sample, texts_of, trim
+from clausemill.llm.common import held_out, labelled_sample, memo_of, texts_of, trim
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BOUNDARY = range(7)
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
@@ -217,6 +217,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
 def probability(text: Column, model: Model) -> Column:
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo_of("toxicity")
         s = Scorer(model.weights)
         for texts in batches:
             yield pd.Series(model.probability(np.array([s.weight(t or "") for t in texts], float)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clausemill.functions.scale import stored
 from clausemill.llm import decontamination, near_dups, packing, secrets, toxicity
-from clausemill.llm.common import table
+from clausemill.llm.common import small_batches, table
 from clausemill.session import ship
 
 ORACLE_SQL = None  # classes of near duplicates and learned scores are beyond SQL; tests/llm/test_pipeline.py has the plain version
@@ -20,23 +20,23 @@ ORACLE_SQL = None  # classes of near duplicates and learned scores are beyond SQ
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a toxicity score below the threshold."""
-    return toxicity.drop_toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return toxicity.drop_toxic(docs, toxicity.learn(docs, table(small_batches(spark), sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of every near-duplicate class."""
-    ship(spark)
+    ship(small_batches(spark))
     return near_dups.keep_one(docs)
 
 
 def drop_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that hold no benchmark item within its error budget."""
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.decontaminate(docs, table(small_batches(spark), sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps all documents; spans that the secret scan finds are masked, and n_chars follows the text."""
-    ship(spark)
+    ship(small_batches(spark))
     words = secrets.ranked_words(docs, public_tokenizers.path("word_bpe_49k.json"))
     masked = docs.withColumn("text", secrets.redacted(F.col("text"), words=words))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
@@ -44,7 +44,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences of at most 2048 tokens."""
-    ship(spark)
+    ship(small_batches(spark))
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -8,6 +8,7 @@ from itertools import zip_longest
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -16,7 +17,7 @@ import corpus_pipeline  # noqa: E402
 from test_near_dups import brute  # noqa: E402
 
 from clausemill.llm import decontamination as dc  # noqa: E402
-from clausemill.llm import secrets, toxicity  # noqa: E402
+from clausemill.llm import common, secrets, toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,3 +87,38 @@ def test_stages(spark, odd):
         assert stage(spark, docs.limit(0), SF).count() == 0
         docs = after
     assert {r.doc_id for r in docs.collect()} >= {1, 4, 5, 6}
+
+
+def test_stages_hand_small_batches_to_workers(spark):
+    """Whole texts go to a worker in batches of at most BATCH_ROWS; a smaller number set by the user stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "web", 6) for i in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        for own, want in (("10000", common.BATCH_ROWS), ("0", common.BATCH_ROWS), ("7", 7)):
+            for _, stage in corpus_pipeline.STAGES[1:2] + corpus_pipeline.STAGES[3:]:
+                spark.conf.set(key, own)
+                stage(spark, docs, SF)
+                assert int(spark.conf.get(key)) == want
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_a_step_drops_what_others_left_in_its_worker():
+    common.memo_of("one")["big"] = 1
+    assert common.memo_of("one") == {"big": 1}
+    assert common.memo_of("two") == {}
+    assert common.memo_of("one") == {}
+
+
+def test_words_are_ranked_once_a_task(spark, monkeypatch):
+    """Masking builds its cost table once, not again for every batch of a task."""
+    made = []
+    monkeypatch.setattr(secrets, "GuessCost", lambda words, kind=secrets.GuessCost: made.append(1) or kind(words))
+    clean = {}
+    monkeypatch.setattr(secrets.F, "pandas_udf", lambda kind: lambda f: clean.setdefault("f", f) and (lambda text: text))
+    secrets.redacted(secrets.F.lit("x"))
+    parts = [pd.Series(["plain", None]), pd.Series(["password = Tr0ub4dor9xkQ7zW!"])]
+    out = [x for s in clean["f"](iter(parts)) for x in s]
+    assert out[:2] == ["plain", None] and "Tr0ub4dor9xkQ7zW" not in out[2]
+    assert len(made) == 1
